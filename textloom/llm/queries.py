@@ -6,14 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import tokens
+from textloom.llm import language, secrets, simhash, tokens
 from textloom.llm.common import documents
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op3_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encoding_digests(documents(spark, sf_dir, "doc_id", "text"))
 
@@ -22,6 +30,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.pack_documents(documents(spark, sf_dir, "doc_id", "text"), with_ids=False)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_separator_scan, op7_bpe, op8_packing)}
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predict_languages(documents(spark, sf_dir, "doc_id", "text", "lang"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op3_separator_scan, op6_secrets, op7_bpe, op8_packing, op9_language)}
 
 ORACLE_SQL: dict[str, str] = {}
