@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import language, secrets, simhash, tokens
+from textloom.llm import digest, language, secrets, simhash, tokens
 from textloom.llm.common import documents
 
 
@@ -14,6 +14,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op2_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest.compare_edited(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op3_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(documents(spark, sf_dir, "doc_id", "text"))
 
@@ -34,6 +38,6 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict_languages(documents(spark, sf_dir, "doc_id", "text", "lang"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op3_separator_scan, op6_secrets, op7_bpe, op8_packing, op9_language)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_digests, op3_separator_scan, op6_secrets, op7_bpe, op8_packing, op9_language)}
 
 ORACLE_SQL: dict[str, str] = {}
