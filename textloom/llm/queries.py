@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import digest, language, secrets, simhash, tokens
+from textloom.llm import digest, language, quality, secrets, simhash, tokens
 from textloom.llm.common import documents
 
 
@@ -22,6 +22,10 @@ def op3_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(documents(spark, sf_dir, "doc_id", "lang", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(documents(spark, sf_dir, "doc_id", "text"))
 
@@ -38,6 +42,6 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict_languages(documents(spark, sf_dir, "doc_id", "text", "lang"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_digests, op3_separator_scan, op6_secrets, op7_bpe, op8_packing, op9_language)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_digests, op3_separator_scan, op5_quality, op6_secrets, op7_bpe, op8_packing, op9_language)}
 
 ORACLE_SQL: dict[str, str] = {}
