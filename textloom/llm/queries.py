@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import digest, language, quality, secrets, simhash, tokens
+from textloom.llm import digest, language, quality, secrets, simhash, suffixes, tokens
 from textloom.llm.common import documents
 
 
@@ -42,6 +42,10 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict_languages(documents(spark, sf_dir, "doc_id", "text", "lang"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_digests, op3_separator_scan, op5_quality, op6_secrets, op7_bpe, op8_packing, op9_language)}
+def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(documents(spark, sf_dir, "doc_id", "text"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_digests, op3_separator_scan, op5_quality, op6_secrets, op7_bpe, op8_packing, op9_language, op10_suffixes)}
 
 ORACLE_SQL: dict[str, str] = {}
