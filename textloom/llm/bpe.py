@@ -36,6 +36,17 @@ KIND[48:58] = DIGIT
 _WEIGHT = np.append(np.uint64(256) ** np.arange(8, dtype=np.uint64), np.random.default_rng(7).integers(1, 1 << 63, 1 << 12, np.uint64) * np.uint64(2) + np.uint64(1))
 
 
+def word_keys(letters: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A 64-bit key of each word, which lies at ``at`` in ``letters`` and has ``size`` > 0 bytes."""
+    ends = np.cumsum(size)
+    place = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - size, size)
+    far = place >= len(_WEIGHT)
+    weight = _WEIGHT[np.minimum(place, len(_WEIGHT) - 1)]
+    if far.any():
+        weight = np.where(far, weight * (place - len(_WEIGHT) + 2).astype(np.uint64), weight)
+    return np.add.reduceat(letters[np.repeat(at, size) + place].astype(np.uint64) * weight, ends - size) if len(ends) else np.zeros(0, np.uint64)
+
+
 def byte_letters() -> dict[str, int]:
     """The letter that byte-level vocabularies write for each byte: printable Latin-1 bytes stand for themselves, the
     others take the letters from U+0100 on in ascending order."""
@@ -206,9 +217,7 @@ class Coder:
         letters, at, size, n_words = self._words(texts)
         if not len(at):
             return at, n_words
-        place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        byte = letters[np.repeat(at, size) + place].astype(np.uint64)
-        key = np.add.reduceat(byte * _WEIGHT[np.minimum(place, len(_WEIGHT) - 1)] * np.maximum(place - len(_WEIGHT) + 2, 1).astype(np.uint64), np.cumsum(size) - size)
+        key = word_keys(letters, at, size)
         order = np.argsort(key)
         ordered = key[order]
         fresh = np.append(True, ordered[1:] != ordered[:-1])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,3 +68,16 @@ def sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         total += int(n)
     if start < batch.num_rows:
         yield batch.slice(start)
+
+
+def sliding_least(key: np.ndarray, width: int) -> np.ndarray:
+    """The least of each ``width`` neighbouring values of an unsigned 64-bit array, by minima from block borders."""
+    n = len(key)
+    if n < width:
+        return key[:0]
+    padded = np.full(-(-n // width) * width, np.iinfo(np.uint64).max, np.uint64)
+    padded[:n] = key
+    blocks = padded.reshape(-1, width)
+    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import digest, language, quality, secrets, simhash, suffixes, tokens
+from textloom.llm import digest, language, passages, quality, secrets, simhash, suffixes, tokens
 from textloom.llm.common import documents
 
 
@@ -22,6 +22,10 @@ def op3_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.near_passages(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir, "doc_id", "lang", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -46,6 +50,6 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(documents(spark, sf_dir, "doc_id", "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_digests, op3_separator_scan, op5_quality, op6_secrets, op7_bpe, op8_packing, op9_language, op10_suffixes)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_digests, op3_separator_scan, op4_passages, op5_quality, op6_secrets, op7_bpe, op8_packing, op9_language, op10_suffixes)}
 
 ORACLE_SQL: dict[str, str] = {}

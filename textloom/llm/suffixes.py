@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import mapped, plain_bytes, settled
+from textloom.llm.common import mapped, plain_bytes, settled, sliding_least
 
 LENGTH, GRAM = 200, 32
 _LETTER = np.random.default_rng(11).integers(0, 1 << 64, 256, np.uint64, endpoint=False)
@@ -46,17 +46,8 @@ def identifiers(data: np.ndarray, most: int) -> dict[int, np.ndarray]:
 
 def owners(gram: np.ndarray, length: int) -> np.ndarray:
     """For each string of ``length`` bytes the position of the least q-gram in it, the first of equals."""
-    width = length - GRAM + 1
-    n = len(gram)
-    if n < width:
-        return np.zeros(0, np.int64)
-    key = (gram >> np.uint64(32) << np.uint64(32)) | np.arange(n, dtype=np.uint64)
-    padded = np.full(-(-n // width) * width, np.iinfo(np.uint64).max, np.uint64)
-    padded[:n] = key
-    blocks = padded.reshape(-1, width)
-    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
-    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return (np.minimum(behind[: n - width + 1], ahead[width - 1 : n]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    key = (gram >> np.uint64(32) << np.uint64(32)) | np.arange(len(gram), dtype=np.uint64)
+    return (sliding_least(key, length - GRAM + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
 def _anchors(docs: DataFrame, length: int) -> DataFrame:
