@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.functions.sample_script import as_script, as_script_sql
-from textloom.operators import ngrams
+from textloom.operators import lexicon, mining, ngrams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -157,3 +157,238 @@ def sentence_split(spark, sf_dir):
 @query()
 def text_chunks(spark, sf_dir):
     return script(spark, sf_dir).select("doc_id", F.posexplode(T.chunk_text("text", 600)).alias("pos", "chunk"))
+
+
+# --- lexicon -----------------------------------------------------------------------------------------------------------
+
+_TOKEN = f"[{T.CJK}]+"
+
+
+def _tokens(spark, sf_dir):
+    """``doc_id, seq, word``: the runs of CJK characters."""
+    return script(spark, sf_dir).select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(_TOKEN), F.lit(0))).alias("seq", "word"))
+
+
+def _lexicon(spark, sf_dir):
+    """Tokens of one to three characters as a lexicon: their counts are the frequencies."""
+    return _tokens(spark, sf_dir).filter(F.length("word") <= 3).groupBy("word").agg(F.count("*").alias("freq")).withColumn("tag", F.lit("x"))
+
+
+def _terms(spark, sf_dir):
+    """Words of the part names as a term list."""
+    words = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.split("p_name", " ")).alias("word"))
+    return words.groupBy("word").agg(F.min("p_partkey").cast("int").alias("ord")).select("ord", "word", (1.0 + F.length("word") % 5).cast("double").alias("score"))
+
+
+_TOKENS = f"{SCRIPT}, toks AS (SELECT doc_id, regexp_extract_all(text, '{_TOKEN}') AS ws FROM script), tokens AS (SELECT doc_id, unnest(range(0, len(ws))) AS seq, unnest(ws) AS word FROM toks)"
+_LEXICON = f"{_TOKENS}, lexicon AS (SELECT word, count(*) AS freq, 'x' AS tag FROM tokens WHERE length(word) <= 3 GROUP BY word)"
+_TERMS = "terms AS (SELECT min(p_partkey)::INT AS ord, word, (1.0 + length(word) % 5)::DOUBLE AS score FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part) GROUP BY word)"
+
+
+@query(f"""WITH {_LEXICON}, {_TERMS}, every AS (SELECT word, freq, tag, 0 AS p FROM lexicon UNION ALL SELECT word, floor(least(greatest(score, 0.5), 10) * 1000)::BIGINT, 'n', 1 FROM terms
+UNION ALL SELECT substring(word, 1, 1), freq, 'v', 2 FROM lexicon WHERE length(word) = 3 UNION ALL SELECT word, 1000, 'd', 3 FROM lexicon WHERE word LIKE '的%' AND length(word) = 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY p DESC, freq DESC, tag) AS k FROM every) SELECT word, freq, tag FROM r WHERE k = 1""")
+def lexicon_build(spark, sf_dir):
+    base = _lexicon(spark, sf_dir)
+    user = base.filter(F.length("word") == 3).select(F.substring("word", 1, 1).alias("word"), F.lit("v").alias("tag"), "freq")
+    fix = base.filter(F.col("word").startswith("的") & (F.length("word") == 2)).select("word", F.lit("d").alias("tag"))
+    return lexicon.build_lexicon(base, _terms(spark, sf_dir), user, fix)
+
+
+@query(f"WITH {_LEXICON} SELECT t.word, count(*) AS n, max(coalesce(l.freq, 0)) AS freq, max(coalesce(l.freq, 0)) >= 50 AS reliable FROM tokens t LEFT JOIN lexicon l ON t.word = l.word GROUP BY t.word")
+def lexicon_lookup(spark, sf_dir):
+    counted = _tokens(spark, sf_dir).groupBy("word").agg(F.count("*").alias("n"))
+    return lexicon.lookup_freq(counted, _lexicon(spark, sf_dir))
+
+
+@query(f"WITH {_LEXICON}, c AS (SELECT unnest(list_distinct(string_split(word, ''))) AS ch FROM lexicon WHERE length(word) >= 2) SELECT ch, count(*) AS n_words FROM c GROUP BY ch")
+def lexicon_char_usage(spark, sf_dir):
+    return lexicon.char_word_usage(_lexicon(spark, sf_dir))
+
+
+@query(f"""WITH {_LEXICON}, w AS (SELECT DISTINCT word FROM tokens) SELECT word FROM w WHERE length(word) >= 2 AND NOT regexp_matches(word, '[的地得]') AND word NOT IN (SELECT word FROM lexicon WHERE freq >= 50) AND word NOT IN (SELECT reverse(word) FROM lexicon WHERE freq >= 200)""")
+def lexicon_new_words(spark, sf_dir):
+    known = _lexicon(spark, sf_dir)
+    terms = known.filter("freq >= 200").select(F.reverse("word").alias("word"))
+    return lexicon.new_words(_tokens(spark, sf_dir).select("word").distinct(), known, terms)
+
+
+@query(f"""WITH {_LEXICON}, spans AS (SELECT doc_id, (strpos(text, '一') - 1)::BIGINT AS s, (strpos(text, '一') + doc_id % 5)::BIGINT AS e FROM script WHERE strpos(text, '一') > 0)
+SELECT DISTINCT s.doc_id, s.s AS start_at, s.e AS end_at FROM spans s JOIN script t ON s.doc_id = t.doc_id WHERE s.e - s.s BETWEEN 2 AND 4 AND substring(t.text, s.s + 1, s.e - s.s) NOT IN (SELECT word FROM lexicon WHERE freq >= 50)""")
+def ner_spans(spark, sf_dir):
+    texts = script(spark, sf_dir)
+    spans = texts.select("doc_id", (F.instr("text", "一") - 1).alias("start"), (F.instr("text", "一") + F.col("doc_id") % 5).alias("end")).filter("start >= 0")
+    found = lexicon.filter_ner_spans(spans, texts, _lexicon(spark, sf_dir))
+    return found.select("doc_id", F.col("start").cast("long").alias("start_at"), F.col("end").cast("long").alias("end_at"))
+
+
+_CANDIDATE = f"[A-Za-z][A-Za-z0-9._+\\-{T.CJK} ]{{0,31}}"
+
+
+def _spoken_parts(spark, sf_dir):
+    """Part names with a letter changed: what term restoration is to mend."""
+    name = F.translate("p_name", "aeiou", "eaoiu")
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.explode(F.array(F.split("p_name", " ")[0], F.split(name, " ")[1], F.upper("p_name"))).alias("text"))
+
+
+@query(f"""WITH {_TERMS}, texts AS (SELECT unnest([string_split(p_name, ' ')[1], string_split(translate(p_name, 'aeiou', 'eaoiu'), ' ')[2], upper(p_name)]) AS text FROM part),
+c AS (SELECT DISTINCT unnest(regexp_extract_all(text, '{_CANDIDATE}')) AS candidate FROM texts),
+k AS (SELECT ord, word, lower(word) AS term, CASE WHEN length(word) <= 3 THEN 0 WHEN length(word) = 4 THEN 1 WHEN score >= 4 THEN 1 ELSE 2 END AS bound FROM terms),
+h AS (SELECT candidate, word, ord, lower(candidate) = term AS exact FROM c JOIN k ON substring(lower(candidate), 1, 1) = substring(term, 1, 1) AND (replace(lower(candidate), ' ', '') = term OR (abs(length(candidate) - length(term)) <= bound AND levenshtein(lower(candidate), term) <= bound))),
+r AS (SELECT candidate, word, row_number() OVER (PARTITION BY candidate ORDER BY CASE WHEN exact THEN 0 ELSE 1 END, ord) AS k FROM h) SELECT candidate, word AS term FROM r WHERE k = 1""")
+def terms_restored(spark, sf_dir):
+    return lexicon.restore_terms(_spoken_parts(spark, sf_dir), _terms(spark, sf_dir))
+
+
+# --- rule mining -------------------------------------------------------------------------------------------------------
+
+_WRONG, _RIGHT = "在再得地", "再在的的"
+
+
+def _diffs(spark, sf_dir):
+    """Corrections seen in the documents: tokens of two or three characters that hold a confusable one."""
+    tokens = _tokens(spark, sf_dir).filter(F.length("word").between(2, 3) & F.col("word").rlike(f"[{_WRONG}]"))
+    return tokens.select(
+        F.col("doc_id").alias("event_id"), "seq", F.col("word").alias("old"), F.translate("word", _WRONG, _RIGHT).alias("new"),
+        F.concat(F.col("word"), (F.col("doc_id") % 7).cast("string")).alias("raw"), (F.col("doc_id") % 97 == 0).alias("manual"), F.col("doc_id").alias("ts"),
+    )
+
+
+_DIFFS = f"{_LEXICON}, diffs AS (SELECT doc_id AS event_id, seq, word AS old, translate(word, '{_WRONG}', '{_RIGHT}') AS new, word || (doc_id % 7)::VARCHAR AS raw, doc_id % 97 = 0 AS manual, doc_id AS ts FROM tokens WHERE length(word) BETWEEN 2 AND 3 AND regexp_matches(word, '[{_WRONG}]'))"
+_RULES = f"{_DIFFS}, rules AS (SELECT old, new, count(DISTINCT md5(raw)[1:16]) AS n_sentences, bool_or(manual) OR count(DISTINCT md5(raw)[1:16]) >= 2 AS promoted, min(ts) AS first_seen FROM diffs GROUP BY old, new)"
+_PRON = "pron AS (SELECT DISTINCT ch, (unicode(ch) % 6)::VARCHAR AS syllable FROM (SELECT unnest(string_split(word, '')) AS ch FROM lexicon))"
+
+
+def _pronunciations(spark, sf_dir):
+    chars = _lexicon(spark, sf_dir).select(F.explode(F.split("word", "")).alias("ch")).filter("ch <> ''").distinct()
+    return chars.withColumn("syllable", (F.ascii("ch") % 6).cast("string"))
+
+
+def _shapes(spark, sf_dir):
+    """Pairs of neighbouring characters of two-character words."""
+    return _lexicon(spark, sf_dir).filter(F.length("word") == 2).select(F.substring("word", 1, 1).alias("a"), F.substring("word", 2, 1).alias("b")).filter("a < b").distinct()
+
+
+_SHAPES = "shapes AS (SELECT DISTINCT substring(word, 1, 1) AS a, substring(word, 2, 1) AS b FROM lexicon WHERE length(word) = 2 AND substring(word, 1, 1) < substring(word, 2, 1))"
+
+
+@query(f"WITH {_RULES} SELECT old, new, n_sentences, promoted, first_seen FROM rules")
+def rules_promoted(spark, sf_dir):
+    return mining.promote_rules(_diffs(spark, sf_dir)).drop("raws")
+
+
+@query(f"WITH {_RULES} SELECT old, new, promoted, first_seen FROM rules")
+def rules_merged(spark, sf_dir):
+    """The same corrections in two batches, the second merged into the store of the first."""
+    diffs = _diffs(spark, sf_dir)
+    store = mining.promote_rules(diffs.filter("event_id % 2 = 0"))
+    return mining.promote_rules(diffs.filter("event_id % 2 = 1"), store).select("old", "new", "promoted", "first_seen")
+
+
+def _expanded_sql(similar: str, unread: str = "") -> str:
+    return f"""reliable AS (SELECT word FROM lexicon WHERE freq >= 50), usage AS (SELECT ch, count(*) AS n_words FROM (SELECT unnest(list_distinct(string_split(word, ''))) AS ch FROM lexicon WHERE length(word) >= 2) GROUP BY ch),
+fit AS (SELECT DISTINCT old, new FROM rules WHERE length(old) = length(new) AND new IN (SELECT word FROM reliable) AND old NOT IN (SELECT word FROM reliable){unread}),
+spots AS (SELECT old, new, unnest(range(0, length(old))) AS pos, unnest(string_split(old, '')) AS ch FROM fit), alike AS ({similar}),
+pairs AS (SELECT old, new, pos, cand, substring(old, 1, pos) || cand || substring(old, pos + 2, length(old)) AS variant FROM spots JOIN alike s ON spots.ch = s.ch),
+ok AS (SELECT p.*, coalesce(u.n_words, 0) AS u, coalesce(l.freq, 0) AS f FROM pairs p LEFT JOIN usage u ON p.cand = u.ch LEFT JOIN lexicon l ON p.cand = l.word WHERE variant <> new AND variant NOT IN (SELECT word FROM reliable)),
+a AS (SELECT *, row_number() OVER (PARTITION BY old, new, pos ORDER BY u DESC, f DESC, cand) AS nth FROM ok), b AS (SELECT * FROM a WHERE nth <= ceil(6.0 / length(old))),
+c AS (SELECT *, row_number() OVER (PARTITION BY old, new ORDER BY pos, nth) AS seq FROM b), expanded AS (SELECT variant AS old, new, old AS base_old, new AS base_new, seq FROM c WHERE seq <= 6)"""
+
+
+_HOMO = _expanded_sql("SELECT p.ch, q.ch AS cand FROM pron p JOIN pron q ON p.syllable = q.syllable WHERE p.ch <> q.ch")
+_SHAPE = _expanded_sql("SELECT a AS ch, b AS cand FROM shapes UNION SELECT b, a FROM shapes")
+
+
+@query(f"WITH {_RULES}, {_PRON}, {_HOMO} SELECT * FROM expanded")
+def rules_homophones(spark, sf_dir):
+    rules = mining.promote_rules(_diffs(spark, sf_dir))
+    return mining.expand_homophones(rules, _pronunciations(spark, sf_dir), _lexicon(spark, sf_dir)).withColumn("seq", F.col("seq").cast("long"))
+
+
+@query(f"WITH {_RULES}, {_SHAPES}, {_SHAPE} SELECT * FROM expanded")
+def rules_shapes(spark, sf_dir):
+    rules = mining.promote_rules(_diffs(spark, sf_dir))
+    return mining.expand_shapes(rules, _shapes(spark, sf_dir), _lexicon(spark, sf_dir)).withColumn("seq", F.col("seq").cast("long"))
+
+
+_VARIANTS = "variants AS (SELECT old, new, base_old, base_new FROM (SELECT *, row_number() OVER (PARTITION BY old, new ORDER BY seq, base_old, base_new) AS k FROM expanded) WHERE k = 1)"
+
+
+@query(f"WITH {_RULES}, {_PRON}, {_HOMO}, {_VARIANTS} SELECT * FROM variants")
+def rules_variants(spark, sf_dir):
+    rules = mining.promote_rules(_diffs(spark, sf_dir))
+    return mining.register_variants(mining.expand_homophones(rules, _pronunciations(spark, sf_dir), _lexicon(spark, sf_dir)))
+
+
+@query(f"WITH {_RULES}, {_PRON}, {_HOMO}, {_VARIANTS} SELECT old, new, 'exact' AS kind FROM rules WHERE promoted UNION ALL SELECT v.old, v.new, 'variant' FROM variants v JOIN rules r ON v.base_old = r.old AND v.base_new = r.new WHERE r.promoted")
+def rules_active(spark, sf_dir):
+    rules = mining.promote_rules(_diffs(spark, sf_dir))
+    variants = mining.register_variants(mining.expand_homophones(rules, _pronunciations(spark, sf_dir), _lexicon(spark, sf_dir)))
+    return mining.active_rules(rules, variants)
+
+
+@query(f"WITH {_LEXICON}, {_PRON} SELECT syllable, array_to_string(list_sort(list(DISTINCT ch)), '') AS chars FROM pron GROUP BY syllable")
+def homophones(spark, sf_dir):
+    return mining.homophone_groups(_pronunciations(spark, sf_dir)).select("syllable", F.array_join("chars", "").alias("chars"))
+
+
+@query(f"""WITH {_DIFFS}, fit AS (SELECT event_id, new AS word, min(seq) AS seq FROM diffs WHERE length(new) >= 2 AND NOT regexp_matches(new, '[的地得]') AND new NOT IN (SELECT word FROM lexicon WHERE freq >= 50) AND new NOT IN (SELECT reverse(word) FROM lexicon WHERE freq >= 20) GROUP BY 1, 2),
+r AS (SELECT word, row_number() OVER (PARTITION BY event_id ORDER BY seq, word) AS nth FROM fit) SELECT DISTINCT word, 2.0::DOUBLE AS score FROM r WHERE nth <= 3""")
+def words_harvested(spark, sf_dir):
+    known = _lexicon(spark, sf_dir)
+    return mining.harvest_new_words(_diffs(spark, sf_dir), known, known.filter("freq >= 20").select(F.reverse("word").alias("word")))
+
+
+@query(f"""WITH {_DIFFS}, pairs AS (SELECT doc_id AS event_id, substring(text, 1, 10 + doc_id % 80) AS raw, replace(substring(text, 1, 10 + doc_id % 80), '的', '地') AS corrected FROM script)
+SELECT event_id, raw AS old, corrected AS new FROM pairs WHERE raw <> corrected AND length(raw) <= 50 AND length(corrected) <= 50 AND event_id NOT IN (SELECT event_id FROM diffs WHERE length(old) = 3)""")
+def rules_whole_pairs(spark, sf_dir):
+    head = F.substring("text", F.lit(1), (10 + F.col("doc_id") % 80).cast("int"))
+    pairs = script(spark, sf_dir).select(F.col("doc_id").alias("event_id"), head.alias("raw"), F.replace(head, F.lit("的"), F.lit("地")).alias("corrected"), F.lit(False).alias("manual"), F.col("doc_id").alias("ts"))
+    return mining.whole_pairs(pairs, _diffs(spark, sf_dir).filter(F.length("old") == 3)).select("event_id", "old", "new")
+
+
+# --- scoring -----------------------------------------------------------------------------------------------------------
+
+_CONFUSIONS = "confusions AS (SELECT * FROM (VALUES ('在', '再'), ('再', '在'), ('他', '它'), ('它', '他')) AS v(ch, cand))"
+
+
+def _confusions(spark):
+    return spark.createDataFrame([("在", "再"), ("再", "在"), ("他", "它"), ("它", "他")], "ch string, cand string")
+
+
+_CANDIDATES = f"""{_LEXICON}, {_CONFUSIONS}, arrays AS (SELECT doc_id, string_split(text, '') AS a FROM script),
+chars AS (SELECT doc_id, unnest(range(0, len(a))) AS pos, unnest(a) AS orig, unnest(list_transform(range(0, len(a)), lambda i: CASE WHEN i > 0 THEN a[i] ELSE '' END)) AS prev, unnest(list_transform(range(0, len(a)), lambda i: coalesce(a[i+2], ''))) AS next FROM arrays),
+cands AS (SELECT doc_id, pos, orig, cand, prev, next FROM chars JOIN confusions ON orig = ch),
+scored AS (SELECT c.*, greatest(CASE WHEN prev <> '' THEN coalesce(o1.freq, 0) ELSE 0 END, CASE WHEN next <> '' THEN coalesce(o2.freq, 0) ELSE 0 END, CASE WHEN prev <> '' AND next <> '' THEN coalesce(o3.freq, 0) ELSE 0 END) AS orig_freq,
+greatest(CASE WHEN prev <> '' THEN coalesce(c1.freq, 0) ELSE 0 END, CASE WHEN next <> '' THEN coalesce(c2.freq, 0) ELSE 0 END, CASE WHEN prev <> '' AND next <> '' THEN coalesce(c3.freq, 0) ELSE 0 END) AS cand_freq FROM cands c
+LEFT JOIN lexicon o1 ON o1.word = prev || orig LEFT JOIN lexicon o2 ON o2.word = orig || next LEFT JOIN lexicon o3 ON o3.word = prev || orig || next
+LEFT JOIN lexicon c1 ON c1.word = prev || cand LEFT JOIN lexicon c2 ON c2.word = cand || next LEFT JOIN lexicon c3 ON c3.word = prev || cand || next)"""
+
+
+@query(f"WITH {_CANDIDATES} SELECT doc_id, pos, orig, cand, prev, next, orig_freq, cand_freq, CASE WHEN cand_freq > 0 AND (orig_freq = 0 OR cand_freq >= 10 * orig_freq) THEN true WHEN cand_freq = 0 AND orig_freq > 0 THEN false END AS verdict FROM scored")
+def confusion_candidates(spark, sf_dir):
+    found = ngrams.confusion_candidates(script(spark, sf_dir), _confusions(spark), _lexicon(spark, sf_dir))
+    return found.withColumn("pos", F.col("pos").cast("long"))
+
+
+_MODEL = f"{SEGMENTS}, uc AS (SELECT unnest(a) AS c FROM chars), uni AS (SELECT c, count(*) AS n FROM uc GROUP BY c HAVING count(*) >= 2), " + ", ".join(
+    f"g{n} AS (SELECT unnest(list_transform(range(1, len(a) - {n - 2}), lambda i: {'||'.join(f'a[i+{k}]' for k in range(n))})) AS g FROM chars), k{n} AS (SELECT g, count(*) AS n FROM g{n} GROUP BY g HAVING count(*) >= 2)" for n in (2, 3)
+) + ", tot AS (SELECT sum(n)::DOUBLE AS nn, count(*)::DOUBLE AS vv FROM uni)"
+_P2 = "CASE WHEN ub.n IS NULL THEN 1 / vv WHEN ua.n IS NULL THEN (ub.n + 1) / (nn + vv) ELSE CASE WHEN ab.n > 0 THEN 0.85 * ab.n / greatest(ua.n, 1) ELSE 0 END + 0.12 * (ub.n + 1) / (nn + vv) + 0.03 / vv END"
+
+
+@query(f"""WITH {_MODEL}, asked AS (SELECT DISTINCT substring(g, 1, 1) AS z, substring(g, 2, 1) AS a, substring(g, 3, 1) AS b FROM g3)
+SELECT z, a, b, round(ln(CASE WHEN za.n > 0 AND zab.n > 0 AND ub.n IS NOT NULL THEN 0.80 * zab.n / za.n + 0.15 * ({_P2}) + 0.04 * (ub.n + 1) / (nn + vv) + 0.01 / vv ELSE {_P2} END), 6) AS log_p
+FROM asked CROSS JOIN tot LEFT JOIN uni ub ON ub.c = b LEFT JOIN uni ua ON ua.c = a LEFT JOIN k2 ab ON ab.g = a || b LEFT JOIN k2 za ON za.g = z || a LEFT JOIN k3 zab ON zab.g = z || a || b""")
+def next_char_scores(spark, sf_dir):
+    segs = ngrams.segments(script(spark, sf_dir))
+    uni, bi, tri = (ngrams.train_ngrams(segs, n) for n in (1, 2, 3))
+    asked = ngrams.train_ngrams(segs, 3, least=1).select(F.col("c1").alias("z"), F.col("c2").alias("a"), F.col("c3").alias("b"))
+    return ngrams.score_next(asked, uni, bi, tri).select("z", "a", "b", F.round("log_p", 6).alias("log_p"))
+
+
+@query()
+def candidate_scores(spark, sf_dir):
+    segs = ngrams.segments(script(spark, sf_dir))
+    found = ngrams.confusion_candidates(script(spark, sf_dir), _confusions(spark), _lexicon(spark, sf_dir))
+    return ngrams.score_candidates(found, ngrams.train_ngrams(segs, 1), ngrams.train_ngrams(segs, 2))

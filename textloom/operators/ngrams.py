@@ -92,13 +92,13 @@ def confusion_candidates(df: DataFrame, confusions: DataFrame, lexicon: DataFram
     the place (``lexicon``: ``word, freq``); ``verdict`` is true to replace, false to keep, null if they do not tell."""
     arrays = df.select(F.col(id_col).alias("doc_id"), _characters(F.col(text_col)).alias("__a"))
     near = lambda i, d: F.coalesce(F.get("__a", i + d), F.lit(""))
-    windows = F.transform("__a", lambda c, i: F.struct(i.alias("pos"), c.alias("orig"), near(i, -2).alias("p2"), near(i, -1).alias("prev"), near(i, 1).alias("next"), near(i, 2).alias("n2")))
+    windows = F.transform("__a", lambda c, i: F.struct(i.alias("pos"), c.alias("orig"), near(i, -1).alias("prev"), near(i, 1).alias("next")))
     chars = arrays.select("doc_id", F.explode(windows).alias("w")).select("doc_id", "w.*")
     placed = chars.join(F.broadcast(confusions.select(F.col("ch").alias("orig"), "cand")), "orig")
 
     def words(c: str) -> Column:
-        x, p2, p1, n1, n2 = F.col(c), F.col("p2"), F.col("prev"), F.col("next"), F.col("n2")
-        return F.array(*(F.when((a != "") & (b != ""), w) for a, b, w in ((p1, x, F.concat(p1, x)), (x, n1, F.concat(x, n1)), (p1, n1, F.concat(p1, x, n1)), (p2, p1, F.concat(p2, p1, x)), (n1, n2, F.concat(x, n1, n2)))))
+        x, p1, n1 = F.col(c), F.col("prev"), F.col("next")
+        return F.array(*(F.when((a != "") & (b != ""), w) for a, b, w in ((p1, x, F.concat(p1, x)), (x, n1, F.concat(x, n1)), (p1, n1, F.concat(p1, x, n1)))))
 
     both = placed.select("*", F.explode(F.array(F.struct(F.lit("o").alias("side"), words("orig").alias("w")), F.struct(F.lit("c").alias("side"), words("cand").alias("w")))).alias("s"))
     both = both.select("doc_id", "pos", "orig", "cand", "prev", "next", "s.side", F.explode("s.w").alias("word"))
