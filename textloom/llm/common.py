@@ -15,6 +15,10 @@ SLICE_ROWS, SLICE_BYTES = 256, 1 << 20
 #: Rows of an Arrow batch. With long texts Spark's usual 10,000 would be a gigabyte.
 BATCH_ROWS = 512
 
+#: Bits of the filters by which a pass over the texts leaves out what is alone: a fixed size. Fuller filters let more
+#: through, which exact joins then drop.
+FILTER_BITS = 1 << 26
+
 #: The words of a text: runs of anything but the ASCII space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -81,3 +85,20 @@ def sliding_least(key: np.ndarray, width: int) -> np.ndarray:
     ahead = np.minimum.accumulate(blocks, axis=1).ravel()
     behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
+
+
+def bloom_of(keys: DataFrame, column: str) -> np.ndarray:
+    """A Bloom filter of a column of hashes, two bits each: FILTER_BITS / 64 numbers reach the driver at most."""
+    key = F.col(column)
+    bits = F.explode(F.array(key.bitwiseAND(F.lit(FILTER_BITS - 1)), F.shiftrightunsigned(key, 32).bitwiseAND(F.lit(FILTER_BITS - 1))))
+    words = keys.select(bits.alias("bit")).groupBy(F.floor(F.col("bit") / 64).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % 64).cast("int"))).alias("set"))
+    found = words.toArrow()
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[found["word"].to_numpy()] = found["set"].to_numpy()
+    return out.view(np.uint64)
+
+
+def may_hold(bloom: np.ndarray, key: np.ndarray) -> np.ndarray:
+    low, high = key & np.uint64(FILTER_BITS - 1), (key >> np.uint64(32)) & np.uint64(FILTER_BITS - 1)
+    has = lambda bit: (bloom[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1)
+    return (has(low) & has(high)).astype(bool)

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import mapped, plain_bytes, settled, sliding_least
+from textloom.llm.common import bloom_of, mapped, may_hold, plain_bytes, settled, sliding_least
 
 LENGTH, GRAM = 200, 32
 _LETTER = np.random.default_rng(11).integers(0, 1 << 64, 256, np.uint64, endpoint=False)
@@ -50,9 +50,17 @@ def owners(gram: np.ndarray, length: int) -> np.ndarray:
     return (sliding_least(key, length - GRAM + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
-def _anchors(docs: DataFrame, length: int) -> DataFrame:
-    """``id, th, s, e, b, c``: sampled suffixes. The strings that start at ``s`` to ``e`` of a document own one q-gram of
-    bucket ``b``; ``c`` identifies all bytes that they span."""
+#: Buckets of at most so many kinds are told apart in one task each; larger ones string by string in a shuffle.
+BUCKET_KINDS = 256
+
+
+def _anchors(docs: DataFrame, length: int, columns: str, bloom: np.ndarray | None = None, by: str = "b") -> DataFrame:
+    """Sampled suffixes with some of the columns ``id, th, s, e, b, c, off, text``. The strings that start at ``s`` to ``e`` of
+    a document own one q-gram, ``off`` after ``s``, of bucket ``b``; ``c`` identifies all bytes that they span, ``text``.
+    With ``bloom``, only suffixes whose ``by`` it may hold."""
+    shared = docs.sparkSession.sparkContext.broadcast(bloom) if bloom is not None else None
+    wanted = columns.split()
+    types = {"id": "long", "th": "int", "s": "int", "e": "int", "b": "long", "c": "long", "off": "int", "text": "binary"}
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -70,55 +78,121 @@ def _anchors(docs: DataFrame, length: int) -> DataFrame:
             p = own[start]
             first = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
             s, e, p, doc = start[first], start[np.append(first[1:], len(p)) - 1], p[first], doc[first]
+            if shared is not None and by == "b":
+                s, e, p, doc = (x[keep] for keep in [may_hold(shared.value, gram[p])] for x in (s, e, p, doc))
             view, hashed = memoryview(flat), xxhash.xxh3_64_intdigest
             c = np.fromiter((hashed(view[x:y]) for x, y in zip(s.tolist(), (e + length).tolist(), strict=True)), np.uint64, len(s))
+            if shared is not None and by == "c":
+                s, e, p, doc, c = (x[keep] for keep in [may_hold(shared.value, c)] for x in (s, e, p, doc, c))
             at = pa.array(doc)
-            return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array((s - begin[doc]).astype(np.int32)), pa.array((e - begin[doc]).astype(np.int32)), pa.array(gram[p].view(np.int64)), pa.array(c.view(np.int64))], ["id", "th", "s", "e", "b", "c"])
+            make_column = {
+                "id": lambda: batch.column(0).take(at),
+                "th": lambda: batch.column(2).take(at),
+                "s": lambda: pa.array((s - begin[doc]).astype(np.int32)),
+                "e": lambda: pa.array((e - begin[doc]).astype(np.int32)),
+                "b": lambda: pa.array(gram[p].view(np.int64)),
+                "c": lambda: pa.array(c.view(np.int64)),
+                "off": lambda: pa.array((p - s).astype(np.int32)),
+                "text": lambda: pa.array([flat[x:y] for x, y in zip(s.tolist(), (e + length).tolist(), strict=True)], pa.binary()),
+            }
+            return pa.RecordBatch.from_arrays([make_column[x]() for x in wanted], wanted)
 
         return step
 
-    return mapped(docs.select("id", "text", "th"), make, "id long, th int, s int, e int, b long, c long")
-
-
-def _strings(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """``id, th, i, b, off, w``: the single strings of the wanted anchors (``id, th, s, e``): start, bucket and place of the
-    owned q-gram, and the identifier of all bytes."""
+    return mapped(docs.select("id", "text", "th"), make, ", ".join(f"{x} {types[x]}" for x in wanted))
+
+
+def _strings(bodies: list[bytes], offs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All strings of ``length`` bytes in the spans of some suffixes: the suffix's number, the string's number in it, the
+    place of the owned q-gram in the string, and the identifier of its bytes."""
+    size = np.fromiter(map(len, bodies), np.int64, len(bodies))
+    level = identifiers(np.frombuffer(b"".join(bodies), np.uint8), 1 << (length.bit_length() - 1))
+    count = size - length + 1
+    whose = np.repeat(np.arange(len(bodies)), count)
+    nth = np.arange(len(whose)) - np.repeat(np.cumsum(count) - count, count)
+    at = nth + (np.cumsum(size) - size)[whose]
+    rest, w = length, np.zeros(len(at), np.uint64)
+    for q in sorted(level, reverse=True):  # the length's binary digits
+        if rest >= q:
+            w = refine(w, level[q][at], 11)
+            rest, at = rest - q, at + q
+    return whose, nth, offs[whose] - nth, w
+
+
+def _marks(batch: pa.RecordBatch, whose: np.ndarray, nth: np.ndarray) -> pa.RecordBatch:
+    """``id, th, s, e`` of marked strings, in ranges."""
+    fresh = np.append(True, (whose[1:] != whose[:-1]) | (nth[1:] != nth[:-1] + 1))[: len(whose)]
+    first = np.flatnonzero(fresh)
+    last = np.append(first[1:], len(whose))[: len(first)] - 1
+    at = pa.array(whose[first])
+    s = batch.column("s").to_numpy()[whose[first]]
+    return pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("th").take(at), pa.array((s + nth[first]).astype(np.int32)), pa.array((s + nth[last]).astype(np.int32))], ["id", "th", "s", "e"])
+
+
+def _told_in_buckets(kinds: DataFrame, length: int) -> DataFrame:
+    """``id, th, s, e``: ranges of strings that two kinds of one bucket share (``b, off, text, id, th, s``, buckets of at most
+    BUCKET_KINDS). Rows come sorted by bucket, so a task holds whole buckets in turn."""
+
+    def run(batches):
+        held: pa.RecordBatch | None = None
+
+        def told(rows: pa.RecordBatch) -> pa.RecordBatch:
+            whose, nth, place, w = _strings(rows.column("text").to_pylist(), rows.column("off").to_numpy().astype(np.int64), length)
+            key = refine(refine(rows.column("b").to_numpy().view(np.uint64)[whose], place.astype(np.uint64), 10), w, 9)
+            order = np.argsort(key)
+            key = key[order]
+            same = key[1:] == key[:-1]
+            again = np.sort(order[np.append(same, False) | np.append(False, same)]) if len(key) else order
+            return _marks(rows, whose[again], nth[again])
+
+        for batch in batches:
+            rows = pa.concat_batches([held, batch]) if held is not None else batch
+            b = rows.column("b").to_numpy()
+            whole = int(np.searchsorted(b, b[-1])) if rows.num_rows else 0  # all but the last bucket
+            if whole and (out := told(rows.slice(0, whole))).num_rows:
+                yield out
+            held = rows.slice(whole)
+        if held is not None and held.num_rows and (out := told(held)).num_rows:
+            yield out
+
+    kinds.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
+    ordered = kinds.repartition("b").sortWithinPartitions("b").select("b", "off", "text", "id", "th", "s")
+    return ordered.mapInArrow(run, "id long, th int, s int, e int")
+
+
+def _told_by_string(kinds: DataFrame, length: int) -> DataFrame:
+    """The same for large buckets: a row for each string, counted across tasks."""
 
     def make():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-            parts = []
-            for k, (body, spans) in enumerate(zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                level = identifiers(np.frombuffer(body, np.uint8), 1 << (length.bit_length() - 1))
-                own = owners(level[GRAM], length)
-                i = np.unique(np.concatenate([np.arange(x["s"], x["e"] + 1) for x in spans]))
-                rest, at, w = length, i, np.zeros(len(i), np.uint64)
-                for q in sorted(level, reverse=True):  # the length's binary digits
-                    if rest >= q:
-                        w = refine(w, level[q][at], 11)
-                        rest, at = rest - q, at + q
-                parts.append((np.full(len(i), k), i, level[GRAM][own[i]], own[i] - i, w))
-            k, i, b, off, w = (np.concatenate(x) for x in zip(*parts, strict=True))
-            at = pa.array(k)
-            return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array(i.astype(np.int32)), pa.array(b.view(np.int64)), pa.array(off.astype(np.int32)), pa.array(w.view(np.int64))], ["id", "th", "i", "b", "off", "w"])
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            whose, nth, place, w = _strings(batch.column("text").to_pylist(), batch.column("off").to_numpy().astype(np.int64), length)
+            at = pa.array(whose)
+            i = pa.array((batch.column("s").to_numpy()[whose] + nth).astype(np.int32))
+            return pa.RecordBatch.from_arrays([batch.column("b").take(at), pa.array(place.astype(np.int32)), pa.array(w.view(np.int64)), batch.column("id").take(at), batch.column("th").take(at), i], ["b", "place", "w", "id", "th", "i"])
 
         return step
 
-    lists = wanted.groupBy("id", "th").agg(F.collect_list(F.struct("s", "e")).alias("spans"))  # one document's
-    return mapped(docs.join(lists, ["id", "th"]).dropDuplicates(["id", "th"]).select("id", "text", "th", "spans"), make, "id long, th int, i int, b long, off int, w long")
+    strings = settled(mapped(kinds.select("b", "text", "off", "id", "th", "s"), make, "b long, place int, w long, id long, th int, i int"))
+    twice = settled(strings.groupBy("b", "place", "w").agg(F.count("*").alias("m")).filter("m > 1").drop("m"))
+    return strings.join(twice, ["b", "place", "w"]).select("id", "th", F.col("i").alias("s"), F.col("i").alias("e"))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``id, th, spans array<struct<s, e>>`` of each document (``id, text binary, th``) that has a string of ``length``
     bytes which also starts elsewhere: the starts of such strings, as ranges."""
-    classes = _anchors(docs, length).groupBy("b", "c").agg(F.count("*").alias("n"), *(F.first(x).alias(x) for x in ("id", "th", "s", "e")))
-    buckets = classes.groupBy("b").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).filter("total > 1")
-    shared = settled(classes.join(buckets, "b").select("b", "c", "n", "kinds", "id", "th", "s", "e"))
-    # One of each kind stands for all of it; only kinds of a single suffix have to be told string by string.
-    strings = settled(_strings(docs, shared.filter("kinds > 1").select("id", "th", "s", "e"), length))
-    twice = strings.groupBy("b", "off", "w").agg(F.count("*").alias("m")).filter("m > 1").drop("m")
-    some = strings.join(twice, ["b", "off", "w"]).select("id", "th", F.col("i").alias("s"), F.col("i").alias("e"))
-    whole = _anchors(docs, length).join(shared.filter("n > 1").select("b", "c"), ["b", "c"]).select("id", "th", "s", "e")
-    return whole.unionByName(some).distinct().groupBy("id", "th").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    kinds = settled(_anchors(docs, length, "b c").groupBy("b", "c").agg(F.count("*").alias("n")))
+    # Suffixes with all their span shared: all their strings repeat.
+    full = kinds.filter("n > 1").select("b", "c")
+    whole = _anchors(docs, length, "id th s e b c", bloom_of(full, "c"), "c").join(full, ["b", "c"]).select("id", "th", "s", "e")
+    # Buckets of several kinds: one suffix stands for each kind.
+    buckets = settled(kinds.groupBy("b").agg(F.count("*").alias("kinds")).filter("kinds > 1"))
+    first = [F.first(x).alias(x) for x in ("id", "th", "s", "off", "text")]
+    spans = _anchors(docs, length, "id th s b c off text", bloom_of(buckets, "b"), "b").groupBy("b", "c").agg(*first).join(buckets, "b")
+    small = _told_in_buckets(spans.filter(F.col("kinds") <= BUCKET_KINDS), length)
+    marks = whole.unionByName(small)
+    if not buckets.filter(F.col("kinds") > BUCKET_KINDS).isEmpty():
+        marks = marks.unionByName(_told_by_string(spans.filter(F.col("kinds") > BUCKET_KINDS), length))
+    return marks.distinct().groupBy("id", "th").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
 
 def _covered(n: int, spans: list[dict] | None, length: int) -> list[tuple[int, int]]:
