@@ -61,7 +61,7 @@ def redundancy_warnings(c: Column | str) -> Column:
 def collapse_punct(c: Column | str) -> Column:
     """A run of CJK marks, blanks between them included, becomes its most important one, or ？！ if it has both."""
     text, more = _col(c), f"(?:{BLANK}*[{MARKS}])*"
-    both = ""
+    both = "\ue000"
     for a, b in ("！？", "？！"):
         text = F.regexp_replace(text, f"{more}{BLANK}*{a}{more}{BLANK}*{b}{more}", both)
     for mark in MARKS:
@@ -105,10 +105,10 @@ def apply_by_clause(c: Column | str, fn: Callable[[Column], Column]) -> Column:
 
 
 def chunk_text(c: Column | str, max_len: int = 1500) -> Column:
-    """Array of chunks: the text itself if it is not longer than ``max_len``; else its parts (each up to and with a run of
-    sentence ends or line breaks) packed greedily. A part that is too long stays whole. An empty text is one empty chunk."""
+    """Array of chunks: the text itself if it is not longer than ``max_len``; else its parts (runs of sentence ends or line
+    breaks, and what lies between) packed greedily. A part that is too long stays whole. An empty text is one empty chunk."""
     text = _col(c)
-    parts = F.filter(F.regexp_extract_all(text, F.lit("[^。！？\n]*[。！？\n]+|[^。！？\n]+"), F.lit(0)), lambda p: F.length(p) > 0)
+    parts = F.filter(F.regexp_extract_all(text, F.lit("[^。！？\n]+|[。！？\n]+"), F.lit(0)), lambda p: F.length(p) > 0)
     state = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
     full = lambda s, p: (F.length(s["cur"]) > 0) & (F.length(s["cur"]) + F.length(p) > max_len)
     step = lambda s, p: F.struct(F.when(full(s, p), F.array_append(s["done"], s["cur"])).otherwise(s["done"]).alias("done"), F.when(full(s, p), p).otherwise(F.concat(s["cur"], p)).alias("cur"))

@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.functions import rewriting as R
 from textloom.functions import text as T
 from textloom.functions.sample_script import as_script, as_script_sql
-from textloom.operators import lexicon, mining, ngrams
+from textloom.operators import correcting, lexicon, mining, ngrams
+from textloom.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -392,3 +394,167 @@ def candidate_scores(spark, sf_dir):
     segs = ngrams.segments(script(spark, sf_dir))
     found = ngrams.confusion_candidates(script(spark, sf_dir), _confusions(spark), _lexicon(spark, sf_dir))
     return ngrams.score_candidates(found, ngrams.train_ngrams(segs, 1), ngrams.train_ngrams(segs, 2))
+
+
+# --- correction --------------------------------------------------------------------------------------------------------
+
+_TYPOS = [("了在", "了再"), ("一得", "一地"), ("的的", "的"), ("再了", "在了"), ("十的", "什的")]
+_GUARDED = R.Rule("在一", "再一", (("了", ""), ("", "得")))
+_STAGES = dict(simplified=("說個麼", "说个么"), typos=[R.Rule(a, b) for a, b in _TYPOS], user=[R.Rule("把地", "把它切入")], learned=[R.Rule("它切入", "它接入")])
+
+
+def _nested(pairs: list[tuple[str, str]], text: str = "text") -> str:
+    for a, b in pairs:
+        text = f"replace({text}, '{a}', '{b}')"
+    return text
+
+
+@query(f"WITH {SCRIPT} SELECT doc_id, {_nested(_TYPOS)} AS text FROM script")
+def typos_fixed(spark, sf_dir):
+    return correcting.apply_rules(script(spark, sf_dir), _STAGES["typos"]).select("doc_id", "text")
+
+
+@query(f"WITH {SCRIPT} SELECT doc_id, {_nested(sorted(_TYPOS, key=lambda p: -len(p[0])) )} AS text FROM script")
+def particle_phrases(spark, sf_dir):
+    return correcting.apply_rules(script(spark, sf_dir), correcting.phrase_rules([*_TYPOS, ("它的", "它的")])).select("doc_id", "text")
+
+
+@query(f"WITH {SCRIPT} SELECT doc_id, replace(replace(replace(replace(replace(text, '了在一', chr(57344)), '在一得', chr(57345)), '在一', '再一'), chr(57344), '了在一'), chr(57345), '在一得') AS text FROM script")
+def guarded_rules(spark, sf_dir):
+    return correcting.apply_rules(script(spark, sf_dir), [_GUARDED]).select("doc_id", "text")
+
+
+@query()
+def numerals_normalized(spark, sf_dir):
+    return script(spark, sf_dir).select("doc_id", correcting.text_udf(R.normalize_numerals)("text").alias("text"))
+
+
+@query()
+def quotes_closed(spark, sf_dir):
+    quoted = table(spark, sf_dir, "documents").select("doc_id", F.translate("text", "xyz'", "“‘”’").alias("text"))
+    return quoted.select("doc_id", correcting.text_udf(R.close_quotes)("text").alias("text"))
+
+
+def _clauses(spark, sf_dir):
+    """``doc_id, text``: the documents' clauses, each numbered in its document."""
+    parts = script(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "[。，]")).alias("pos", "text"))
+    return parts.filter("text <> ''").select((F.col("doc_id") * 1_000_000 + F.col("pos")).alias("doc_id"), "text")
+
+
+def _proofread(spark, sf_dir):
+    return correcting.proofread(_clauses(spark, sf_dir), correcting.default_stages(**_STAGES))
+
+
+@query()
+def proofread_texts(spark, sf_dir):
+    return _proofread(spark, sf_dir).select("doc_id", "corrected", F.size("suggestions").alias("n_suggestions"))
+
+
+@query()
+def proofread_suggestions(spark, sf_dir):
+    return correcting.suggestions_of(_proofread(spark, sf_dir))
+
+
+@query()
+def suggestion_report(spark, sf_dir):
+    return correcting.suggestion_report(correcting.suggestions_of(_proofread(spark, sf_dir)))
+
+
+@query()
+def suggestion_top(spark, sf_dir):
+    return correcting.top_replacements(correcting.suggestions_of(_proofread(spark, sf_dir)))
+
+
+def _pairs(spark, sf_dir):
+    """Clauses and what a rule makes of them, as correction pairs."""
+    changed = F.replace(F.replace(F.replace("text", F.lit("在了"), F.lit("再了")), F.lit("一十"), F.lit("以十")), F.lit("吧"), F.lit(""))
+    return _clauses(spark, sf_dir).select(F.col("doc_id").alias("event_id"), F.col("text").alias("raw"), changed.alias("corrected"), F.lit(False).alias("manual"), F.col("doc_id").alias("ts"))
+
+
+@query()
+def diffs_learnable(spark, sf_dir):
+    return correcting.extract_diffs(_pairs(spark, sf_dir), _lexicon(spark, sf_dir)).select("event_id", "seq", "old", "new")
+
+
+@query()
+def diffs_particles(spark, sf_dir):
+    pairs = _pairs(spark, sf_dir).withColumn("corrected", F.replace("raw", F.lit("地得"), F.lit("的得")))
+    return correcting.extract_diffs(pairs, particles_only=True).select("event_id", "seq", "old", "new")
+
+
+_CLAUSES = f"{SCRIPT}, cl AS (SELECT doc_id, string_split_regex(text, '[。，]') AS ps FROM script), clauses AS (SELECT doc_id * 1000000 + unnest(range(0, len(ps))) AS doc_id, unnest(ps) AS text FROM cl)"
+
+
+@query(f"""WITH {_CLAUSES} SELECT doc_id AS event_id FROM clauses WHERE text <> '' AND contains(text, '地得')""")
+def pair_conflicts(spark, sf_dir):
+    pairs = _pairs(spark, sf_dir).withColumn("corrected", F.replace("raw", F.lit("地得"), F.lit("的得"))).withColumn("verdict", F.col("raw"))
+    return correcting.conflicting_pairs(pairs)
+
+
+@query(f"WITH {SCRIPT} SELECT doc_id, replace(text, '的一', '得一') AS text FROM script")
+def verdicts_merged(spark, sf_dir):
+    parsed = script(spark, sf_dir).withColumn("parse", F.replace(F.replace("text", F.lit("的一"), F.lit("得一")), F.lit("的二"), F.lit("地二")))
+    return parsed.select("doc_id", correcting.merge_verdicts("text", "parse").alias("text"))
+
+
+@query()
+def tokens_tagged(spark, sf_dir):
+    cut = correcting.tag_tokens(_clauses(spark, sf_dir), _lexicon(spark, sf_dir))
+    return cut.groupBy("word", "tag").agg(F.count("*").alias("n"))
+
+
+_PARSES = f"{_TOKENS}, parses AS (SELECT doc_id, seq AS idx, word, (seq + 2 - (seq % 3) * 2)::BIGINT AS head, CASE seq % 3 WHEN 1 THEN 'VOB' WHEN 2 THEN 'dobj' ELSE 'att' END AS deprel FROM tokens WHERE length(word) <= 4)"
+
+
+@query(f"WITH {_PARSES} SELECT p.word AS verb, o.word AS object, count(*) AS n FROM parses o JOIN parses p ON o.doc_id = p.doc_id AND p.idx = o.head - 1 WHERE o.deprel IN ('VOB', 'dobj') GROUP BY 1, 2")
+def verb_objects(spark, sf_dir):
+    third = F.col("seq") % 3
+    parses = _tokens(spark, sf_dir).filter(F.length("word") <= 4).select("doc_id", F.col("seq").alias("idx"), "word", (F.col("seq") + 2 - third * 2).alias("head"), F.when(third == 1, "VOB").when(third == 2, "dobj").otherwise("att").alias("deprel"))
+    return correcting.collocations(parses)
+
+
+@query()
+def polish_round_trip(spark, sf_dir):
+    """Prompts for every chunk, answered by an upper-casing stand-in that fails on some."""
+    prompts = correcting.polish_prompts(script(spark, sf_dir), "请润色：{text}", ["数据"], [("在", "再")])
+    answer = lambda prompt: F.when(F.length(prompt) % 3 == 0, F.lit("")).otherwise(F.upper(F.substring_index(prompt, "请润色：", -1)))
+    return correcting.apply_polish(prompts, answer)
+
+
+@query(f"""WITH {SCRIPT} SELECT CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END AS variant, count(*) FILTER (WHERE contains(text, '的的')) AS wrong, count(*) FILTER (WHERE contains(text, '的的') AND NOT contains(replace(text, '的的', '的'), '的的')) AS hits,
+count(*) FILTER (WHERE NOT contains(text, '的的')) AS "right", 1.0::DOUBLE AS protection FROM script GROUP BY 1""")
+def metrics(spark, sf_dir):
+    gold = F.regexp_replace("text", "的{2,}", "的")
+    return correcting.correction_metrics(script(spark, sf_dir).select(F.when(F.col("doc_id") % 2 == 0, "even").otherwise("odd").alias("variant"), F.col("text").alias("raw"), gold.alias("gold"), F.replace("text", F.lit("的的"), F.lit("的")).alias("output")))
+
+
+@query(f"WITH {SCRIPT} SELECT CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END AS case_group, count(*) FILTER (WHERE NOT regexp_matches(text, '的的的')) AS passed, count(*) FILTER (WHERE regexp_matches(text, '的的的')) AS failed FROM script GROUP BY 1")
+def cases_evaluated(spark, sf_dir):
+    texts = script(spark, sf_dir)
+    cases = texts.select(F.when(F.col("doc_id") % 2 == 0, "even").otherwise("odd").alias("case_group"), F.col("doc_id").alias("label"), F.col("text").alias("input"), F.regexp_replace("text", "的{2,}", "的").alias("expected"))
+    got = texts.select(F.col("text").alias("input"), F.replace("text", F.lit("的的"), F.lit("的")).alias("output")).distinct()
+    return correcting.evaluate_cases(got, cases)
+
+
+# --- list files and annotated files as tables --------------------------------------------------------------------------
+
+
+@query("SELECT string_split(p_name, ' ')[1] AS word, CASE WHEN p_size % 3 = 0 THEN 2.0 ELSE (p_size / 10.0)::DOUBLE END AS score FROM part WHERE p_size % 5 <> 0")
+def terms_parsed(spark, sf_dir):
+    head, size = F.split("p_name", " ")[0], F.col("p_size")
+    line = F.when(size % 5 == 0, F.concat(F.lit("# "), head)).otherwise(F.concat(F.lit("  "), head, F.lit("\t"), F.when(size % 3 == 0, "x").otherwise((size / 10.0).cast("string"))))
+    return tables.parse_terms(table(spark, sf_dir, "part").select(line.alias("value")))
+
+
+@query(f"""WITH {_TOKENS}, forms AS (SELECT doc_id * 1000000 + seq AS o, substring(word, 1, 2) AS preferred, word AS deprecated FROM tokens WHERE length(word) BETWEEN 3 AND 4),
+r AS (SELECT preferred, deprecated, row_number() OVER (PARTITION BY deprecated ORDER BY o DESC) AS k FROM forms) SELECT preferred, deprecated FROM r WHERE k = 1""")
+def variants_parsed(spark, sf_dir):
+    words = _tokens(spark, sf_dir).filter(F.length("word").between(3, 4))
+    lines = words.select((F.col("doc_id") * 1_000_000 + F.col("seq")).alias("ord"), F.concat(F.substring("word", 1, 2), F.lit(" "), "word", F.lit("、"), F.substring("word", 1, 2), F.lit("、标识 1 yin")).alias("value"))
+    return tables.parse_variants(lines)
+
+
+@query(f"WITH {SCRIPT} SELECT {KEPT_SQL} AS text FROM script WHERE length({KEPT_SQL}) >= 2")
+def xml_corrections(spark, sf_dir):
+    raw = script(spark, sf_dir).select(F.concat(F.lit("<DOC><TEXT>x</TEXT><CORRECTION id='1'>\n<b>"), F.regexp_replace("text", "[<>]", ""), F.lit("</b></CORRECTION>")).alias("value"))
+    return tables.extract_corrections(raw)
