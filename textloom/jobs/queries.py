@@ -32,8 +32,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def script(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``doc_id, text``: the documents in CJK characters."""
-    return table(spark, sf_dir, "documents").select("doc_id", as_script("text").alias("text"))
+    """``doc_id, text``: the documents in CJK characters. A table in fewer splits than there are cores is dealt out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cores = spark.sparkContext.defaultParallelism
+    if docs.rdd.getNumPartitions() < cores:
+        docs = docs.repartition(cores)
+    return docs.select("doc_id", as_script("text").alias("text"))
 
 
 SCRIPT = f"script AS (SELECT doc_id, {as_script_sql('text')} AS text FROM documents)"
