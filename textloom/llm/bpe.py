@@ -124,8 +124,10 @@ class MergeTable:
 class Coder:
     """Encodes texts as ``Tokenizer.encode(text, add_special_tokens=False)`` does, without truncation or padding."""
 
-    def __init__(self, path: str, special: bool = True) -> None:
-        """special: strings of special tokens in a text become their ids; else they are ordinary text."""
+    def __init__(self, path: str, special: bool = True, keep_text: bool = False) -> None:
+        """special: strings of special tokens in a text become their ids; else they are ordinary text. keep_text: words are
+        remembered with their ids and tokens as text, which ``with_text`` needs."""
+        self.keep_text = keep_text
         self.table = MergeTable(path)
         tokenizer = Tokenizer.from_file(path)
         self.normalise, self.cut = tokenizer.normalizer.normalize_str, tokenizer.pre_tokenizer.pre_tokenize_str
@@ -178,7 +180,7 @@ class Coder:
         starts[~is_plain], sizes[~is_plain] = len(body) + np.cumsum(more) - more, more
         return np.frombuffer(body + b"".join(flat), np.uint8), starts, sizes, n_words
 
-    def _learn(self, raw: list[bytes], with_text: bool) -> None:
+    def _learn(self, raw: list[bytes]) -> None:
         size = np.fromiter(map(len, raw), np.int64, len(raw))
         ends = np.cumsum(size)
         letters = np.frombuffer(b"".join(raw), np.uint8)
@@ -202,7 +204,7 @@ class Coder:
         self.start = np.append(self.start, len(self.flat) + begin)
         self.count = np.append(self.count, count)
         self.flat = np.append(self.flat, flat.astype(np.uint32))
-        if with_text:
+        if self.keep_text:
             ids = flat.tolist()
             names = [self.table.names[i] for i in ids]
             digits = list(map(str, ids))
@@ -210,7 +212,7 @@ class Coder:
                 self.id_text.append(" ".join(digits[a:b]).encode())
                 self.token_text.append(" ".join(names[a:b]).encode())
 
-    def codes(self, texts: list[str], with_text: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    def codes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The cache's numbers of all texts' words, and each text's number of words."""
         if len(self.code) > CACHE_WORDS:
             self._forget()
@@ -227,7 +229,7 @@ class Coder:
         found = list(map(self.code.get, keys.tolist()))
         if new := [i for i, x in enumerate(found) if x is None]:
             body, known = letters.tobytes(), len(self.code)
-            self._learn([body[a : a + n] for a, n in zip(at[first[new]].tolist(), size[first[new]].tolist(), strict=True)], with_text)
+            self._learn([body[a : a + n] for a, n in zip(at[first[new]].tolist(), size[first[new]].tolist(), strict=True)])
             for i, k in enumerate(keys[new].tolist()):
                 self.code[k] = found[new[i]] = known + i
         return np.array(found, np.int64)[back], n_words
@@ -242,7 +244,7 @@ class Coder:
 
     def with_text(self, texts: list[str]) -> Iterator[tuple[int, bytes, bytes]]:
         """Of each text: the number of ids, the decimal ids joined by spaces, and the decoded text in UTF-8."""
-        code, n_words = self.codes(texts, True)
+        code, n_words = self.codes(texts)
         counts = np.append(0, np.cumsum(self.count[code]))
         listed, ends = code.tolist(), np.cumsum(n_words).tolist()
         for a, b in zip([0, *ends], ends, strict=False):
@@ -251,6 +253,6 @@ class Coder:
 
 
 @lru_cache(maxsize=1)
-def coder(path: str, special: bool = True) -> Coder:
+def coder(path: str, special: bool = True, keep_text: bool = False) -> Coder:
     """The worker's coder: tasks that reuse the Python worker reuse its cache."""
-    return Coder(path, special)
+    return Coder(path, special, keep_text)

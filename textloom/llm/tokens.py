@@ -62,7 +62,7 @@ def encoding_digests(df: DataFrame, tokenizer: str | None = None, id_col: str =
     path = tokenizer or tokenizer_path()
 
     def make():
-        code = coder(path)
+        code = coder(path, keep_text=True)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = [(n, sha256(ids).hexdigest(), sha256(text).hexdigest()) for n, ids, text in code.with_text(batch.column(1).to_pylist())]
@@ -177,7 +177,7 @@ def scan_separators(blocks: DataFrame, end: int = FILE_END, group_blocks: int =
 
         return step
 
-    found = settled(mapped(blocks.select("shard", F.col("block").cast("long").alias("block"), F.coalesce("payload", F.lit(b"")).alias("payload")), make, "shard int, block long, n long, ends array<long>"))
+    found = settled(mapped(blocks.select("shard", F.col("block").cast("long").alias("block"), F.coalesce("payload", F.lit(b"")).alias("payload")), make, f"shard {dict(blocks.dtypes)['shard']}, block long, n long, ends array<long>"))
     summary = found.select("shard", "block", "n", F.try_element_at("ends", F.lit(-1)).alias("last"), F.floor(F.col("block") / group_blocks).alias("group"))
     # What precedes: tokens, and the position after the last end id in file coordinates, first by group and then inside it.
     in_group = W.partitionBy("shard", "group").orderBy("block")
