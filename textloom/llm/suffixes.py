@@ -50,8 +50,10 @@ def owners(gram: np.ndarray, length: int) -> np.ndarray:
     return (sliding_least(key, length - GRAM + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
-#: Buckets of at most so many kinds are told apart in one task each; larger ones string by string in a shuffle.
-BUCKET_KINDS = 256
+#: Buckets of at most so many kinds are told apart in one task each; larger ones in shuffles.
+BUCKET_KINDS = 1024
+#: Neighbouring strings of a suffix that large buckets tell together before they are told one by one.
+CELL = 16
 
 
 def _anchors(docs: DataFrame, length: int, columns: str, bloom: np.ndarray | None = None, by: str = "b") -> DataFrame:
@@ -102,21 +104,26 @@ def _anchors(docs: DataFrame, length: int, columns: str, bloom: np.ndarray | Non
     return mapped(docs.select("id", "text", "th"), make, ", ".join(f"{x} {types[x]}" for x in wanted))
 
 
-def _strings(bodies: list[bytes], offs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _strings(bodies: list[bytes], offs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, dict[int, np.ndarray]]:
     """All strings of ``length`` bytes in the spans of some suffixes: the suffix's number, the string's number in it, the
-    place of the owned q-gram in the string, and the identifier of its bytes."""
+    place of the owned q-gram in the string, and the identifier of its bytes; then the identifiers of all powers of two."""
     size = np.fromiter(map(len, bodies), np.int64, len(bodies))
     level = identifiers(np.frombuffer(b"".join(bodies), np.uint8), 1 << (length.bit_length() - 1))
     count = size - length + 1
     whose = np.repeat(np.arange(len(bodies)), count)
     nth = np.arange(len(whose)) - np.repeat(np.cumsum(count) - count, count)
     at = nth + (np.cumsum(size) - size)[whose]
-    rest, w = length, np.zeros(len(at), np.uint64)
-    for q in sorted(level, reverse=True):  # the length's binary digits
-        if rest >= q:
-            w = refine(w, level[q][at], 11)
-            rest, at = rest - q, at + q
-    return whose, nth, offs[whose] - nth, w
+    return whose, nth, offs[whose] - nth, _identifier(level, at, length), level
+
+
+def _identifier(level: dict[int, np.ndarray], at: np.ndarray, length: int) -> np.ndarray:
+    """Identifiers of the strings of any length at ``at``, from the powers of two that make up the length."""
+    out = np.zeros(len(at), np.uint64)
+    for q in sorted(level, reverse=True):
+        if length >= q:
+            out = refine(out, level[q][at], 11)
+            length, at = length - q, at + q
+    return out
 
 
 def _marks(batch: pa.RecordBatch, whose: np.ndarray, nth: np.ndarray) -> pa.RecordBatch:
@@ -137,7 +144,7 @@ def _told_in_buckets(kinds: DataFrame, length: int) -> DataFrame:
         held: pa.RecordBatch | None = None
 
         def told(rows: pa.RecordBatch) -> pa.RecordBatch:
-            whose, nth, place, w = _strings(rows.column("text").to_pylist(), rows.column("off").to_numpy().astype(np.int64), length)
+            whose, nth, place, w, _ = _strings(rows.column("text").to_pylist(), rows.column("off").to_numpy().astype(np.int64), length)
             key = refine(refine(rows.column("b").to_numpy().view(np.uint64)[whose], place.astype(np.uint64), 10), w, 9)
             order = np.argsort(key)
             key = key[order]
@@ -160,21 +167,40 @@ def _told_in_buckets(kinds: DataFrame, length: int) -> DataFrame:
     return ordered.mapInArrow(run, "id long, th int, s int, e int")
 
 
-def _told_by_string(kinds: DataFrame, length: int) -> DataFrame:
-    """The same for large buckets: a row for each string, counted across tasks."""
+def _told_by_cells(kinds: DataFrame, length: int) -> DataFrame:
+    """The same for large buckets, in shuffles: up to CELL neighbouring strings of a suffix, at the same places around the
+    owned q-gram, are a cell. Only cells that share their core, the bytes that all strings of such a cell have in common, can
+    share a string. A cell whose strings are all shared is marked whole; of the other kinds of cells with one core, one
+    each is told string by string."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            whose, nth, place, w = _strings(batch.column("text").to_pylist(), batch.column("off").to_numpy().astype(np.int64), length)
-            at = pa.array(whose)
-            i = pa.array((batch.column("s").to_numpy()[whose] + nth).astype(np.int32))
-            return pa.RecordBatch.from_arrays([batch.column("b").take(at), pa.array(place.astype(np.int32)), pa.array(w.view(np.int64)), batch.column("id").take(at), batch.column("th").take(at), i], ["b", "place", "w", "id", "th", "i"])
+            bodies, offs = batch.column("text").to_pylist(), batch.column("off").to_numpy().astype(np.int64)
+            whose, nth, place, w, level = _strings(bodies, offs, length)
+            size = np.fromiter(map(len, bodies), np.int64, len(bodies))
+            k = place // CELL
+            first = np.flatnonzero(np.append(True, (whose[1:] != whose[:-1]) | (k[1:] != k[:-1])))
+            last = np.append(first[1:], len(whose))
+            who, cell = whose[first], k[first]
+            core = _identifier(level, (np.cumsum(size) - size + offs)[who] - CELL * cell, length - CELL + 1)
+            view, hashed = memoryview(w.astype("<u8").tobytes()), xxhash.xxh3_64_intdigest
+            kind = np.fromiter((hashed(view[8 * x : 8 * y], seed=int(p)) for x, y, p in zip(first.tolist(), last.tolist(), place[first], strict=True)), np.uint64, len(first))
+            at = pa.array(who)
+            lo = batch.column("s").to_numpy()[who] + nth[first]
+            strings = pa.ListArray.from_arrays(pa.array(np.append(first, len(w)), pa.int32()), pa.array(w.view(np.int64)))
+            values = [batch.column("b").take(at), pa.array(cell.astype(np.int32)), pa.array(core.view(np.int64)), pa.array(kind.view(np.int64)), batch.column("id").take(at), batch.column("th").take(at), pa.array(lo.astype(np.int32)), pa.array((lo + last - first - 1).astype(np.int32)), pa.array(place[first].astype(np.int32)), strings]
+            return pa.RecordBatch.from_arrays(values, ["b", "cell", "core", "kind", "id", "th", "s", "e", "place", "ws"])
 
         return step
 
-    strings = settled(mapped(kinds.select("b", "text", "off", "id", "th", "s"), make, "b long, place int, w long, id long, th int, i int"))
+    cells = settled(mapped(kinds.select("b", "text", "off", "id", "th", "s"), make, "b long, cell int, core long, kind long, id long, th int, s int, e int, place int, ws array<long>"))
+    one = settled(cells.groupBy("b", "cell", "core", "kind").agg(F.count("*").alias("n"), *(F.first(x).alias(x) for x in ("id", "th", "s", "place", "ws"))))
+    whole = cells.join(one.filter("n > 1").select("b", "cell", "core", "kind"), ["b", "cell", "core", "kind"]).select("id", "th", "s", "e")
+    several = settled(one.groupBy("b", "cell", "core").agg(F.count("*").alias("kinds")).filter("kinds > 1").drop("kinds"))
+    strings = one.join(several, ["b", "cell", "core"]).select("b", "id", "th", "s", "place", F.posexplode("ws").alias("i", "w"))
+    strings = settled(strings.select("b", "w", (F.col("place") - F.col("i")).alias("place"), "id", "th", (F.col("s") + F.col("i")).alias("s")))
     twice = settled(strings.groupBy("b", "place", "w").agg(F.count("*").alias("m")).filter("m > 1").drop("m"))
-    return strings.join(twice, ["b", "place", "w"]).select("id", "th", F.col("i").alias("s"), F.col("i").alias("e"))
+    return whole.unionByName(strings.join(twice, ["b", "place", "w"]).select("id", "th", "s", F.col("s").alias("e")))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -191,7 +217,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     small = _told_in_buckets(spans.filter(F.col("kinds") <= BUCKET_KINDS), length)
     marks = whole.unionByName(small)
     if not buckets.filter(F.col("kinds") > BUCKET_KINDS).isEmpty():
-        marks = marks.unionByName(_told_by_string(spans.filter(F.col("kinds") > BUCKET_KINDS), length))
+        marks = marks.unionByName(_told_by_cells(spans.filter(F.col("kinds") > BUCKET_KINDS), length))
     return marks.distinct().groupBy("id", "th").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
 
