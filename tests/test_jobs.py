@@ -118,3 +118,15 @@ def test_cap(spark):
     pages = spark.createDataFrame([(i, "一" * 10) for i in range(5000)], "page bigint, text string")
     assert ngrams.cap_corpus(pages, 25).orderBy("page").toPandas().page.tolist() == [0, 1, 2]
     assert ngrams.cap_corpus(pages, 15_000).count() == 1500
+
+
+def test_phrase_verdicts(spark):
+    from textloom.operators import parsing
+
+    texts = {1: "做 了 认真 地 检查", 2: "高兴 的 唱歌", 3: "他 深入 的 研究 能力", 4: "美丽 地 花朵", 5: "我 做 他 认真 的 检查"}
+    tokens = spark.createDataFrame([(d, i, w) for d, t in texts.items() for i, w in enumerate(t.split())], "doc_id bigint, idx int, word string")
+    roles = spark.createDataFrame([("做", "object_verb"), ("他", "stop"), ("研究", "gerund"), ("能力", "compound_head"), ("检查", "gerund")], "word string, role string")
+    phrases = spark.createDataFrame([(1, 3, "DVP", "VP", "NP"), (2, 1, "DVP", "VP", "VP"), (3, 2, "DVP", "VP", "VP"), (4, 1, "DNP", None, "NP"), (5, 4, "DVP", "VP", None)], "doc_id bigint, idx int, label string, inner string, grandparent string")
+    verdicts = parsing.phrase_verdicts(phrases, tokens, roles)
+    assert rows(verdicts.select("doc_id", "verdict")) == [(1, "的"), (2, "地"), (3, "的"), (4, "的"), (5, "地")]
+    assert dict(rows(parsing.apply_verdicts(tokens, verdicts)))[4] == "美丽的花朵"

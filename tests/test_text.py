@@ -101,3 +101,8 @@ def test_plain_rules(spark):
     assert column(spark, T.strip_tone, ["nǐ hǎo lǜ"]) == ["ni hao lü"]
     assert column(spark, T.split_sentences, ["一二。三！四五\n六七"]) == [["一二", "四五", "六七"]]
     assert column(spark, T.add_punctuation, ["因为下雨所以不去"]) == ["因为，下雨所以，不去。"]
+
+
+def test_pre_fix_de(spark):
+    cases = {"人们很喜欢得，还有别的": "人们很喜欢的，还有别的", "他高兴得，而且跳了": "他高兴得，而且跳了", "我记得，然后走了": "我记得，然后走了", "他跑得，可快了": "他跑得，可快了", "显示出来得对吗": "显示出来的对吗", "出来得早": "出来得早", "长的真漂亮": "长得真漂亮", "长的绳子": "长的绳子"}
+    assert column(spark, T.pre_fix_de, list(cases)) == list(cases.values())

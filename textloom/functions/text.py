@@ -143,3 +143,22 @@ def guarded_replace(c: Column | str, wrong: str, right: str, not_after: str = ""
 
     pattern = (f"(?<!{not_after})" if not_after else "") + re.escape(wrong) + (f"(?!{not_before})" if not_before else "")
     return F.regexp_replace(_col(c), pattern, right.replace("\\", "\\\\").replace("$", "\\$"))
+
+
+# Fixed values of the particle pre-fixes.
+EMOTIONS = """高兴 开心 快乐 愉快 欣喜 欢喜 甜蜜 舒心 畅快 爽快 欣慰 放心 安心 舒畅 喜悦 欢欣 热情 兴奋 激动 生气 伤心 难过 愤怒 恼火 烦恼
+苦恼 着急 焦急 担心 害怕 恐惧 惊讶 震惊 失望 沮丧 难受 委屈 冤枉 后悔 懊悔 愧疚 自责 内疚 惭愧 羞愧 尴尬 窘迫 紧张 害羞""".split()
+DE_ENDINGS = "值得 觉得 获得 懂得 赢得 显得 使得 免得 省得 记得 认得 晓得 由得 惹得 赖得 取得 舍得 顾得 懒得 亏得 乐得 巴不得 怨不得 怪不得 了不得 了得 得得 自得 怡得 陶得".split()
+NEW_CLAUSE = "还有|然后|而且|并且|但是|可是|所以|因此|接着|后来|接下来|此外|再说|其实|不过"
+DIRECTIONS = "出来|起来|上来|下来|出去|进去|回来|回去|过来|过去|开来|上去"
+DEGREES = "真|很|太|挺|好|更|最|特别|非常|十分|比较|相当|有点|有些"
+LOOKS = "高|矮|胖|瘦|壮|结实|漂亮|好看|帅|美|丑|难看|可爱|精神|年轻|老|成熟|白|黑|红润|清秀|魁梧|苗条|丰满|苍老|憔悴|斯文|秀气|洋气|土气|普通|特别|一样|很像|真像|一模一样"
+
+
+def pre_fix_de(c: Column | str) -> Column:
+    """得 that is 的: before a comma and a connective (but after an emotion or in a word that ends in 得), and after a
+    directional complement before a particle or an end; 长的 before a word of looks is 长得."""
+    kept = "|".join(EMOTIONS + [w[:-1] for w in DE_ENDINGS])
+    text = F.regexp_replace(_col(c), f"(?<!{kept})得(?=[，,、](?:{NEW_CLAUSE}))", "的")
+    text = F.regexp_replace(text, f"({DIRECTIONS})得((?:对|是|可|行|不)?)(?=吗|呢|吧|啊|呀|嘛|，|。|？|！|$)", "$1的$2")
+    return F.regexp_replace(text, f"长的(?=(?:{DEGREES})?(?:{LOOKS}))", "长得")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from textloom.functions import rewriting as R
 from textloom.functions import text as T
 from textloom.functions.sample_script import as_script, as_script_sql
-from textloom.operators import correcting, lexicon, mining, ngrams
+from textloom.operators import correcting, lexicon, mining, ngrams, parsing
 from textloom.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,6 +129,7 @@ _each("collapse_punct", T.collapse_punct, _collapse_sql())
 _each("fix_ba_pattern", lambda c: T.fix_ba_pattern(F.replace(c, F.lit("把地"), F.lit("把它切入"))), f"regexp_replace(replace(text, '把地', '把它切入'), '(把(?:{T.BA_OBJECTS}))切入', '\\1接入', 'g')")
 _each("space_mixed", T.space_mixed, None)
 _each("add_punctuation", T.add_punctuation, _punctuation_sql())
+_each("particles_prefixed", lambda c: T.pre_fix_de(F.translate(c, "一二", "长来")), None)
 _each("keep_charset", T.keep_charset, KEPT_SQL)
 _each("restore_spoken_digits", T.restore_spoken_digits, "regexp_replace(replace(replace(translate(lower(text), '零一二三四五六七八九两', '01234567892'), '十', '10'), '百', '100'), '[一-鿿 ]', '', 'g')")
 _each("strip_tone", lambda c: T.strip_tone(F.translate(c, "一的得", "āéǚ")), f"translate(translate(text, '一的得', 'āéǚ'), '{T.TONES[0]}', '{T.TONES[1]}')")
@@ -562,3 +563,13 @@ def variants_parsed(spark, sf_dir):
 def xml_corrections(spark, sf_dir):
     raw = script(spark, sf_dir).select(F.concat(F.lit("<DOC><TEXT>x</TEXT><CORRECTION id='1'>\n<b>"), F.regexp_replace("text", "[<>]", ""), F.lit("</b></CORRECTION>")).alias("value"))
     return tables.extract_corrections(raw)
+
+
+@query(f"""WITH {_TOKENS}, p AS (SELECT doc_id, seq, word, substring(word, 1, 1) AS ch FROM tokens) SELECT doc_id, seq::BIGINT AS idx, ch AS word,
+CASE WHEN seq % 4 = 0 THEN '地' WHEN seq % 4 = 3 THEN ch ELSE '的' END AS verdict FROM p WHERE ch IN ('的', '地', '得')""")
+def phrase_verdicts(spark, sf_dir):
+    """The first characters of tokens as words, with phrase roles by position and no vetoing words."""
+    fourth = F.col("seq") % 4
+    first = _tokens(spark, sf_dir).select("doc_id", F.col("seq").alias("idx"), F.substring("word", 1, 1).alias("word"), F.when(fourth < 2, "DVP").when(fourth == 2, "CP").otherwise("IP").alias("label"), F.lit("VP").alias("inner"), F.when(fourth == 1, "NP").otherwise("VP").alias("grandparent"))
+    roles = spark.createDataFrame([("七七", "stop")], "word string, role string")
+    return parsing.phrase_verdicts(first.select("doc_id", "idx", "label", "inner", "grandparent"), first.select("doc_id", "idx", "word"), roles).withColumn("idx", F.col("idx").cast("long"))
