@@ -52,4 +52,34 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_digests, op3_separator_scan, op4_passages, op5_quality, op6_secrets, op7_bpe, op8_packing, op9_language, op10_suffixes)}
 
-ORACLE_SQL: dict[str, str] = {}
+_BLANK = r"\x20\x09-\x0D"
+_MEASURES = {
+    "word_length": "CASE WHEN n_words > 0 THEN word_chars / n_words::DOUBLE ELSE 0 END",
+    "word_shortness": "CASE WHEN word_chars > 0 THEN n_words / word_chars::DOUBLE ELSE 0 END",
+    "symbol_share": "CASE WHEN word_chars > 0 THEN n_symbols / word_chars::DOUBLE ELSE 0 END",
+    "dup_line_share": "CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines::DOUBLE ELSE 0 END",
+    "repeat_share": "CASE WHEN n_words > 0 THEN n_repeat_words / n_words::DOUBLE ELSE 0 END",
+}
+_RISK = quality.RISK / len(_MEASURES)
+_EACH = " UNION ALL ".join(f"SELECT doc_id, stratum, good, '{m}' AS measure, {sql} AS value, {quality.MEASURES[m] / quality.BINS!r} AS step FROM c WHERE NOT base_failed" for m, sql in _MEASURES.items())
+
+ORACLE_SQL: dict[str, str] = {
+    "op5_quality": f"""WITH d AS (SELECT doc_id, coalesce(lang, chr(1)) AS stratum, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, regexp_extract_all(text, '[^{_BLANK}]+') AS ws FROM d),
+win AS (SELECT doc_id, unnest(range(1, len(ws) - 1)) AS i, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i+1] || ' ' || ws[i+2])) AS g FROM w),
+dup AS (SELECT doc_id, g FROM win GROUP BY doc_id, g HAVING count(*) > 1),
+cov AS (SELECT DISTINCT doc_id, i + k AS p FROM win JOIN dup USING (doc_id, g) CROSS JOIN (VALUES (0), (1), (2)) AS o(k)),
+rep AS (SELECT doc_id, count(*) AS n FROM cov GROUP BY doc_id),
+lines AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^{_BLANK}]')) AS ls FROM d),
+b AS (SELECT d.doc_id, stratum, len(ws)::BIGINT AS n_words, length(regexp_replace(text, '[{_BLANK}]', '', 'g'))::BIGINT AS word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words FROM d JOIN w ON d.doc_id = w.doc_id JOIN lines ON d.doc_id = lines.doc_id LEFT JOIN rep ON d.doc_id = rep.doc_id),
+c AS (SELECT b.*, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {int(100 * quality.MOST_REPEATED)} * n_words AS base_failed, b.doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS good FROM b),
+v AS ({_EACH}),
+g AS (SELECT stratum, measure, least({quality.BINS}, ceil(value / step)) AS bin FROM v WHERE good),
+seq AS (SELECT stratum, measure, count(*) AS total FROM g GROUP BY 1, 2),
+cand AS (SELECT s.stratum, s.measure, total, t.t, (SELECT count(*) FROM g WHERE g.stratum = s.stratum AND g.measure = s.measure AND g.bin > t.t) AS above FROM seq s CROSS JOIN (SELECT unnest(range(0, {quality.BINS})) AS t) t),
+tail AS (SELECT *, CASE WHEN above > total * {_RISK!r} THEN 1.0 ELSE list_sum(list_transform(range(0, above + 1), lambda j: exp(lgamma(total + 1.0) - lgamma(j + 1.0) - lgamma(total - j + 1.0) + j * ln({_RISK!r}) + (total - j) * ln(1 - {_RISK!r})))) END AS p FROM cand),
+cut AS (SELECT stratum, measure, coalesce(max(CASE WHEN p > {quality.FAULT!r} / (SELECT count(*) FROM seq) THEN t END) + 1, 0) AS t FROM tail GROUP BY 1, 2),
+bad AS (SELECT DISTINCT doc_id FROM v JOIN cut ON v.stratum = cut.stratum AND v.measure = cut.measure WHERE cut.t < {quality.BINS} AND value > cut.t * step)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM c""",
+}

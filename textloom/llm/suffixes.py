@@ -162,7 +162,7 @@ def _told_in_buckets(kinds: DataFrame, length: int) -> DataFrame:
         if held is not None and held.num_rows and (out := told(held)).num_rows:
             yield out
 
-    kinds.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
+    kinds.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
     ordered = kinds.repartition("b").sortWithinPartitions("b").select("b", "off", "text", "id", "th", "s")
     return ordered.mapInArrow(run, "id long, th int, s int, e int")
 
