@@ -82,4 +82,15 @@ tail AS (SELECT *, CASE WHEN above > total * {_RISK!r} THEN 1.0 ELSE list_sum(li
 cut AS (SELECT stratum, measure, coalesce(max(CASE WHEN p > {quality.FAULT!r} / (SELECT count(*) FROM seq) THEN t END) + 1, 0) AS t FROM tail GROUP BY 1, 2),
 bad AS (SELECT DISTINCT doc_id FROM v JOIN cut ON v.stratum = cut.stratum AND v.measure = cut.measure WHERE cut.t < {quality.BINS} AND value > cut.t * step)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM c""",
+    "op10_suffixes": """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents), n AS (SELECT doc_id, h, length(h) // 2 AS n FROM d),
+s AS (SELECT doc_id, unnest(range(0, greatest(n - 199, 0))) AS i, unnest(list_transform(range(0, greatest(n - 199, 0)), lambda i: md5(substring(h, 2 * i + 1, 400)))) AS k FROM n),
+dup AS (SELECT k FROM s GROUP BY k HAVING count(*) > 1), m AS (SELECT doc_id, i FROM s WHERE k IN (SELECT k FROM dup)),
+f AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END AS fresh FROM m),
+g AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS grp FROM f),
+r AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS b FROM g GROUP BY doc_id, grp),
+sums AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(a || ':' || b, ',' ORDER BY a) AS removed FROM r GROUP BY doc_id),
+gaps AS (SELECT doc_id, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS x, a AS y FROM r UNION ALL SELECT n.doc_id, coalesce(last, 0), n FROM n LEFT JOIN sums ON n.doc_id = sums.doc_id),
+kept AS (SELECT gaps.doc_id, string_agg(substring(h, 2 * x + 1, 2 * (y - x)), '' ORDER BY x) AS h FROM gaps JOIN n ON gaps.doc_id = n.doc_id GROUP BY gaps.doc_id)
+SELECT n.doc_id, n.n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(kept.h)) AS kept_sha256, coalesce(removed, '') AS removed
+FROM n JOIN kept ON n.doc_id = kept.doc_id LEFT JOIN sums ON n.doc_id = sums.doc_id""",
 }
