@@ -18,7 +18,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 #: Distinct words that a worker remembers; past it the cache starts anew, so memory stays bounded.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 120_000
 #: Symbols that one batch of merge rounds holds at most, but for a single longer word.
 ROUND_SYMBOLS = 1 << 17
 NO_RANK = np.iinfo(np.int64).max

@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that a Python worker takes at a time inside an Arrow batch, and the bytes of text after which a slice ends.
-SLICE_ROWS, SLICE_BYTES = 256, 1 << 20
+SLICE_ROWS, SLICE_BYTES = 256, 1 << 19
 #: Rows of an Arrow batch. With long texts Spark's usual 10,000 would be a gigabyte.
-BATCH_ROWS = 512
+BATCH_ROWS = 256
 
 #: Bits of the filters by which a pass over the texts leaves out what is alone: a fixed size. Fuller filters let more
 #: through, which exact joins then drop.

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import SLICE_BYTES, mapped, plain_bytes, sliced
+from textloom.llm.common import BATCH_ROWS, SLICE_BYTES, mapped, plain_bytes, sliced
 
 WINDOW = 32
 #: Entropies are told apart in as many steps; scaled sums of n log n are whole numbers, so equal windows have equal ones.
@@ -150,7 +150,7 @@ def rarity(df: DataFrame, text_col: str = "text") -> np.ndarray:
                 total += np.bincount(steps[inside], minlength=STEPS + 1)
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total)), pa.array(total[total > 0])], ["step", "n"])
 
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     texts = df.select(F.lit(0).alias("none"), plain_bytes(F.col(text_col).cast("string")).alias("b"))
     n = np.zeros(STEPS + 1, np.int64)
     for r in texts.mapInArrow(run, "step long, n long").groupBy("step").agg(F.sum("n").alias("n")).collect():

@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import mapped
+from textloom.llm.common import BATCH_ROWS, mapped
 
 #: The bound of the sample that the dictionaries are fitted on: languages, texts of each, characters of each text.
 MAX_LANGUAGES, SAMPLE_ROWS, SAMPLE_CHARS = 64, 512, 1500
@@ -124,7 +124,7 @@ def predict_languages(df: DataFrame, narrow: float = NARROW, id_col: str = "doc_
 def keep_identified(df: DataFrame, dictionaries: dict[str, bytes], narrow: float = NARROW, text_col: str = "text") -> DataFrame:
     """The rows of ``df`` whose language is accepted, with all their columns."""
     shared = df.sparkSession.sparkContext.broadcast(dictionaries)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     @F.pandas_udf("boolean")
     def accepted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

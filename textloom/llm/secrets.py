@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import mapped
+from textloom.llm.common import BATCH_ROWS, mapped
 from textloom.llm.tokens import tokenizer_path
 
 # The base patterns and their least lengths.
@@ -184,5 +184,5 @@ def redact_secrets(df: DataFrame, mark: str = "[SECRET]", tokenizer: str | None
 
         return texts.map(one, na_action="ignore")
 
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return df.withColumn(text_col, clean(F.col(text_col)))

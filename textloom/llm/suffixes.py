@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import bloom_of, mapped, may_hold, plain_bytes, settled, sliding_least
+from textloom.llm.common import BATCH_ROWS, bloom_of, mapped, may_hold, plain_bytes, settled, sliding_least
 
 LENGTH, GRAM = 200, 32
 _LETTER = np.random.default_rng(11).integers(0, 1 << 64, 256, np.uint64, endpoint=False)
@@ -162,7 +162,7 @@ def _told_in_buckets(kinds: DataFrame, length: int) -> DataFrame:
         if held is not None and held.num_rows and (out := told(held)).num_rows:
             yield out
 
-    kinds.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    kinds.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     ordered = kinds.repartition("b").sortWithinPartitions("b").select("b", "off", "text", "id", "th", "s")
     return ordered.mapInArrow(run, "id long, th int, s int, e int")
 
