@@ -20,9 +20,9 @@ def rand_texts(alphabet, n=300, most=30, seed=1):
 
 
 def spaced(text):
-    """The spacing rule said in plain words of tokens."""
+    """The spacing rule said in plain words of tokens; each CJK character and mark is a token of its own."""
     out, prev, at = [], None, 0
-    for m in re.finditer("[A-Za-z0-9]+|[一-鿿，。！？；：…　＀-￯]+|[ \t]+", text):
+    for m in re.finditer("[A-Za-z0-9]+|[一-鿿，。！？；：…　＀-￯]|[ \t]+", text):
         out.append(text[at : m.start()])
         token, at = m[0], m.end()
         kind = "en" if re.fullmatch("[A-Za-z0-9]+", token) else "cn" if re.fullmatch("[一-鿿]", token) else "sp" if re.fullmatch("[ \t]+", token) else "ot"
@@ -36,6 +36,7 @@ def spaced(text):
 def test_space_mixed(spark):
     texts = rand_texts("中文，。ab1 \t-。")
     assert column(spark, T.space_mixed, texts) == [None if t is None else spaced(t) for t in texts]
+    assert column(spark, T.space_mixed, ["Python编程", "中文abc", "用Python 写", "中，abc", "一" + "，" * 100_000]) == ["Python 编程", "中文 abc", "用 Python 写", "中， abc", "一" + "，" * 100_000]
 
 
 def collapsed(text):
@@ -51,6 +52,8 @@ def test_collapse_punct(spark):
     got = column(spark, T.collapse_punct, texts)
     assert got == [None if t is None else collapsed(t) for t in texts]
     assert column(spark, T.collapse_punct, got) == got
+    long = ["一" + "。 ！" * 100_000 + "二", "。" * 100_000, " " * 100_000 + "一", "？" + " " * 100_000 + "！ "]
+    assert column(spark, T.collapse_punct, long) == ["一！二", "。", " " * 100_000 + "一", "？！ "]
 
 
 @pytest.mark.parametrize("word, value", [("十", 10), ("二十三", 23), ("十五", 15), ("九", 9), ("两", 2), ("二十", 20), ("百", None), ("", None), ("二百", None)])

@@ -59,14 +59,13 @@ def redundancy_warnings(c: Column | str) -> Column:
 
 
 def collapse_punct(c: Column | str) -> Column:
-    """A run of CJK marks, blanks between them included, becomes its most important one, or ？！ if it has both."""
-    text, more = _col(c), f"(?:{BLANK}*[{MARKS}])*"
-    both = "\ue000"
-    for a, b in ("！？", "？！"):
-        text = F.regexp_replace(text, f"{more}{BLANK}*{a}{more}{BLANK}*{b}{more}", both)
-    for mark in MARKS:
-        text = F.regexp_replace(text, f"{more}{BLANK}*{mark}{more}", mark)
-    return F.replace(text, F.lit(both), F.lit("？！"))
+    """A run of CJK marks, blanks before and between them included, becomes its most important one, or ？！ if it has both.
+    Runs are found by one character class, so their length does not matter; each is looked at by itself."""
+    text = _col(c)
+    run = f"(?<![{BLANK[1:-1]}{MARKS}])[{BLANK[1:-1]}{MARKS}]*[{MARKS}]"
+    best = lambda r: F.when(r.contains("！") & r.contains("？"), "？！").otherwise(F.coalesce(*(F.when(r.contains(m), m) for m in MARKS)))
+    done = F.zip_with(F.split(text, run), F.regexp_extract_all(text, F.lit(run), F.lit(0)), lambda between, r: F.concat(between, F.coalesce(best(r), F.lit(""))))
+    return F.when(text.rlike(f"[{MARKS}]"), F.array_join(done, "")).otherwise(text)
 
 
 def fix_ba_pattern(c: Column | str) -> Column:
@@ -74,12 +73,10 @@ def fix_ba_pattern(c: Column | str) -> Column:
 
 
 def space_mixed(c: Column | str) -> Column:
-    """A space between a single CJK character and a run of Latin letters or digits. Other marks between the two do not
-    matter; a run of several CJK characters and marks has no side of its own, and white space between them ends it."""
-    wide = f"[{CJK}，。！？；：…\u3000\uff00-\uffef]"
-    only_marks = "[，。！？；：…\u3000\uff00-\uffef]"
-    skip = f"((?:[^{wide[1:-1]}A-Za-z0-9 \\t]|{wide}{{2,}}+|{only_marks})*+)"
-    text = F.regexp_replace(_col(c), f"(?<!{wide})([{CJK}])(?!{wide}){skip}(?=[A-Za-z0-9])", "$1$2 ")
+    """A space where CJK characters and runs of Latin letters or digits meet, unless blanks are there. Other marks between
+    the two do not matter: the space comes right before the second one."""
+    skip = f"([^{CJK}A-Za-z0-9 \\t]*+)"
+    text = F.regexp_replace(_col(c), f"([{CJK}]){skip}(?=[A-Za-z0-9])", "$1$2 ")
     return F.regexp_replace(text, f"([A-Za-z0-9]){skip}(?=[{CJK}])", "$1$2 ")
 
 

@@ -127,7 +127,8 @@ def _punctuation_sql() -> str:
 _each("to_simplified", lambda c: T.to_simplified(c, ("说个么", "說個麼")), "translate(text, '说个么', '說個麼')")
 _each("collapse_punct", T.collapse_punct, _collapse_sql())
 _each("fix_ba_pattern", lambda c: T.fix_ba_pattern(F.replace(c, F.lit("把地"), F.lit("把它切入"))), f"regexp_replace(replace(text, '把地', '把它切入'), '(把(?:{T.BA_OBJECTS}))切入', '\\1接入', 'g')")
-_each("space_mixed", T.space_mixed, None)
+_SKIP = f"([^{T.CJK}A-Za-z0-9 \\t]*)"
+_each("space_mixed", lambda c: T.space_mixed(F.translate(c, "一把它", "abc")), f"regexp_replace(regexp_replace(translate(text, '一把它', 'abc'), '([{T.CJK}]){_SKIP}([A-Za-z0-9])', '\\1\\2 \\3', 'g'), '([A-Za-z0-9]){_SKIP}([{T.CJK}])', '\\1\\2 \\3', 'g')")
 _each("add_punctuation", T.add_punctuation, _punctuation_sql())
 _each("particles_prefixed", lambda c: T.pre_fix_de(F.translate(c, "一二", "长来")), None)
 _each("keep_charset", T.keep_charset, KEPT_SQL)
