@@ -12,7 +12,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 from tests.conftest import DATA
-from textloom.llm import digest, passages, queries, secrets, tokens
+from textloom.llm import bpe, digest, passages, queries, secrets, tokens
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -146,6 +146,20 @@ def test_op7(spark, encoded):
         assert r.decoded_sha256 == sha256(t.decode(own, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_words_with_nul(encoded):
+    """Words that differ only in NULs are encoded apart, in one batch and out of the cache."""
+    import random
+
+    rng = random.Random(1)
+    texts = ["!", "!\0", "\0", "\0\0", "a", "a\0", "a" * 9, "a" * 9 + "\0", "\0" * 20, "!"]
+    texts += ["".join(rng.choice("ab!\0 \0.\u00e9\x1c1") for _ in range(rng.randint(0, 30))) for _ in range(1000)]
+    coder = bpe.Coder(tokens.tokenizer_path())
+    for part in (texts, texts[::-1]):
+        ids, n = coder.encode(part)
+        ends = np.cumsum(n)
+        assert [ids[a:b].tolist() for a, b in zip(ends - n, ends, strict=True)] == [encoded[0].encode(x, add_special_tokens=False).ids for x in part]
+
+
 def test_op8(spark, encoded):
     got = rows(spark, "op8_packing")
     ids = {i: [*x, 1] for i, x in encoded[1].items()}

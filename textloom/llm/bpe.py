@@ -32,8 +32,11 @@ KIND = np.full(256, MARK, np.uint8)
 KIND[[9, 10, 11, 12, 13, 32]] = SPACE
 KIND[[*range(65, 91), *range(97, 123), *range(128, 256)]] = LETTER
 KIND[48:58] = DIGIT
-#: What a byte counts by its place in a word: words of eight bytes or fewer have keys of their own, longer ones are hashed.
-_WEIGHT = np.append(np.uint64(256) ** np.arange(8, dtype=np.uint64), np.random.default_rng(7).integers(1, 1 << 63, 1 << 12, np.uint64) * np.uint64(2) + np.uint64(1))
+#: What a byte counts by its place in a word. Words of up to EXACT bytes have keys of their own: their bytes and, in the
+#: highest byte, their size. Longer ones are hashed, their size too.
+EXACT = 7
+_WEIGHT = np.append(np.uint64(256) ** np.arange(EXACT, dtype=np.uint64), np.random.default_rng(7).integers(1, 1 << 63, 1 << 12, np.uint64) * np.uint64(2) + np.uint64(1))
+_SIZE_WEIGHT = np.array([1 << 56, 0x9E3779B97F4A7C15], np.uint64)
 
 
 def word_keys(letters: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -44,7 +47,10 @@ def word_keys(letters: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarr
     weight = _WEIGHT[np.minimum(place, len(_WEIGHT) - 1)]
     if far.any():
         weight = np.where(far, weight * (place - len(_WEIGHT) + 2).astype(np.uint64), weight)
-    return np.add.reduceat(letters[np.repeat(at, size) + place].astype(np.uint64) * weight, ends - size) if len(ends) else np.zeros(0, np.uint64)
+    if not len(ends):
+        return np.zeros(0, np.uint64)
+    total = np.add.reduceat(letters[np.repeat(at, size) + place].astype(np.uint64) * weight, ends - size)
+    return total + size.astype(np.uint64) * _SIZE_WEIGHT[(size > EXACT).astype(np.int64)]
 
 
 def byte_letters() -> dict[str, int]:
