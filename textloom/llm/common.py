@@ -15,9 +15,9 @@ SLICE_ROWS, SLICE_BYTES = 256, 1 << 19
 #: Rows of an Arrow batch. With long texts Spark's usual 10,000 would be a gigabyte.
 BATCH_ROWS = 256
 
-#: Bits of the filters by which a pass over the texts leaves out what is alone: a fixed size. Fuller filters let more
-#: through, which exact joins then drop.
-FILTER_BITS = 1 << 26
+#: Filters by which a pass over the texts leaves out what is alone have so many bits for each key, up to so many in all (64 MB,
+#: enough for some hundred million keys). Fuller filters let more through, which exact joins then drop.
+KEY_BITS, MOST_FILTER_BITS = 8, 1 << 29
 
 #: The words of a text: runs of anything but the ASCII space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -29,10 +29,14 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 def settled(df: DataFrame) -> DataFrame:
     """``df`` written once to the cluster's checkpoint folder, so that later steps neither recompute it nor lose it
-    with an executor. Only where the session names no folder (a local test) one is made."""
+    with an executor. Where the session names no folder, a local session gets one of its own; a cluster, whose machines
+    could not share it, is refused."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="textloom-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="textloom-"))
     return df.checkpoint()
 
 
@@ -88,17 +92,19 @@ def sliding_least(key: np.ndarray, width: int) -> np.ndarray:
 
 
 def bloom_of(keys: DataFrame, column: str) -> np.ndarray:
-    """A Bloom filter of a column of hashes, two bits each: FILTER_BITS / 64 numbers reach the driver at most."""
+    """A Bloom filter of a column of hashes, two bits each. ``keys`` is read twice, so it should be a written table. Its size
+    follows the number of keys; MOST_FILTER_BITS / 64 numbers reach the driver at most."""
+    size = min(1 << max(KEY_BITS * keys.count(), 1 << 16).bit_length(), MOST_FILTER_BITS)
     key = F.col(column)
-    bits = F.explode(F.array(key.bitwiseAND(F.lit(FILTER_BITS - 1)), F.shiftrightunsigned(key, 32).bitwiseAND(F.lit(FILTER_BITS - 1))))
+    bits = F.explode(F.array(key.bitwiseAND(F.lit(size - 1)), F.shiftrightunsigned(key, 32).bitwiseAND(F.lit(size - 1))))
     words = keys.select(bits.alias("bit")).groupBy(F.floor(F.col("bit") / 64).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % 64).cast("int"))).alias("set"))
     found = words.toArrow()
-    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out = np.zeros(size // 64, np.int64)
     out[found["word"].to_numpy()] = found["set"].to_numpy()
     return out.view(np.uint64)
 
 
 def may_hold(bloom: np.ndarray, key: np.ndarray) -> np.ndarray:
-    low, high = key & np.uint64(FILTER_BITS - 1), (key >> np.uint64(32)) & np.uint64(FILTER_BITS - 1)
+    last = np.uint64(64 * len(bloom) - 1)
     has = lambda bit: (bloom[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1)
-    return (has(low) & has(high)).astype(bool)
+    return (has(key & last) & has((key >> np.uint64(32)) & last)).astype(bool)
