@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import BATCH_ROWS, SLICE_BYTES, mapped, plain_bytes, sliced
+from textloom.llm.common import SLICE_BYTES, mapped, plain_bytes, sliced, small_batches
 
 WINDOW = 32
 #: Entropies are told apart in as many steps; scaled sums of n log n are whole numbers, so equal windows have equal ones.
@@ -150,7 +150,7 @@ def rarity(df: DataFrame, text_col: str = "text") -> np.ndarray:
                 total += np.bincount(steps[inside], minlength=STEPS + 1)
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total)), pa.array(total[total > 0])], ["step", "n"])
 
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    small_batches(df)
     texts = df.select(F.lit(0).alias("none"), plain_bytes(F.col(text_col).cast("string")).alias("b"))
     n = np.zeros(STEPS + 1, np.int64)
     for r in texts.mapInArrow(run, "step long, n long").groupBy("step").agg(F.sum("n").alias("n")).collect():
@@ -175,6 +175,8 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 #: Rows of a part that is sorted by id, and parts at most.
 PART_ROWS, MOST_PARTS = 1000, 100_000
+#: Cuts are doubles; the largest that is a long.
+_FAR = float(2**63 - 1024)
 
 
 def in_order(docs: DataFrame) -> DataFrame:
@@ -185,7 +187,7 @@ def in_order(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(2**63))).alias("at"))
     n = docs.count()
     parts = max(1, min(-(-n // PART_ROWS), MOST_PARTS))
-    cuts = np.unique(np.array(docs.approxQuantile("at", [i / parts for i in range(1, parts)], 0.2 / parts), dtype=np.float64).astype(np.int64)) if parts > 1 else np.zeros(0, np.int64)
+    cuts = np.unique(np.array(docs.approxQuantile("at", [i / parts for i in range(1, parts)], 0.2 / parts), dtype=np.float64).clip(-_FAR, _FAR).astype(np.int64)) if parts > 1 else np.zeros(0, np.int64)
     shared = docs.sparkSession.sparkContext.broadcast(cuts)
 
     @F.pandas_udf("int")

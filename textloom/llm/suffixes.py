@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import BATCH_ROWS, bloom_of, mapped, may_hold, plain_bytes, settled, sliding_least
+from textloom.llm.common import bloom_of, mapped, may_hold, plain_bytes, settled, sliding_least, small_batches
 
 LENGTH, GRAM = 200, 32
 _LETTER = np.random.default_rng(11).integers(0, 1 << 64, 256, np.uint64, endpoint=False)
@@ -57,12 +57,14 @@ CELL = 16
 
 
 def _anchors(docs: DataFrame, length: int, columns: str, bloom: np.ndarray | None = None, by: str = "b") -> DataFrame:
-    """Sampled suffixes with some of the columns ``id, th, s, e, b, c, off, text``. The strings that start at ``s`` to ``e`` of
-    a document own one q-gram, ``off`` after ``s``, of bucket ``b``; ``c`` identifies all bytes that they span, ``text``.
-    With ``bloom``, only suffixes whose ``by`` it may hold."""
+    """Sampled suffixes with some of the columns ``id, th, s, e, b, c, off, text, n``. The strings that start at ``s`` to ``e``
+    of a document own one q-gram, ``off`` after ``s``, of bucket ``b``; ``c`` identifies all bytes that they span, ``text``.
+    With ``bloom``, only suffixes whose ``by`` it may hold. Where ``n`` or ``text`` is asked for, a batch's suffixes of one
+    kind (``b, c``) are one row, the first, and ``n`` counts them; otherwise neighbours of one kind (in a run of one byte,
+    say) are one range."""
     shared = docs.sparkSession.sparkContext.broadcast(bloom) if bloom is not None else None
     wanted = columns.split()
-    types = {"id": "long", "th": "int", "s": "int", "e": "int", "b": "long", "c": "long", "off": "int", "text": "binary"}
+    types = {"id": "long", "th": "int", "s": "int", "e": "int", "b": "long", "c": "long", "off": "int", "text": "binary", "n": "long"}
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -86,8 +88,18 @@ def _anchors(docs: DataFrame, length: int, columns: str, bloom: np.ndarray | Non
             c = np.fromiter((hashed(view[x:y]) for x, y in zip(s.tolist(), (e + length).tolist(), strict=True)), np.uint64, len(s))
             if shared is not None and by == "c":
                 s, e, p, doc, c = (x[keep] for keep in [may_hold(shared.value, c)] for x in (s, e, p, doc, c))
+            kind, total = refine(gram[p], c, 8), np.ones(len(s), np.int64)
+            if "n" in wanted or "text" in wanted:
+                _, some, total = np.unique(kind, return_index=True, return_counts=True)
+                s, e, p, doc, c = (x[some] for x in (s, e, p, doc, c))
+            else:
+                fresh = np.append(True, (kind[1:] != kind[:-1]) | (doc[1:] != doc[:-1]) | (s[1:] != e[:-1] + 1))[: len(s)]
+                some = np.flatnonzero(fresh)
+                e = e[np.append(some[1:], len(s))[: len(some)] - 1]
+                s, p, doc, c = (x[some] for x in (s, p, doc, c))
             at = pa.array(doc)
             make_column = {
+                "n": lambda: pa.array(total),
                 "id": lambda: batch.column(0).take(at),
                 "th": lambda: batch.column(2).take(at),
                 "s": lambda: pa.array((s - begin[doc]).astype(np.int32)),
@@ -162,7 +174,7 @@ def _told_in_buckets(kinds: DataFrame, length: int) -> DataFrame:
         if held is not None and held.num_rows and (out := told(held)).num_rows:
             yield out
 
-    kinds.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    small_batches(kinds)
     ordered = kinds.repartition("b").sortWithinPartitions("b").select("b", "off", "text", "id", "th", "s")
     return ordered.mapInArrow(run, "id long, th int, s int, e int")
 
@@ -206,14 +218,14 @@ def _told_by_cells(kinds: DataFrame, length: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``id, th, spans array<struct<s, e>>`` of each document (``id, text binary, th``) that has a string of ``length``
     bytes which also starts elsewhere: the starts of such strings, as ranges."""
-    kinds = settled(_anchors(docs, length, "b c").groupBy("b", "c").agg(F.count("*").alias("n")))
+    kinds = settled(_anchors(docs, length, "b c n").groupBy("b", "c").agg(F.sum("n").alias("n")))
     # Suffixes with all their span shared: all their strings repeat.
-    full = kinds.filter("n > 1").select("b", "c")
+    full = settled(kinds.filter("n > 1").select("b", "c"))
     whole = _anchors(docs, length, "id th s e b c", bloom_of(full, "c"), "c").join(full, ["b", "c"]).select("id", "th", "s", "e")
     # Buckets of several kinds: one suffix stands for each kind.
     buckets = settled(kinds.groupBy("b").agg(F.count("*").alias("kinds")).filter("kinds > 1"))
     first = [F.first(x).alias(x) for x in ("id", "th", "s", "off", "text")]
-    spans = _anchors(docs, length, "id th s b c off text", bloom_of(buckets, "b"), "b").groupBy("b", "c").agg(*first).join(buckets, "b")
+    spans = settled(_anchors(docs, length, "id th s b c off text", bloom_of(buckets, "b"), "b").groupBy("b", "c").agg(*first).join(buckets, "b"))
     small = _told_in_buckets(spans.filter(F.col("kinds") <= BUCKET_KINDS), length)
     marks = whole.unionByName(small)
     if not buckets.filter(F.col("kinds") > BUCKET_KINDS).isEmpty():
