@@ -23,8 +23,6 @@ RISK, FAULT = 0.02, 0.05
 #: Candidate cutoffs of each measure: BINS equal steps from 0 to its largest sensible value.
 BINS = 64
 MEASURES = {"word_length": 32.0, "word_shortness": 1.0, "symbol_share": 1.0, "dup_line_share": 1.0, "repeat_share": 0.5}
-#: Strata with cutoffs at most, those with the most labelled documents; others reject by the base rules alone.
-MOST_STRATA = 1000
 
 
 def _without(text: Column, letters: str) -> Column:
@@ -103,10 +101,10 @@ def select_cutoffs(good: DataFrame, risk: float = RISK, fault: float = FAULT) ->
     n_sequences = sequences.count()
     candidates = sequences.select("stratum", "measure", "total", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda t: F.aggregate(F.map_entries(F.map_filter("by_bin", lambda b, _: b > t)), F.lit(0).cast("long"), lambda s, e: s + e["value"]))).alias("t", "above"))
     tested = candidates.withColumn("passes", binomial_tail(F.col("above"), F.col("total"), risk / len(MEASURES)) <= fault / max(n_sequences, 1))
-    first_failure = tested.groupBy("stratum", "measure").agg(F.max(F.when(~F.col("passes"), F.col("t"))).alias("fails"), F.max("total").alias("total"))
+    first_failure = tested.groupBy("stratum", "measure").agg(F.max(F.when(~F.col("passes"), F.col("t"))).alias("fails"))
     chosen = first_failure.withColumn("t", F.coalesce(F.col("fails") + 1, F.lit(0))).filter(F.col("t") < BINS)
     value = {name: F.max(F.when(F.col("measure") == name, F.col("t") * (MEASURES[name] / BINS))).alias(name) for name in MEASURES}
-    return chosen.groupBy("stratum").agg(F.max("total").alias("total"), *value.values()).orderBy(F.desc("total"), "stratum").limit(MOST_STRATA).drop("total")
+    return chosen.groupBy("stratum").agg(*value.values())
 
 
 def judge(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", risk: float = RISK, fault: float = FAULT) -> DataFrame:
@@ -122,5 +120,5 @@ def judge(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     over = F.lit(False)
     for name, value in measures().items():
         over = over | F.coalesce(value > F.col(f"max_{name}"), F.lit(False))
-    joined = counts.join(F.broadcast(limits), "stratum", "left")  # MOST_STRATA rows at most
+    joined = counts.join(limits, "stratum", "left")  # a row a stratum: Spark broadcasts what is small
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), (~(base_failed() | over)).alias("kept"))
