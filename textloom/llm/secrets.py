@@ -9,15 +9,17 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_left
 from functools import lru_cache
 from hashlib import sha256
+from itertools import accumulate
 from math import log10
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import BATCH_ROWS, mapped
+from textloom.llm.common import mapped, small_batches
 from textloom.llm.tokens import tokenizer_path
 
 # The base patterns and their least lengths.
@@ -127,10 +129,12 @@ def find_spans(text: str, cost: GuessCost, least: float = LEAST_GUESSES) -> list
         spans += [("access", *m.span()) for m in ACCESS.finditer(text)]
     spans += [("hex", *m.span()) for m in HEX.finditer(text)]
     if any(x in low for x in CONTEXT_HINTS):
-        base = list(spans)
+        begins, farthest = zip(*sorted((a, b) for _, a, b in spans), strict=True) if spans else ((), ())
+        farthest = list(accumulate(farthest, max))  # the farthest end of the base spans up to each
         for m in CONTEXT.finditer(text):
             start, end = m.span(1)
-            if not any(start < b and a < end for _, a, b in base) and cost(m[1]) >= least:
+            before = bisect_left(begins, end)
+            if not (before and farthest[before - 1] > start) and cost(m[1]) >= least:
                 spans.append(("guess", start, end))
     return sorted(spans, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
@@ -184,5 +188,5 @@ def redact_secrets(df: DataFrame, mark: str = "[SECRET]", tokenizer: str | None
 
         return texts.map(one, na_action="ignore")
 
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    small_batches(df)
     return df.withColumn(text_col, clean(F.col(text_col)))
