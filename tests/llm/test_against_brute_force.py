@@ -9,10 +9,11 @@ from hashlib import sha256
 import numpy as np
 import pytest
 import xxhash
+import zstandard
 from tokenizers import Tokenizer
 
 from tests.conftest import DATA
-from textloom.llm import bpe, digest, passages, queries, secrets, tokens
+from textloom.llm import bpe, digest, language, passages, queries, secrets, tokens
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -170,12 +171,37 @@ def test_op8(spark, encoded):
         assert r.doc_tokens == len(ids[r.doc_id]) and r.ids_crc32 == zlib.crc32(struct.pack(f"<{r.length}I", *piece))
         ends[r.doc_id] += r.length
     assert ends == {i: len(x) for i, x in ids.items()} and len({r.sequence_id for r in got}) == len(got)
+    lengths, tokens_of = {}, Counter()
+    for r in tokens.pack_documents(spark.read.parquet(f"{DATA}/documents.parquet"), with_ids=False, batch_tokens=4096).collect():
+        lengths.setdefault(r.batch_id, set()).add(r.length)
+        tokens_of[r.batch_id] += r.length
+    assert all(len(x) == 1 for x in lengths.values()) and max(tokens_of.values()) == 4096
+    parts = {b >> 38 for b in tokens_of}
+    assert sum(n < 4096 for n in tokens_of.values()) <= 12 * len(parts)
 
 
 def test_op9(spark, docs):
     got = rows(spark, "op9_language")
     lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 for r in got)
+    # The same dictionaries in a plain loop.
+    learned = language.fit_dictionaries(spark.read.parquet(f"{DATA}/documents.parquet"))
+    assert sorted(learned) == sorted({lang[i] for i in lang if lang[i] is not None})
+    for r in got:
+        body = " ".join(re.findall(r"[^\W\d_]+", docs[r.doc_id].lower())).encode()
+        if not body:
+            assert (r.lang_pred, r.score, r.accepted) == ("und", 0, False)
+            continue
+        for level in (language.LEVEL, language.SECOND_LEVEL):
+            sizes = []
+            for k in sorted(learned):
+                d = zstandard.ZstdCompressionDict(learned[k], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                d.precompute_compress(level=level)
+                sizes.append((len(zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_dict_id=False).compress(body)), k))
+            (low, best), (second, _) = sorted(sizes)[:2]
+            if second - low >= language.NARROW * second:
+                break
+        assert (r.lang_pred, r.accepted) == (best, second - low >= language.NARROW * second) and abs(r.score - (second - low) / second) < 1e-12
     held = [r for r in got if r.held_out]
     assert np.mean([r.lang_pred == lang[r.doc_id] for r in held]) > 0.9 and np.mean([r.accepted for r in got]) > 0.97
 

@@ -19,6 +19,8 @@ from textloom.llm.bpe import coder
 from textloom.llm.common import mapped, settled
 
 SEQUENCE = 2048
+#: Tokens of a batch of sequences of one length.
+BATCH_TOKENS = 1 << 16
 #: The id that ends a document in packed sequences, and the one that ends it in flat token files.
 PACK_END, FILE_END = 1, 49407
 BLOCK_TOKENS = 1 << 16
@@ -88,17 +90,22 @@ def binary_lengths(n: np.ndarray, most: int = SEQUENCE) -> tuple[np.ndarray, np.
     return doc, ends - length - (np.cumsum(n) - n)[doc], length
 
 
-def pack_documents(df: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", most: int = SEQUENCE, end: int = PACK_END, with_ids: bool = True) -> DataFrame:
+def pack_documents(df: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", most: int = SEQUENCE, end: int = PACK_END, with_ids: bool = True, batch_tokens: int = BATCH_TOKENS) -> DataFrame:
     """Power-of-two decomposition: a document's ids and its end id are cut into pieces whose lengths are powers of two,
-    and every piece is a sequence of its own. Sequences of one ``length`` form a bucket from which batches are drawn, so
-    none crosses documents and none has padding.
+    and every piece is a sequence of its own, so none crosses documents and none has padding. Sequences of one length are a
+    bucket of the input's partition, dealt in order into batches of ``batch_tokens``: a ``batch_id`` has one length, and
+    only the last batch of a bucket is short.
 
-    ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` and, if asked for, ``ids``. An empty text is
-    its end id alone. ``sequence_id`` numbers pieces across the input's partitions; the numbers have gaps."""
+    ``doc_id, start, length, ids_crc32, doc_tokens, batch_id``, if asked for ``ids``, and ``sequence_id, offset``. An empty
+    text is its end id alone. Both numbers are unique in the table and have gaps."""
     path = tokenizer or tokenizer_path()
+    bits = most.bit_length()
 
     def make():
-        code = coder(path)
+        from pyspark import TaskContext
+
+        code, task = coder(path), TaskContext.get().partitionId() << 38
+        filled = np.zeros(bits, np.int64)  # sequences so far of each bucket
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids, count = code.encode(batch.column(1).to_pylist())
@@ -109,14 +116,21 @@ def pack_documents(df: DataFrame, tokenizer: str | None = None, id_col: str = "d
             begin = (np.cumsum(n) - n)[doc] + start
             body = memoryview(flat.tobytes())
             crc = [zlib.crc32(body[4 * a : 4 * b]) for a, b in zip(begin.tolist(), (begin + length).tolist(), strict=True)]
-            out = [batch.column(0).take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(n[doc])]
+            bucket = np.log2(length).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            count = np.bincount(bucket, minlength=bits)
+            nth = np.empty(len(bucket), np.int64)
+            nth[order] = np.arange(len(bucket)) - np.repeat(np.cumsum(count) - count - filled, count)
+            filled[:] += count
+            dealt = task + (bucket << 32) + nth * length // max(batch_tokens, most)
+            out = [batch.column(0).take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(n[doc]), pa.array(dealt)]
             if with_ids:  # pieces lie one after another in flat
                 out.append(pa.ListArray.from_arrays(pa.array(np.append(begin, len(flat)), pa.int32()), pa.array(flat.astype(np.int32))))
-            return pa.RecordBatch.from_arrays(out, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids])
+            return pa.RecordBatch.from_arrays(out, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "batch_id", *["ids"] * with_ids])
 
         return step
 
-    pieces = mapped(_text_frame(df, id_col, text_col), make, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids)
+    pieces = mapped(_text_frame(df, id_col, text_col), make, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, batch_id long" + ", ids array<int>" * with_ids)
     return pieces.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
 
 
@@ -133,6 +147,8 @@ def token_blocks(df: DataFrame, tokenizer: str | None = None, id_col: str = "doc
         from textloom.llm.common import sliced
 
         code, shard, block = coder(path, special=False), TaskContext.get().partitionId(), 0
+        if code.table.size > 1 << (8 * width):
+            raise ValueError(f"a vocabulary of {code.table.size} does not fit ids of {width} bytes")
         kind = {2: "<u2", 4: "<u4"}[width]
         held, owners, at = np.zeros(0, kind), [], []  # owners' end ids lie at `at` in held
 
