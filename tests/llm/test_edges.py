@@ -40,6 +40,13 @@ OPERATORS = {
     "language": lambda d, s: language.predict_languages(d),
     "suffixes": lambda d, s: suffixes.remove_repeats(d),
 }
+#: Operators that keep the columns of their input, or give several rows for one.
+OTHERS = {
+    "pack": lambda d: tokens.pack_documents(d, with_ids=False).drop("sequence_id", "batch_id"),
+    "remove": lambda d: passages.remove_passages(d),
+    "redact": lambda d: secrets.redact_secrets(d),
+    "identified": lambda d: language.keep_identified(d, language.fit_dictionaries(d)),
+}
 
 
 @pytest.fixture(scope="module")
@@ -57,6 +64,27 @@ def test_odd_rows(spark, odd, name):
     assert OPERATORS[name](odd.filter("false"), spark).count() == 0
 
 
+@pytest.mark.parametrize("name", list(OTHERS))
+def test_odd_rows_of_others(odd, name):
+    plain = OTHERS[name](odd)
+    want = sorted(map(repr, plain.select(*[c for c in plain.columns if c not in CLASH or name == "pack"]).collect()))
+    clashing = odd.select("*", *(F.lit("other").alias(c) for c in [*CLASH, "__may", "start", "end", "text_hash"]))
+    got = OTHERS[name](clashing)
+    if name != "pack":
+        assert got.columns == clashing.columns and got.filter("fp <> 'other' or fp is null").count() == 0
+    assert sorted(map(repr, got.select(*plain.columns).collect())) == want
+    assert OTHERS[name](odd.filter("false")).count() == 0
+
+
+def test_many_strata_and_languages(spark):
+    """No stratum and no language is left out, however many there are."""
+    labelled = spark.createDataFrame([(i, " ".join(f"{chr(97 + i % 26)}{chr(97 + i % 7)}q{k}x" for k in range(40)), f"l{i % 90}") for i in range(1, 1800)], "doc_id long, text string, lang string")
+    assert len(language.fit_dictionaries(labelled)) == 90
+    good = spark.range(1200).select(F.explode(F.array_repeat(F.col("id").cast("string"), 1)).alias("stratum"), *(F.lit(1).cast("long").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words")))
+    cut = quality.select_cutoffs(good, risk=0.99, fault=1e6)
+    assert cut.count() == 1200
+
+
 def test_defined_results(spark, odd):
     near = {r.doc_id: r for r in simhash.near_duplicates(odd).collect()}
     assert near[1].fingerprint == near[2].fingerprint == near[3].fingerprint == "0" * 16 and near[3].component_id == 1

@@ -8,7 +8,7 @@ is narrow are compressed again at a higher level before they are rejected.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,10 +17,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import BATCH_ROWS, mapped
+from textloom.llm.common import mapped, small_batches
 
-#: The bound of the sample that the dictionaries are fitted on: languages, texts of each, characters of each text.
-MAX_LANGUAGES, SAMPLE_ROWS, SAMPLE_CHARS = 64, 512, 1500
+#: The bound of the sample that the dictionaries are fitted on: texts of each language, characters of each text.
+SAMPLE_ROWS, SAMPLE_CHARS = 512, 1500
 DICTIONARY_BYTES = 240_000
 LEVEL, SECOND_LEVEL = 6, 12
 #: Margins below it are narrow: the text is rejected.
@@ -40,34 +40,19 @@ def is_held_out(id_col: str = "doc_id"):
 
 
 def fit_dictionaries(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
-    """A dictionary for each of the (at most MAX_LANGUAGES most frequent) labels, from rows that are not held out and have
-    text and label. The sample is a bounded one: of each label and each of ``rows`` hash classes of texts, the text of
-    least hash, cut to ``chars``. Copies of a text count once, so no hot text fills it."""
+    """A dictionary for each label, from rows that are not held out and have text and label. The sample is a bounded one: of
+    each label and each of ``rows`` hash classes of texts, the text of least hash, cut to ``chars``, up to ``size`` bytes
+    in all. Copies of a text count once, so no hot text fills it. What reaches the driver grows with the number of
+    languages alone."""
     learn = df.filter(~is_held_out(id_col) & F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & F.col(label_col).isNotNull())
     hashed = learn.select(F.col(label_col).alias("label"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
-    least = hashed.groupBy("label", F.pmod("h", F.lit(rows)).alias("part")).agg(F.min("h").alias("h"), F.count("*").alias("n"))
-    picked = least.collect()  # at most labels x rows numbers
-    total: dict[str, int] = {}
-    for r in picked:
-        total[r.label] = total.get(r.label, 0) + r.n
-    labels = sorted(sorted(total, key=lambda x: (-total[x], x))[:MAX_LANGUAGES])
-    chosen = [(r.label, r.h) for r in picked if r.label in set(labels)]
-    if not chosen:
-        return {}
-    table = df.sparkSession.createDataFrame(chosen, "label string, h long")
-    found = hashed.join(F.broadcast(table), ["label", "h"]).groupBy("label", "h").agg(F.min(F.substring("text", 1, chars)).alias("text")).collect()
-    out: dict[str, bytes] = {}
-    for label in labels:
-        parts: list[bytes] = []
-        heads, n = set(), 0
-        for r in sorted((r for r in found if r.label == label), key=lambda r: r.h):
-            part = normalised(r.text)
-            if part[:40] not in heads and n < size:
-                heads.add(part[:40])
-                parts.append(part)
-                n += len(part) + 1
-        out[label] = b" ".join(parts)[:size]
-    return {k: v for k, v in out.items() if v}
+    least = hashed.groupBy("label", F.pmod("h", F.lit(rows)).alias("part")).agg(F.min("h").alias("h"))
+    found = hashed.join(least.select("label", "h"), ["label", "h"]).groupBy("label", "h").agg(F.min(F.substring("text", 1, chars)).alias("text")).collect()
+    parts: dict[str, list[bytes]] = {}
+    for r in sorted(found, key=lambda r: (r.label, r.h)):
+        if body := normalised(r.text):
+            parts.setdefault(r.label, []).append(body)
+    return {label: b" ".join(bodies)[:size] for label, bodies in parts.items()}
 
 
 def _compressors(dictionaries: dict[str, bytes], level: int) -> list[zstandard.ZstdCompressor]:
@@ -79,6 +64,30 @@ def _compressors(dictionaries: dict[str, bytes], level: int) -> list[zstandard.Z
     return out
 
 
+def decider(dictionaries: dict[str, bytes], narrow: float = NARROW) -> Callable[[str | None], tuple[str, float, bool]]:
+    """A function of one text that gives its language, the margin, and whether the language is accepted."""
+    labels = sorted(dictionaries)
+    first, second = _compressors(dictionaries, LEVEL), []
+
+    def margin(sizes: list[int]) -> tuple[int, float]:
+        best = int(np.argmin(sizes))
+        rest = min([x for i, x in enumerate(sizes) if i != best], default=sizes[best] or 1)
+        return best, (rest - sizes[best]) / max(rest, 1) if len(sizes) > 1 else 1.0
+
+    def one(text: str | None) -> tuple[str, float, bool]:
+        body = normalised(text)
+        if not body or not labels:
+            return "und", 0.0, False
+        best, score = margin([len(c.compress(body)) for c in first])
+        if score < narrow:
+            if not second:
+                second.extend(_compressors(dictionaries, SECOND_LEVEL))
+            best, score = margin([len(c.compress(body)) for c in second])
+        return labels[best], score, score >= narrow
+
+    return one
+
+
 def identify(df: DataFrame, dictionaries: dict[str, bytes], narrow: float = NARROW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, lang_pred, score, accepted`` of every row. ``score`` is the margin (0 to 1). ``lang_pred`` is ``und``, the
     score 0 and the row rejected where the text is null or has no letter, or no dictionary was learned; ties go to the first
@@ -86,24 +95,7 @@ def identify(df: DataFrame, dictionaries: dict[str, bytes], narrow: float = NARR
     shared = df.sparkSession.sparkContext.broadcast(dictionaries)
 
     def make():
-        labels = sorted(shared.value)
-        first, second = _compressors(shared.value, LEVEL), []
-
-        def margin(sizes: list[int]) -> tuple[int, float]:
-            best = int(np.argmin(sizes))
-            rest = min([x for i, x in enumerate(sizes) if i != best], default=sizes[best] or 1)
-            return best, (rest - sizes[best]) / max(rest, 1) if len(sizes) > 1 else 1.0
-
-        def one(text: str | None) -> tuple[str, float, bool]:
-            body = normalised(text)
-            if not body or not labels:
-                return "und", 0.0, False
-            best, score = margin([len(c.compress(body)) for c in first])
-            if score < narrow:
-                if not second:
-                    second.extend(_compressors(shared.value, SECOND_LEVEL))
-                best, score = margin([len(c.compress(body)) for c in second])
-            return labels[best], score, score >= narrow
+        one = decider(shared.value, narrow)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             pred, score, ok = zip(*map(one, batch.column(1).to_pylist()), strict=True)
@@ -124,18 +116,12 @@ def predict_languages(df: DataFrame, narrow: float = NARROW, id_col: str = "doc_
 def keep_identified(df: DataFrame, dictionaries: dict[str, bytes], narrow: float = NARROW, text_col: str = "text") -> DataFrame:
     """The rows of ``df`` whose language is accepted, with all their columns."""
     shared = df.sparkSession.sparkContext.broadcast(dictionaries)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    small_batches(df)
 
     @F.pandas_udf("boolean")
     def accepted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        first, second = _compressors(shared.value, LEVEL), _compressors(shared.value, SECOND_LEVEL)
-
-        def wide(body: bytes, by: list) -> bool:
-            sizes = sorted(len(c.compress(body)) for c in by)
-            return len(sizes) == 1 or sizes[1] - sizes[0] >= narrow * sizes[1]
-
+        one = decider(shared.value, narrow)
         for texts in batches:
-            bodies = [normalised(x) for x in texts]
-            yield pd.Series([bool(b and first) and (wide(b, first) or wide(b, second)) for b in bodies])
+            yield pd.Series([one(x)[2] for x in texts], dtype=bool)
 
     return df.filter(accepted(F.col(text_col)))
