@@ -5,13 +5,16 @@ from __future__ import annotations
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import mapped, plain_bytes, settled
+from textloom.llm.common import bloom_of, mapped, may_hold, plain_bytes, settled, small_batches
 from textloom.llm.components import components
+from textloom.llm.passages import named_only, shingles_of, words_of
 
 SHINGLE = 3
 SEED = 42
@@ -89,3 +92,116 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     least = owned.groupBy("component").agg(F.min("least").alias("component_id"))
     of_fp = owned.join(least, "component").select("fp", "component_id")
     return docs.join(of_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+# --- near copies by similarity ------------------------------------------------------------------------------------------
+
+#: Near copies share this much of their five-word shingles (Jaccard's measure). Their fingerprints are taken of word pairs,
+#: which an edit touches less, and are wide: WIDE segments of 32 bits, each probed with a ball of radius one.
+SIMILAR, COPY_SHINGLE, PAIR, WIDE = 0.8, 5, 2, 12
+_MIX = np.random.default_rng(31).integers(0, 1 << 63, (WIDE // 2, 2), np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def wide_fingerprints(bodies: list[bytes]) -> np.ndarray:
+    """A row of WIDE unsigned 32-bit segments for each text. Texts of fewer than two words have zeros."""
+    flat = np.frombuffer(b"\n".join(bodies).lower(), np.uint8)
+    at, size = words_of(flat)
+    length = np.fromiter(map(len, bodies), np.int64, len(bodies))
+    bounds = np.searchsorted(at, np.append(0, np.cumsum(length + 1)))
+    shingle = shingles_of(flat, at, size, PAIR)
+    count = np.maximum(np.diff(bounds) - PAIR + 1, 0)
+    some = np.flatnonzero(count)
+    out = np.zeros((len(bodies), WIDE), np.uint32)
+    for k, i in enumerate(some.tolist()):
+        own = np.unique(shingle[bounds[i] : bounds[i] + count[i]])
+        mixed = own[:, None] * _MIX[None, :, 0]
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * _MIX[None, :, 1]
+        mixed ^= mixed >> np.uint64(29)
+        set_bits = np.zeros(32 * WIDE, np.int64)
+        for a in range(0, len(own), 4096):  # bits of so many shingles at a time
+            set_bits += np.unpackbits(np.ascontiguousarray(mixed[a : a + 4096]).view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out[i] = np.packbits(2 * set_bits > len(own), bitorder="little").view(np.uint32)
+    return out
+
+
+def _copy_links(texts: DataFrame) -> DataFrame:
+    """``a, b`` (a > b): each text's id with the least id that has one of its segments or a segment at one bit from it.
+    ``texts`` is ``id, segments array<long>``. Owners are pre-aggregated to the least, so a group of n near copies gives
+    links in proportion to n."""
+    owned = F.transform("segments", lambda x, i: F.shiftleft(i.cast("long"), 32).bitwiseOR(x))
+    owners = texts.select("id", F.explode(owned).alias("key")).groupBy("key").agg(F.min("id").alias("low"))
+    clear = lambda key: F.filter(F.transform(F.sequence(F.lit(0), F.lit(SEGMENT_BITS - 1)), lambda i: key.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))), lambda other: other != key)
+    probes = texts.select("id", F.explode(owned).alias("own")).select("id", F.explode(F.concat(F.array("own"), clear(F.col("own")))).alias("key"))
+    found = probes.join(owners, "key").filter("id <> low")
+    return found.select(F.greatest("id", "low").alias("a"), F.least("id", "low").alias("b")).distinct()
+
+
+def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
+    """``th, th2, n_bytes, kept_id`` of each text that has copies or near copies under other ids: its hashes and size, and the
+    least id of its group. Texts are linked where fingerprints are near and the sets of their five-word shingles (words in
+    lower case; of fewer words, the sequence) are ``similar`` or more; groups are connected by links. Null ids are left out;
+    null text is empty, and texts without words are alike. Only the two named columns are read."""
+    docs = df.select(F.col(id_col).cast("long").alias("id"), plain_bytes(F.col(text_col).cast("string")).alias("text")).filter("id is not null")
+    key = [F.xxhash64("text").alias("th"), F.hash("text").alias("th2"), F.octet_length("text").alias("n_bytes")]
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            segments = wide_fingerprints(batch.column(1).to_pylist()).astype(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(segments) + 1) * WIDE, pa.int32()), pa.array(segments.ravel()))
+            return pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], lists], ["id", "th", "th2", "n_bytes", "segments"])
+
+        return step
+
+    own = mapped(docs.select("id", "text", *key), make, "id long, th long, th2 int, n_bytes int, segments array<long>")
+    # Exact copies are one row from here on; of texts whose rows share an id, one stands for all.
+    texts = settled(own.groupBy("th", "th2", "n_bytes").agg(F.min("id").alias("id"), F.max("id").alias("most"), F.first("segments").alias("segments")))
+    pairs = settled(_copy_links(texts.select("id", "segments")))
+    named = settled(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
+    bodies = settled(named_only(docs, named).join(named, "id").dropDuplicates(["id", "th"]))
+    both = pairs.join(bodies.select(F.col("id").alias("a"), F.col("text").alias("own")), "a").join(bodies.select(F.col("id").alias("b"), F.col("text").alias("other")), "b")
+
+    def compare():
+        expand, known = zstandard.ZstdDecompressor().decompress, {}
+
+        def shingles(body: bytes) -> np.ndarray:
+            flat = np.frombuffer(expand(body).lower(), np.uint8)
+            at, size = words_of(flat)
+            return np.unique(shingles_of(flat, at, size, max(1, min(COPY_SHINGLE, len(at)))))
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            keep = []
+            for other, mine in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if other not in known:
+                    known.clear()  # pairs come sorted by b
+                    known[other] = shingles(other)
+                x, y = shingles(mine), known[other]
+                n = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(n >= similar * (len(x) + len(y) - n))
+            return pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep))
+
+        return step
+
+    label = components(mapped(both.select("a", "b", "other", "own"), compare, "a long, b long"))
+    # Texts that share an id are one node; a text without links is its own group.
+    grouped = texts.join(label.select(F.col("a").alias("id"), "component"), "id", "left").withColumn("kept_id", F.coalesce("component", "id"))
+    return grouped.filter((F.col("kept_id") != F.col("id")) | (F.col("most") != F.col("id"))).select("th", "th2", "n_bytes", "kept_id")
+
+
+def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
+    """``df`` without the rows that ``near_copies`` names, but for those of each group's least id. Rows with null ids stay, and
+    so do all columns, whatever their names. Texts are not shuffled: rows that a filter does not let through stay at once,
+    the others are told by a join on hashes."""
+    drop = settled(near_copies(df, id_col, text_col, similar).select(*(F.col(c).alias(f"__{c}") for c in ("th", "th2", "n_bytes", "kept_id"))))
+    shared = df.sparkSession.sparkContext.broadcast(bloom_of(drop, "__th"))
+    small_batches(df)
+
+    @F.pandas_udf("boolean")
+    def may_have(h: pd.Series) -> pd.Series:
+        return pd.Series(may_hold(shared.value, h.to_numpy().view(np.uint64)))
+
+    body = plain_bytes(F.col(text_col).cast("string"))
+    hashed = df.withColumns({"__h": F.xxhash64(body), "__h2": F.hash(body), "__n": F.octet_length(body)})
+    told = hashed.withColumn("__may", may_have("__h"))
+    match = (F.col("__h") == F.col("__th")) & (F.col("__h2") == F.col("__th2")) & (F.col("__n") == F.col("__n_bytes"))
+    kept = told.filter("__may").join(drop, match, "left").filter(F.col("__kept_id").isNull() | F.col(id_col).isNull() | (F.col(id_col).cast("long") == F.col("__kept_id")))
+    return kept.select(*df.columns).unionByName(told.filter("not __may").select(*df.columns))
