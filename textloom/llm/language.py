@@ -17,11 +17,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import mapped, small_batches
+from textloom.llm.common import mapped, settled, small_batches
 
 #: The bound of the sample that the dictionaries are fitted on: texts of each language, characters of each text.
 SAMPLE_ROWS, SAMPLE_CHARS = 512, 1500
 DICTIONARY_BYTES = 240_000
+#: Rows of the sample's hashes up to which they are broadcast.
+MOST_BROADCAST = 1 << 19
 LEVEL, SECOND_LEVEL = 6, 12
 #: Margins below it are narrow: the text is rejected.
 NARROW = 0.002
@@ -46,8 +48,10 @@ def fit_dictionaries(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     languages alone."""
     learn = df.filter(~is_held_out(id_col) & F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & F.col(label_col).isNotNull())
     hashed = learn.select(F.col(label_col).alias("label"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
-    least = hashed.groupBy("label", F.pmod("h", F.lit(rows)).alias("part")).agg(F.min("h").alias("h"))
-    found = hashed.join(least.select("label", "h"), ["label", "h"]).groupBy("label", "h").agg(F.min(F.substring("text", 1, chars)).alias("text")).collect()
+    least = settled(hashed.groupBy("label", F.pmod("h", F.lit(rows)).alias("part")).agg(F.min("h").alias("h")).select("label", "h"))
+    # Its size is checked: with very many labels the texts are shuffled instead.
+    chosen = F.broadcast(least) if least.count() <= MOST_BROADCAST else least
+    found = hashed.join(chosen, ["label", "h"]).groupBy("label", "h").agg(F.min(F.substring("text", 1, chars)).alias("text")).collect()
     parts: dict[str, list[bytes]] = {}
     for r in sorted(found, key=lambda r: (r.label, r.h)):
         if body := normalised(r.text):
