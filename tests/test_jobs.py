@@ -130,3 +130,48 @@ def test_phrase_verdicts(spark):
     verdicts = parsing.phrase_verdicts(phrases, tokens, roles)
     assert rows(verdicts.select("doc_id", "verdict")) == [(1, "的"), (2, "地"), (3, "的"), (4, "的"), (5, "地")]
     assert dict(rows(parsing.apply_verdicts(tokens, verdicts)))[4] == "美丽的花朵"
+
+
+def test_stream_onto_an_existing_store(spark, tmp_path):
+    """What the store holds before a stream's first batch stays, a batch that runs again is not merged twice."""
+    source, store, checkpoint = str(tmp_path / "in"), str(tmp_path / "store"), str(tmp_path / "cp")
+    for i in range(3):
+        tables.write_rules(mining.promote_rules(spark.createDataFrame([(f"o{i}", "n", "r", True, i)], DIFF), tables.read_rules(spark, store)), store)
+    spark.createDataFrame([("在见", "再见", "s", False, 9)], DIFF).write.parquet(source)
+    stream = spark.readStream.schema(DIFF).parquet(source)
+    jobs.stream_promote_rules(stream, store, checkpoint).awaitTermination()
+    assert {(r.old, r.promoted) for r in tables.read_rules(spark, store).collect()} == {("o0", True), ("o1", True), ("o2", True), ("在见", False)}
+    (tmp_path / "cp/commits/0").unlink()
+    (tmp_path / "cp/commits/.0.crc").unlink(missing_ok=True)
+    spark.createDataFrame([("在见", "再见", "t", False, 9)], DIFF).write.mode("append").parquet(source)
+    jobs.stream_promote_rules(spark.readStream.schema(DIFF).parquet(source), store, checkpoint).awaitTermination()
+    assert {(r.old, r.n_sentences, r.promoted) for r in tables.read_rules(spark, store).filter("old = '在见'").collect()} == {("在见", 2, True)}
+
+
+def test_repeats_do_not_count_again(spark):
+    diffs = spark.createDataFrame([("在见", "再见", "a", False, 1), ("在见", "再见", "b", False, 2)], DIFF)
+    assert mining.promote_rules(diffs, mining.promote_rules(diffs)).first().n_sentences == 2
+
+
+def test_terms_of_rows_that_share_an_id(spark, tmp_path):
+    (tmp_path / "terms").write_text("# names\nKubernetes 2\nK8s\nk8S 9\n数据\n")
+    terms = tables.load_terms(spark, str(tmp_path / "terms"))
+    assert [r.word for r in terms.orderBy("ord").collect()] == ["Kubernetes", "K8s", "k8S", "数据"]
+    texts = spark.createDataFrame([(1, "k8s，一"), (1, "二 kubernetse"), (2, None), (3, "")], "doc_id bigint, text string")
+    for most in (100, 0):
+        fixed = lexicon.apply_terms(texts, lexicon.restore_terms(texts, terms), most=most)
+        assert sorted(map(repr, fixed.collect())) == sorted(map(repr, spark.createDataFrame([(1, "K8s，一"), (1, "二 Kubernetes"), (2, None), (3, "")], "doc_id bigint, text string").collect()))
+
+
+def test_conflicts(spark):
+    made = [(1, "认真的检查吧", "认真地检查", "认真的检查吧"), (2, "认真的检查", "认真地检查", "认真地检查"), (3, "的", "地", "的的"), (4, "好的", "好吧", "好的"), (5, "跑的快啊", "跑得快", "跑得快啊")]
+    pairs = spark.createDataFrame(made, "event_id bigint, raw string, corrected string, verdict string")
+    assert rows(correcting.conflicting_pairs(pairs)) == [(1,)]
+
+
+def test_polish_keeps_rows(spark):
+    texts = spark.createDataFrame([(1, "一。二", 5), (1, "三。四", 6), (2, None, 7), (3, "", 8), (None, "五", 9)], "doc_id bigint, text string, row int")
+    answer = lambda prompt: F.when(prompt.contains("二"), F.lit(None)).otherwise(F.concat(F.substring_index(prompt, "：", -1), F.lit("x")))
+    got = correcting.polished(texts, answer, "润色：{text}", max_len=2)
+    assert got.columns == texts.columns
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, spark.createDataFrame([(1, "一。x二", 5), (1, "三。x四x", 6), (2, None, 7), (3, "", 8), (None, "五x", 9)], texts.schema).collect()))

@@ -74,7 +74,7 @@ def _ba(text: str) -> str:
 
 
 def default_stages(simplified: tuple[str, str] = ("", ""), typos: Iterable[R.Rule] = (), phrases: Iterable[R.Rule] = (), user: Iterable[R.Rule] = (), learned: Iterable[R.Rule] = (), variants: Iterable[R.Rule] = (), numerals: bool = True) -> list[R.Stage]:
-    """The built-in stages in order. Rule tables that are not given change nothing."""
+    """The built-in stages in order. Rule tables that are not given change nothing. Reasons and sources are fixed values."""
     to_simple = str.maketrans(*simplified)
     table = lambda rules: (lambda t, rules=tuple(rules): R.rewrite(t, rules))
     stages = [
@@ -127,27 +127,37 @@ def top_replacements(suggestions: DataFrame, k: int = 10) -> DataFrame:
 
 # --- language-model polish ----------------------------------------------------------------------------------------------
 
-MIXED_NOTE = "文本中英混读，请修正英文单词的拼写与空格。"
+MIXED_NOTE = "这段话夹有英文，拼写和空格也请检查。"
+#: What stands before the terms and before the replacements.
+LABELS = ("术语：", "替换：")
 CHUNK = 600
 
 
-def polish_prompts(df: DataFrame, template: str, terms: Iterable[str] = (), replacements: Iterable[tuple[str, str]] = (), mixed_note: str = MIXED_NOTE, id_col: str = "doc_id", text_col: str = "text", max_len: int = CHUNK) -> DataFrame:
-    """``doc_id, pos, chunk, prompt``: the template for each chunk, with the terms and replacements named in front; texts that
-    mix languages get a note before it."""
-    parts = ["专业术语清单：" + "、".join(terms)] if list(terms) else []
-    parts += ["替换规则：" + "；".join(f"把'{a}'更正为'{b}'" for a, b in replacements)] if list(replacements) else []
-    head = "以下是用户提供的一些术语参考：\n" + "\n".join(parts) + "\n\n在处理下文时，请务必优先参考上述术语。\n\n" if parts else ""
+def polish_prompts(df: DataFrame, template: str, terms: Iterable[str] = (), replacements: Iterable[tuple[str, str]] = (), mixed_note: str = MIXED_NOTE, labels: tuple[str, str] = LABELS, id_col: str = "doc_id", text_col: str = "text", max_len: int = CHUNK) -> DataFrame:
+    """``doc_id, pos, chunk, prompt``: the template for each chunk, with the terms and replacements named in front (``labels``
+    introduce them); texts that mix languages get a note before it. Null and empty texts give no prompt. The rows of a
+    text that shares its id with another are told apart by ``row``, a hash of the whole text."""
+    names, swaps = list(terms), [f"{a}→{b}" for a, b in replacements]
+    parts = [label + "、".join(x) for label, x in zip(labels, (names, swaps), strict=True) if x]
+    head = "\n".join(parts) + "\n\n" if parts else ""
     full = F.concat(F.lit(head), F.when(is_mixed_language(text_col), F.lit(mixed_note)).otherwise(""), F.lit(template))
-    chunks = df.filter(F.length(text_col) > 0).select(F.col(id_col).alias("doc_id"), full.alias("full"), F.posexplode(chunk_text(text_col, max_len)).alias("pos", "chunk"))
-    return chunks.select("doc_id", "pos", "chunk", F.replace("full", F.lit("{text}"), F.col("chunk")).alias("prompt"))
+    chunks = df.filter(F.length(text_col) > 0).select(F.col(id_col).alias("doc_id"), F.md5(text_col).alias("row"), full.alias("full"), F.posexplode(chunk_text(text_col, max_len)).alias("pos", "chunk"))
+    return chunks.select("doc_id", "row", "pos", "chunk", F.replace("full", F.lit("{text}"), F.col("chunk")).alias("prompt"))
 
 
 def apply_polish(prompts: DataFrame, fn: Callable[[Column], Column]) -> DataFrame:
-    """``doc_id, text``: a caller's column function (a pandas UDF, say) on each prompt; where it gives null or nothing, the
-    chunk stays; chunks joined again in order."""
-    done = prompts.withColumn("out", fn(F.col("prompt"))).withColumn("part", F.coalesce(F.nullif("out", F.lit("")), "chunk"))
-    parts = F.sort_array(F.collect_list(F.struct("pos", "part")))  # the chunks of one document
-    return done.groupBy("doc_id").agg(F.array_join(F.transform(parts, lambda x: x["part"]), "").alias("text"))
+    """``doc_id, row, text``: a caller's column function (a pandas UDF, say) on each distinct prompt; where it gives null or
+    nothing, the chunk stays; chunks joined again in order. Rows that repeat whole are one."""
+    done = prompts.select("doc_id", "row", "pos", F.coalesce(F.nullif(fn(F.col("prompt")), F.lit("")), "chunk").alias("part"))
+    parts = F.array_sort(F.collect_set(F.struct("pos", "part")))  # the chunks of one text
+    return done.groupBy("doc_id", "row").agg(F.array_join(F.transform(parts, lambda x: x["part"]), "").alias("text"))
+
+
+def polished(df: DataFrame, fn: Callable[[Column], Column], template: str, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """``df`` with ``text_col`` polished: prompts, answers and chunks put together again. Null and empty texts stay."""
+    answers = apply_polish(polish_prompts(df, template, id_col=id_col, text_col=text_col, **how), fn).select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), F.col("text").alias("__new"))
+    joined = df.join(answers, F.col(id_col).eqNullSafe(F.col("__id")) & (F.md5(text_col) == F.col("__row")), "left")
+    return joined.withColumn(text_col, F.coalesce("__new", text_col)).select(*df.columns)
 
 
 # --- tokens, parses, differences ----------------------------------------------------------------------------------------
@@ -188,11 +198,16 @@ def extract_diffs(pairs: DataFrame, lexicon: DataFrame | None = None, particles_
 
 def conflicting_pairs(pairs: DataFrame) -> DataFrame:
     """``event_id`` of pairs in which a 的, 地 or 得 is swapped for another than the rules' verdict (``verdict``, a text of
-    ``raw``'s length, else undecided) has in that place."""
-    chars = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
-    swapped = F.zip_with(F.arrays_zip(chars("raw").alias("r"), chars("corrected").alias("c")), chars("verdict"), lambda p, v: F.coalesce(p["r"].isin(*R.PARTICLES) & p["c"].isin(*R.PARTICLES) & (p["r"] != p["c"]) & (p["c"] != v), F.lit(False)))
-    same = (F.length("raw") == F.length("verdict")) & (F.length("raw") == F.length("corrected"))
-    return pairs.filter(same & F.exists(swapped, lambda x: x)).select("event_id")
+    ``raw``'s length, else undecided) has in that place. Places come from the pair's difference, so the correction may be
+    of another length."""
+
+    @F.pandas_udf("array<struct<at: int, to: string>>")
+    def swaps(raw: pd.Series, corrected: pd.Series) -> pd.Series:
+        return pd.Series([[{"at": i, "to": c} for i, c in R.particle_swaps(a, b)] for a, b in zip(raw, corrected, strict=True)])
+
+    may = pairs.filter((F.col("raw") != F.col("corrected")) & (F.length("raw") == F.length("verdict")) & F.col("raw").rlike("[的地得]"))
+    told = may.withColumn("__s", swaps("raw", "corrected"))
+    return told.filter(F.exists("__s", lambda x: F.substring(F.col("verdict"), x["at"] + 1, F.lit(1)) != x["to"])).select("event_id")
 
 
 def merge_verdicts(rule: Column | str, parse: Column | str) -> Column:

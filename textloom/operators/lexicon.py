@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions.text import CJK
+from textloom.functions.text import CJK, restore_spoken_digits
 
 #: A word of at least this frequency is reliable.
 RELIABLE = 50
@@ -66,30 +69,50 @@ def filter_ner_spans(spans: DataFrame, texts: DataFrame, lexicon: DataFrame) ->
     return named.join(lexicon.filter(F.col("freq") >= RELIABLE).select("word"), "word", "left_anti").select("doc_id", "start", "end").distinct()
 
 
+#: What may be a term: a Latin letter and up to 31 more characters.
+CANDIDATE = f"[A-Za-z][A-Za-z0-9._+\\-{CJK} ]{{0,31}}"
+#: Restored candidates up to this number are looked up in the row; with more, texts are cut up and joined.
+MOST_RESTORED = 200_000
+
+
 def restore_terms(texts: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``candidate, term`` for the distinct Latin-letter candidates of the texts that a term restores: an exact match in any
     case first; else, for candidates without CJK other than numerals, the first term in list order (``terms``: ``ord, word,
-    score``) with the same first letter that equals the candidate's digit form or lies within the term's edit distance."""
-    from textloom.functions.text import restore_spoken_digits
-
-    words = texts.select(F.explode(F.regexp_extract_all(text_col, F.lit(f"[A-Za-z][A-Za-z0-9._+\\-{CJK} ]{{0,31}}"), F.lit(0))).alias("candidate")).distinct()
-    words = words.withColumn("low", F.lower("candidate")).withColumn("head", F.substring("low", 1, 1)).withColumn("open", ~F.translate("candidate", "零一二三四五六七八九两十百", "").rlike(f"[{CJK}]")).withColumn("plain", restore_spoken_digits("candidate"))
+    score``) with the same first letter that equals the candidate's digit form or lies within the term's edit distance.
+    Candidates meet terms by equality, by equal digit forms, or by first letter and a length at most two apart."""
+    words = texts.select(F.explode(F.regexp_extract_all(text_col, F.lit(CANDIDATE), F.lit(0))).alias("candidate")).distinct()
+    words = words.withColumn("low", F.lower("candidate")).withColumn("open", ~F.translate("candidate", "零一二三四五六七八九两十百", "").rlike(f"[{CJK}]")).withColumn("plain", restore_spoken_digits("candidate"))
     n = F.length("word")
     strict = F.when(n <= 3, 0).when(n == 4, 1).otherwise(2)
-    known = terms.select("ord", "word", F.lower("word").alias("term"), F.substring(F.lower("word"), 1, 1).alias("head"), F.when((F.col("score") >= 4.0) & (strict > 0), F.greatest(F.lit(1), strict - 1)).otherwise(strict).alias("bound"))
-    pairs = words.join(known, "head")
-    near = F.levenshtein("low", "term")
-    digit_like = F.col("term").rlike("^[a-z0-9]") & (F.col("plain") == F.col("term"))
-    exact = F.col("low") == F.col("term")
-    hits = pairs.withColumn("exact", exact).filter(exact | (F.col("open") & (digit_like | ((F.abs(F.length("low") - F.length("term")) <= F.col("bound")) & (near <= F.col("bound"))))))
-    return hits.groupBy("candidate").agg(F.min_by("word", F.struct((~F.col("exact")).alias("e"), "ord")).alias("term"))
-
-
-def apply_terms(texts: DataFrame, restored: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, text`` with every candidate of ``restored`` replaced. Candidates are placed by position, looked up by a join
-    and put together again in order; texts without a candidate pass through."""
-    pattern = f"[A-Za-z][A-Za-z0-9._+\\-{CJK} ]{{0,31}}"
-    parts = texts.select(F.col(id_col).alias("doc_id"), F.posexplode(F.regexp_extract_all(text_col, F.lit(f"{pattern}|[^A-Za-z]+"), F.lit(0))).alias("pos", "candidate"))
-    fixed = parts.join(restored, "candidate", "left").select("doc_id", "pos", F.coalesce("term", "candidate").alias("part"))
-    joined = fixed.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "part"))), lambda x: x["part"]), "").alias("text"))
-    return texts.select(F.col(id_col).alias("doc_id")).join(joined, "doc_id", "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    bound = F.when((F.col("score") >= 4.0) & (strict > 0), F.greatest(F.lit(1), strict - 1)).otherwise(strict)
+    known = terms.select("ord", "word", F.lower("word").alias("term"), bound.alias("bound"))
+    hit = lambda df, exact: df.select("candidate", "word", F.struct(F.lit(not exact).alias("e"), "ord").alias("order"))
+    equal = hit(words.join(known, F.col("low") == F.col("term")), True)
+    digits = hit(words.filter("open").join(known.filter(F.col("term").rlike("^[a-z0-9]")), (F.col("plain") == F.col("term")) & (F.substring("low", 1, 1) == F.substring("term", 1, 1))), False)
+    blocks = words.filter("open").select("candidate", "low", F.substring("low", 1, 1).alias("head"), F.explode(F.array(*(F.length("low") + d for d in range(-2, 3)))).alias("size"))
+    sized = known.select("ord", "word", "term", "bound", F.substring("term", 1, 1).alias("head"), F.length("term").alias("size"))
+    near = blocks.join(sized, ["head", "size"]).filter((F.abs(F.length("low") - F.col("size")) <= F.col("bound")) & (F.levenshtein("low", "term") <= F.col("bound")))
+    return equal.unionByName(digits).unionByName(hit(near, False)).groupBy("candidate").agg(F.min_by("word", "order").alias("term"))
+
+
+def apply_terms(texts: DataFrame, restored: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_RESTORED) -> DataFrame:
+    """``doc_id, text`` with every candidate of ``restored`` replaced, one row for each row of ``texts``; null stays null. Up
+    to ``most`` candidates that change something are looked up inside the row; with more, distinct texts are cut at their
+    candidates, joined and put together again."""
+    own = texts.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    restored = restored.filter(F.col("candidate") != F.col("term"))
+    found = restored.limit(most + 1).collect()
+    if len(found) <= most:
+        shared = texts.sparkSession.sparkContext.broadcast({r.candidate: r.term for r in found})
+
+        @F.pandas_udf("string")
+        def replace(column: pd.Series) -> pd.Series:
+            term = shared.value
+            return column.map(lambda t: re.sub(CANDIDATE, lambda m: term.get(m[0], m[0]), t), na_action="ignore")
+
+        has = F.col("text").rlike("[A-Za-z]")
+        return own.withColumn("text", F.when(has, replace(F.when(has, F.col("text")))).otherwise(F.col("text")))
+    parts = own.select("text").distinct().select(F.md5("text").alias("key"), F.posexplode(F.regexp_extract_all("text", F.lit(f"{CANDIDATE}|[^A-Za-z]+"), F.lit(0))).alias("pos", "candidate"))
+    fixed = parts.join(restored, "candidate", "left").select("key", "pos", F.coalesce("term", "candidate").alias("part"))
+    joined = fixed.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "part"))), lambda x: x["part"]), "").alias("new"))
+    return own.withColumn("key", F.md5("text")).join(joined, "key", "left").select("doc_id", F.coalesce("new", "text").alias("text"))

@@ -23,13 +23,13 @@ def promote_rules(diffs: DataFrame, store: DataFrame | None = None, threshold: i
     """``old, new, n_sentences, promoted, first_seen, raws`` from events ``old, new, raw, manual, ts``. Repeats of a sentence
     are one piece of evidence: they are dropped before the count, so a rule seen by the million is spread over the shuffle.
     A manual event promotes at once. ``store`` is an earlier result; a promotion never reverts, and a promoted rule keeps
-    no hashes, so its ``n_sentences`` counts what led to the promotion and what the last batch brought."""
+    no hashes: its ``n_sentences`` stays what it was in the batch that promoted it."""
     seen = diffs.select("old", "new", sentence_hash("raw").alias("h"), F.coalesce("manual", F.lit(False)).alias("manual"), "ts")
     events = seen.groupBy("old", "new", "h").agg(F.max("manual").alias("manual"), F.min("ts").alias("ts"), F.lit(0).cast("long").alias("base"))
     if store is not None:
         kept = store.select("old", "new", F.explode_outer("raws").alias("h"), F.col("promoted").alias("manual"), F.col("first_seen").alias("ts"), F.when(F.col("promoted"), F.col("n_sentences")).otherwise(0).alias("base"))
         events = events.unionByName(kept).groupBy("old", "new", "h").agg(F.max("manual").alias("manual"), F.min("ts").alias("ts"), F.max("base").alias("base"))
-    rules = events.groupBy("old", "new").agg((F.count("h") + F.max("base")).alias("n_sentences"), F.max("manual").alias("manual"), F.min("ts").alias("first_seen"))
+    rules = events.groupBy("old", "new").agg(F.when(F.max("base") > 0, F.max("base")).otherwise(F.count("h")).alias("n_sentences"), F.max("manual").alias("manual"), F.min("ts").alias("first_seen"))
     rules = rules.withColumn("promoted", F.col("manual") | (F.col("n_sentences") >= threshold)).drop("manual")
     waiting = events.join(rules.filter(~F.col("promoted")).select("old", "new"), ["old", "new"], "left_semi").filter("h is not null")
     raws = waiting.groupBy("old", "new").agg(F.sort_array(F.collect_list("h")).alias("raws"))  # fewer than the threshold each

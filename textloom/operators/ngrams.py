@@ -94,7 +94,7 @@ def confusion_candidates(df: DataFrame, confusions: DataFrame, lexicon: DataFram
     near = lambda i, d: F.coalesce(F.get("__a", i + d), F.lit(""))
     windows = F.transform("__a", lambda c, i: F.struct(i.alias("pos"), c.alias("orig"), near(i, -1).alias("prev"), near(i, 1).alias("next")))
     chars = arrays.select("doc_id", F.explode(windows).alias("w")).select("doc_id", "w.*")
-    placed = chars.join(F.broadcast(confusions.select(F.col("ch").alias("orig"), "cand")), "orig")
+    placed = chars.join(confusions.select(F.col("ch").alias("orig"), "cand"), "orig")
 
     def words(c: str) -> Column:
         x, p1, n1 = F.col(c), F.col("prev"), F.col("next")

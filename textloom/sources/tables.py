@@ -34,13 +34,15 @@ def _listed(lines: DataFrame) -> DataFrame:
     return trimmed.filter((F.col("line") != "") & ~F.col("line").startswith("#")).withColumn("parts", F.split("line", " +"))
 
 
-def parse_terms(lines: DataFrame) -> DataFrame:
-    """``word, score`` of lines ``word score``; the score is 2.0 where it is absent or no number."""
-    return _listed(lines).select(F.col("parts")[0].alias("word"), F.coalesce(F.get("parts", F.lit(1)).try_cast("double"), F.lit(2.0)).alias("score"))
+def parse_terms(lines: DataFrame, *kept: str) -> DataFrame:
+    """``word, score``, after the ``kept`` columns, of lines ``word score``; the score is 2.0 where it is absent or no
+    number."""
+    return _listed(lines).select(*kept, F.col("parts")[0].alias("word"), F.coalesce(F.get("parts", F.lit(1)).try_cast("double"), F.lit(2.0)).alias("score"))
 
 
 def load_terms(spark: SparkSession, path: str, latin_only: bool = False) -> DataFrame:
-    terms = parse_terms(spark.read.text(path))
+    """``ord, word, score`` of a term list file, its lines numbered as they stand."""
+    terms = parse_terms(spark.read.text(path).withColumn("ord", F.monotonically_increasing_id()), "ord")
     return terms.filter(F.col("word").rlike("[A-Za-z]")) if latin_only else terms
 
 
@@ -81,16 +83,23 @@ def read_rules(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RULES_SCHEMA).parquet(newest) if newest else spark.createDataFrame([], RULES_SCHEMA)
 
 
-def write_rules(rules: DataFrame, path: str, version: int | None = None) -> str:
-    """A new snapshot, which readers see once it is whole. Writing a ``version`` (of a streaming batch) again replaces it."""
-    spark = rules.sparkSession
-    newest = _newest(spark, path)
-    number = version if version is not None else int(newest.rsplit("/v", 1)[1].split("-")[0]) + 1 if newest else 0
-    target = f"{path}/v{number:020d}"
+def write_rules(rules: DataFrame, path: str, batch: str = "") -> str:
+    """A new snapshot after the newest, which readers see once it is whole. ``batch`` names what it holds (letters, digits and
+    dashes), for ``has_batch``."""
+    newest = _newest(rules.sparkSession, path)
+    number = int(newest.rsplit("/v", 1)[1].split("-")[0]) + 1 if newest else 0
+    target = f"{path}/v{number:020d}" + (f"-{batch}" if batch else "")
     rules.write.mode("overwrite").parquet(target)
     return target
 
 
+def has_batch(spark: SparkSession, path: str, batch: str) -> bool:
+    """Whether a whole snapshot of the store was written for ``batch``."""
+    fs, base, child = _pointer(spark, path)
+    found = fs.globStatus(child(f"{path}/v*-{batch}/_SUCCESS"))
+    return found is not None and len(found) > 0
+
+
 def clear_rules(spark: SparkSession, path: str) -> None:
     write_rules(spark.createDataFrame([], RULES_SCHEMA), path)
 
