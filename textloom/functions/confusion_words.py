@@ -52,3 +52,22 @@ MEASURES = (
 QUANTITIES = "很多 不少 许多 好多 更多 多个 数个 若干 有些 好几个 好多个 好几种 好几分 好几项 好几款".split()
 PLACE_BEGINNINGS = "这那哪前后左右上下里外内旁边面中间家校公司院所厂站"
 TIME_FRAMES = "之前 之后 以前 以来 期间".split()
+# How often or how much, said after a verb that is done again.
+MOTIONS = """一下 一遍 一次 一回 一眼 一会 一会儿 一点 一看 一试 一查 一改 一想 一等 两下 两遍 两次 两回 几下 几遍 几次 几回 几眼 几会
+多下 多遍 多次 多回 再下 再遍 再次 再回 些下 些遍 些次""".split()
+# Characters that begin a place, and those of them that settle 在 at once.
+PLACE_CHARACTERS = "这那哪前后左右上下里外内旁边面中间家校公司院所厂站口头尾畔"
+PLACE_SETTLED = "这那哪前后左右上下里外内旁边面中间"
+# Adverbs before which 再 stays.
+BEFORE_AGAIN = "不也都还就才又总老偏"
+# Verbs after 再, and verbs after 在 that with an aspect mean 再.
+AGAIN_VERBS = "说看做来去走跑吃睡想试等找问给买换查改发收写读听学玩干忙帮借还送拿"
+ASPECT_VERBS = "吃睡看做玩跑走说听想写读学买卖洗刷扫拖倒切剁试改用搞弄聊查找等修调测编译推拉开关换拿放跳飞游爬骑"
+AFTER_ONE_VERB = "，。、；！？了吧呢吗啊呀"
+# Never touched, and words near which nothing is touched.
+UNTOUCHED = "他她它祂不一的地得"
+SAFE_WORDS = "做主 作家 坐下 座位 作主 作文 作业 作息 作风 作用 作画 作曲".split()
+WEEKDAYS = "一二三四五六日天末未"
+# Deprecated forms that stay after or before some characters.
+VARIANT_NOT_AFTER = {"人材": "这那做当有无各他你我谁每没别被把给让叫咱"}
+VARIANT_NOT_BEFORE = {"那末": "年月日天底末期初尾"}

@@ -1,22 +1,21 @@
 """Verdicts on 的, 地 and 得 from words and tags, as an ordered table of patterns over tagged clauses.
 
 A clause is written as one string: before each word a START, after it a SLASH and its tag, and a ``-`` behind the tag of a
-rare word. A rule is a particle, what stands before and after it (both patterns of such tokens), and a verdict; the first
-rule that fits a particle writes the verdict behind its token, where later rules see that it is decided. So the rules run as
-``regexp_replace`` in the JVM. What stands before is a look-behind of bounded length: words of up to 24 characters.
+rare word. A rule is some particles, what stands right before and right after them (patterns of such tokens), and a verdict.
+The first rule that fits a particle decides it; verdicts do not change what other particles see. The rules are compiled once
+for each worker and are tried at particles alone, so a clause without one costs a look.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from functools import lru_cache
 
 from textloom.functions import particle_words as P
-from textloom.functions.text import CJK, EMOTIONS
+from textloom.functions.text import CJK, EMOTIONS, PRE_FIXES
 
-START, SLASH, DECIDED = "\ue010", "\ue011", "\ue012"
+START, SLASH = "\ue010", "\ue011"
 PARTICLES = "的地得"
 #: A word of a frequency below it is rare: at the end of a clause such a noun is a mistagged complement.
 RARE = 300
@@ -40,10 +39,12 @@ _ATTRIBUTES = [*P.ADJECTIVES_TAGGED_NOUN, *P.ATTRIBUTES]
 _STRICT_OBJECT_VERBS = [w for w in P.OBJECT_VERBS if w not in P.PHRASE_VERBS]
 
 
-def encode(tokens: Iterable[tuple[str, str, int]]) -> str:
-    """A clause from ``word, tag, freq`` of its tokens. Particles have tags of their own, whatever the lexicon says."""
-    own = dict(zip(PARTICLES, STRUCTURAL, strict=True))
-    return "".join(f"{START}{w}{SLASH}{own.get(w, t)}{'-' if f < RARE else ''}" for w, t, f in tokens)
+_OWN_TAGS = dict(zip(PARTICLES, STRUCTURAL, strict=True))
+
+
+def encoded(word: str, tag: str, freq: int) -> str:
+    """One token. Particles have tags of their own, whatever the lexicon says."""
+    return f"{START}{word}{SLASH}{_OWN_TAGS.get(word, tag)}{'-' if freq < RARE else ''}"
 
 
 def token(words: Iterable[str] | None = None, tags: Iterable[str] | None = None, without: Iterable[str] = (), rare: str = "-?") -> str:
@@ -51,22 +52,19 @@ def token(words: Iterable[str] | None = None, tags: Iterable[str] | None = None,
     some = lambda xs: "(?:" + "|".join(sorted(xs, key=lambda x: (-len(x), x))) + ")"
     bar = f"(?!{some(without)}{SLASH})" if without else ""
     word = some(words) if words is not None else f"[^{START}{SLASH}]{{1,24}}"
-    return f"{START}{bar}{word}{SLASH}{some(tags) if tags is not None else '[a-z]{1,4}'}{rare}(?:{DECIDED}.)?"
+    return f"{START}{bar}{word}{SLASH}{some(tags) if tags is not None else '[a-z]{1,4}'}{rare}"
 
 
 def either(*patterns: str) -> str:
     return "(?:" + "|".join(patterns) + ")"
 
 
-def rule(particles: str, before: str, after: str, verdict: str | None) -> tuple[str, str]:
-    """A pattern and its replacement. ``before`` ends right before the particle, ``after`` begins right after it; verdict None
-    keeps the particle as it is."""
-    own = f"{START}[{particles}]{SLASH}[a-z]{{2}}-?"
-    behind = f"(?<={before}{own})" if before else ""
-    return f"{START}([{particles}]){SLASH}([a-z]{{2}}-?)(?!{DECIDED}){behind}{f'(?={after})' if after else ''}", f"{START}$1{SLASH}$2{DECIDED}{verdict or '$1'}"
+def rule(particles: str, before: str, after: str, verdict: str | None) -> tuple[str, str, str, str | None]:
+    """``before`` ends right before the particle, ``after`` begins right after it; verdict None keeps the particle."""
+    return particles, before, after, verdict
 
 
-def _rules() -> list[tuple[str, str]]:
+def _rules() -> list[tuple[str, str, str, str | None]]:
     end = "$"
     content = token(tags=[*NOMINAL, *VERB, *ADJECTIVE, *ADVERB])
     no_content = f"(?!{content})"
@@ -178,13 +176,34 @@ def _rules() -> list[tuple[str, str]]:
     return out
 
 
-RULES = _rules()
+@lru_cache(maxsize=1)
+def _compiled() -> list[tuple[str, re.Pattern | None, re.Pattern | None, str | None]]:
+    return [(own, re.compile(f"(?:{before})\\Z") if before else None, re.compile(after) if after else None, verdict) for own, before, after, verdict in _rules()]
+
+
+def decide(tokens: list[tuple[str, str, int]]) -> str:
+    """The text of a clause, ``word, tag, freq`` of its tokens, with its particles decided; clauses of fewer than three tokens
+    as they are."""
+    words = [w for w, _, _ in tokens]
+    if len(words) < 3 or {*PARTICLES}.isdisjoint(words):
+        return "".join(words)
+    parts = [encoded(*t) for t in tokens]
+    for i, word in enumerate(list(words)):
+        if word not in _OWN_TAGS:
+            continue
+        left, right = "".join(parts[:i]), "".join(parts[i + 1 :])
+        for own, before, after, verdict in _compiled():
+            if word in own and (after is None or after.match(right)) and (before is None or before.search(left)):
+                words[i] = verdict or word
+                break
+    return "".join(words)
+
+
+_PRE_FIXES = [(re.compile(pattern), to.replace("$", "\\")) for pattern, to in PRE_FIXES]
 
 
-def decide(clause: Column) -> Column:
-    """An encoded clause of three tokens or more with its particles decided, as text; shorter ones as they are."""
-    out = clause
-    for pattern, replacement in RULES:
-        out = F.regexp_replace(out, pattern, replacement)
-    long = clause.rlike(f"^(?:{START}[^{START}]*){{3}}") & clause.rlike(f"{START}[{PARTICLES}]{SLASH}")
-    return F.regexp_replace(F.when(long, out).otherwise(clause), f"{START}(?:[{PARTICLES}](?={SLASH}[a-z-]*{DECIDED}))?([^{START}{SLASH}]*){SLASH}[a-z]*-?(?:{DECIDED}(.))?", "$1$2")
+def pre_fix(text: str) -> str:
+    """What ``pre_fix_de`` does to a column, for one string."""
+    for pattern, to in _PRE_FIXES:
+        text = pattern.sub(to, text)
+    return text

@@ -152,10 +152,19 @@ DEGREES = "真|很|太|挺|好|更|最|特别|非常|十分|比较|相当|有点
 LOOKS = "高|矮|胖|瘦|壮|结实|漂亮|好看|帅|美|丑|难看|可爱|精神|年轻|老|成熟|白|黑|红润|清秀|魁梧|苗条|丰满|苍老|憔悴|斯文|秀气|洋气|土气|普通|特别|一样|很像|真像|一模一样"
 
 
+_KEPT_DE = EMOTIONS + [w[:-1] for w in DE_ENDINGS]
+#: Patterns and what they become (groups as $1, $2). Look-behinds go by length, as Python asks for.
+PRE_FIXES = [
+    ("".join(f"(?<!{'|'.join(w for w in _KEPT_DE if len(w) == n)})" for n in sorted({len(w) for w in _KEPT_DE})) + f"得(?=[，,、](?:{NEW_CLAUSE}))", "的"),
+    (f"({DIRECTIONS})得((?:对|是|可|行|不)?)(?=吗|呢|吧|啊|呀|嘛|，|。|？|！|$)", "$1的$2"),
+    (f"长的(?=(?:{DEGREES})?(?:{LOOKS}))", "长得"),
+]
+
+
 def pre_fix_de(c: Column | str) -> Column:
     """得 that is 的: before a comma and a connective (but after an emotion or in a word that ends in 得), and after a
     directional complement before a particle or an end; 长的 before a word of looks is 长得."""
-    kept = "|".join(EMOTIONS + [w[:-1] for w in DE_ENDINGS])
-    text = F.regexp_replace(_col(c), f"(?<!{kept})得(?=[，,、](?:{NEW_CLAUSE}))", "的")
-    text = F.regexp_replace(text, f"({DIRECTIONS})得((?:对|是|可|行|不)?)(?=吗|呢|吧|啊|呀|嘛|，|。|？|！|$)", "$1的$2")
-    return F.regexp_replace(text, f"长的(?=(?:{DEGREES})?(?:{LOOKS}))", "长得")
+    text = _col(c)
+    for pattern, to in PRE_FIXES:
+        text = F.regexp_replace(text, pattern, to)
+    return text

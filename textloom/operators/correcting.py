@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from textloom.functions import confusing, particles
 from textloom.functions import rewriting as R
 from textloom.functions.segmenting import Segmenter
 from textloom.functions.text import BA_OBJECTS, MARKS, chunk_text, is_mixed_language
@@ -58,49 +62,145 @@ def phrase_rules(pairs: Iterable[tuple[str, str]], guards: dict[str, tuple[tuple
 
 
 def _collapse(text: str) -> str:
-    import re
-
     def best(m: re.Match) -> str:
         marks = [c for c in m[0] if c in MARKS]
         return "？！" if "！" in marks and "？" in marks else min(marks, key=MARKS.index)
 
-    return re.sub(f"(?:\\s*[{MARKS}])+", best, text)
+    return re.sub(f"(?<![\\s{MARKS}])[\\s{MARKS}]*[{MARKS}]", best, text)
 
 
 def _ba(text: str) -> str:
-    import re
-
     return re.sub(f"(把(?:{BA_OBJECTS}))切入", r"\1接入", text)
 
 
-def default_stages(simplified: tuple[str, str] = ("", ""), typos: Iterable[R.Rule] = (), phrases: Iterable[R.Rule] = (), user: Iterable[R.Rule] = (), learned: Iterable[R.Rule] = (), variants: Iterable[R.Rule] = (), numerals: bool = True) -> list[R.Stage]:
-    """The built-in stages in order. Rule tables that are not given change nothing. Reasons and sources are fixed values."""
+#: Lexicons up to this size are broadcast (some 50 MB in a worker); they are dictionaries, not data that grows with the corpus.
+MOST_WORDS = 500_000
+
+
+def collect_lexicon(lexicon: DataFrame, most: int = MOST_WORDS) -> dict[str, tuple[int, str]]:
+    """``word, freq, tag`` as a dictionary; a lexicon beyond ``most`` words is refused."""
+    rows = lexicon.select("word", "freq", "tag").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} lexicon words")
+    return {r.word: (r.freq, r.tag) for r in rows}
+
+
+class Particles:
+    """的, 地 and 得: pre-fixes, fixed phrases, the rules by words and tags in each clause, fixed phrases again."""
+
+    def __init__(self, lexicon: dict[str, tuple[int, str]], phrases: Iterable[R.Rule] = ()) -> None:
+        self.words, self.phrases, self.cutter = lexicon, tuple(phrases), Segmenter(lexicon)
+
+    def by_tags(self, text: str) -> str:
+        def one(m: re.Match) -> str:
+            if {*R.PARTICLES}.isdisjoint(m[0]):
+                return m[0]
+            return particles.decide([(w, t, self.words[w][0] if w in self.words else 0) for w, t, *_ in self.cutter.cut(m[0])])
+
+        return re.sub("[^。！？；，、\n]+", one, text)
+
+    def __call__(self, text: str) -> str:
+        text = R.rewrite(particles.pre_fix(text), self.phrases)
+        return R.rewrite(self.by_tags(text), self.phrases) if self.words else text
+
+
+def default_stages(
+    simplified: tuple[str, str] = ("", ""), typos: Iterable[R.Rule] = (), phrases: Iterable[R.Rule] = (), user: Iterable[R.Rule] = (), learned: Iterable[R.Rule] = (), variants: dict[str, str] | None = None,
+    numerals: bool = True, lexicon: dict[str, tuple[int, str]] | None = None, terms: Iterable[tuple[str, float]] = (), confusions: bool = True, model: confusing.Model | None = None,
+) -> list[R.Stage]:
+    """The built-in stages in order. Tables that are not given change nothing: without a lexicon, particles are corrected by
+    pre-fixes and phrases alone, and confusions and variants not at all. Reasons and sources are fixed values."""
     to_simple = str.maketrans(*simplified)
     table = lambda rules: (lambda t, rules=tuple(rules): R.rewrite(t, rules))
+    words = lexicon or {}
     stages = [
         R.Stage("numerals", "中文数字 → 阿拉伯数字", "数字规范", 0.95, R.normalize_numerals),
         R.Stage("simplified", "繁体 → 简体", "繁简转换", 1.0, lambda t: t.translate(to_simple)),
-        R.Stage("particles", "的/地/得 语法修正", "语法", 0.9, table(phrases)),
+        R.Stage("particles", "的/地/得 语法修正", "语法", 0.9, Particles(words, phrases)),
+        R.Stage("terms", "术语还原", "术语", 0.95, R.Terms(terms)),
         R.Stage("typos", "错别字/异形词修正", "错别字", 0.95, table(typos)),
+        R.Stage("confusions", "同音字纠错", "同音字", 0.85, confusing.Confusions(words, model)),
         R.Stage("ba", "ASR 声母混淆修正（把X切入→接入）", "语境混淆", 0.95, _ba),
-        R.Stage("variants", "异形词规范（GF 1001-2001）", "异形词", 0.9, table(variants)),
+        R.Stage("variants", "异形词规范（GF 1001-2001）", "异形词", 0.9, confusing.Variants(variants or {}, words)),
         R.Stage("user", "用户自定义替换", "用户替换", 1.0, table(user)),
         R.Stage("learned", "自学习规则", "自学习", 0.9, table(learned)),
         R.Stage("punctuation", "标点归一 / 引号配对", "标点", 0.95, lambda t: R.close_quotes(_collapse(t))),
     ]
-    return stages if numerals else stages[1:]
+    wanted = {"numerals": numerals, "confusions": confusions and words, "variants": variants and words}
+    return [x for x in stages if wanted.get(x.name, True)]
+
+
+def with_polish(df: DataFrame, fn: Callable[[Column], Column], template: str, id_col: str = "doc_id", text_col: str = "corrected", **how) -> DataFrame:
+    """The optional last stage: ``text_col`` polished by a caller's function, marks collapsed and quotes closed again."""
+    done = polished(df, fn, template, id_col, text_col, **how)
+    return done.withColumn(text_col, text_udf(lambda t: R.close_quotes(_collapse(t)))(text_col))
+
+
+def correct_particles(df: DataFrame, lexicon: DataFrame, phrases: Iterable[R.Rule] = (), text_col: str = "text") -> DataFrame:
+    """``df`` with the particles of ``text_col`` corrected; null stays null."""
+    return df.withColumn(text_col, _shared_udf(df, Particles(collect_lexicon(lexicon), phrases))(text_col))
+
+
+def correct_confusions(df: DataFrame, lexicon: DataFrame, model: confusing.Model | None = None, text_col: str = "text") -> DataFrame:
+    """``df`` with the confusable characters of ``text_col`` corrected; null stays null."""
+    return df.withColumn(text_col, _shared_udf(df, confusing.Confusions(collect_lexicon(lexicon), model))(text_col))
+
+
+def standardize_variants(df: DataFrame, variants: DataFrame, lexicon: DataFrame, text_col: str = "text") -> DataFrame:
+    """``df`` with deprecated forms (``preferred, deprecated``) of ``text_col`` replaced where no guard holds; the longest
+    form first, equal lengths in order. Null stays null."""
+    rows = variants.select("deprecated", "preferred").limit(MOST_RULES + 1).collect()
+    if len(rows) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} variants")
+    forms = {r.deprecated: r.preferred for r in sorted(rows, key=lambda r: (-len(r.deprecated), r.deprecated))}
+    return df.withColumn(text_col, _shared_udf(df, confusing.Variants(forms, collect_lexicon(lexicon)))(text_col))
+
+
+def proper_noun_spans(df: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, start, end``: the stretches of names in each text; texts without any, and null texts, give no rows."""
+    shared = df.sparkSession.sparkContext.broadcast(collect_lexicon(lexicon))
+
+    @F.pandas_udf("array<struct<start: int, end: int>>")
+    def spans(texts: pd.Series) -> pd.Series:
+        def one(text: str | None) -> list[dict]:
+            at = sorted(confusing.proper_nouns(text or "", lambda w: shared.value.get(w, (0,))[0]))
+            cuts = [i for i, x in enumerate(at) if not i or x != at[i - 1] + 1]
+            return [{"start": at[i], "end": at[j - 1] + 1} for i, j in zip(cuts, [*cuts[1:], len(at)], strict=True)]
+
+        return texts.map(one)
+
+    return df.select(F.col(id_col).alias("doc_id"), F.explode(spans(text_col)).alias("s")).select("doc_id", "s.start", "s.end")
+
+
+def _shared_udf(df: DataFrame, fn: Callable[[str], str]) -> Callable[[Column | str], Column]:
+    """``text_udf`` of a function that is large: it is sent to each executor once."""
+    shared = _shared(df, fn)
+    return text_udf(lambda t: shared()(t))
+
+
+def _shared(df: DataFrame, value: Any) -> Callable[[], Any]:
+    """A large value, lambdas included, broadcast; a task unpacks it once."""
+    packed = df.sparkSession.sparkContext.broadcast(cloudpickle.dumps(value))
+    unpacked: list = []
+
+    def get() -> Any:
+        if not unpacked:
+            unpacked.append(cloudpickle.loads(packed.value))
+        return unpacked[0]
+
+    return get
 
 
 def proofread(df: DataFrame, stages: list[R.Stage], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, text, corrected, suggestions``. All stages run in one pass, so a row crosses to Python once and rows never
     shuffle. Null text gives null and no suggestions. Callers may add stages of their own to the list."""
-    own = tuple(stages)
+    shared = _shared(df, tuple(stages))
 
     @F.pandas_udf(f"corrected string, suggestions {SUGGESTION}")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         names = ("start", "end", "original", "replacement", "reason", "source", "confidence")
         for texts in batches:
-            done = [(None, []) if t is None else R.staged(t, own) for t in texts]
+            done = [(None, []) if t is None else R.staged(t, shared()) for t in texts]
             yield pd.DataFrame({"corrected": [c for c, _ in done], "suggestions": [[dict(zip(names, x, strict=True)) for x in found] for _, found in done]})
 
     out = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("r", run("text"))
@@ -163,13 +263,10 @@ def polished(df: DataFrame, fn: Callable[[Column], Column], template: str, id_co
 # --- tokens, parses, differences ----------------------------------------------------------------------------------------
 
 
-def tag_tokens(df: DataFrame, lexicon: DataFrame, overrides: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", most_words: int = 2_000_000) -> DataFrame:
+def tag_tokens(df: DataFrame, lexicon: DataFrame, overrides: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", most_words: int = MOST_WORDS) -> DataFrame:
     """``doc_id, idx, word, tag, start, end``: texts cut into lexicon words (``word, freq, tag``). The lexicon is broadcast
     and must not hold more than ``most_words``."""
-    rows = lexicon.select("word", "freq", "tag").limit(most_words + 1).collect()
-    if len(rows) > most_words:
-        raise ValueError(f"more than {most_words} lexicon words")
-    shared = df.sparkSession.sparkContext.broadcast(Segmenter({r.word: (r.freq, r.tag) for r in rows}, overrides))
+    shared = df.sparkSession.sparkContext.broadcast(Segmenter(collect_lexicon(lexicon, most_words), overrides))
 
     @F.pandas_udf("array<struct<word: string, tag: string, start: int, end: int>>")
     def cut(texts: pd.Series) -> pd.Series:
@@ -178,7 +275,7 @@ def tag_tokens(df: DataFrame, lexicon: DataFrame, overrides: dict[str, str] | No
     return df.select(F.col(id_col).alias("doc_id"), F.posexplode(cut(text_col)).alias("idx", "t")).select("doc_id", "idx", "t.*")
 
 
-def extract_diffs(pairs: DataFrame, lexicon: DataFrame | None = None, particles_only: bool = False, most_words: int = 2_000_000) -> DataFrame:
+def extract_diffs(pairs: DataFrame, lexicon: DataFrame | None = None, particles_only: bool = False, most_words: int = MOST_WORDS) -> DataFrame:
     """``event_id, seq, old, new, raw, manual, ts`` from ``event_id, raw, corrected, manual, ts``: the learnable changes, or
     those of 的, 地 and 得."""
     known = {r.word: r.freq for r in lexicon.filter(F.col("freq") >= R.RELIABLE).select("word", "freq").limit(most_words + 1).collect()} if lexicon is not None else {}
