@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from textloom.functions import rewriting as R
 from textloom.functions import text as T
+from textloom.functions.sample_script import SCRIPT as SCRIPT_CHARS
 from textloom.functions.sample_script import as_script, as_script_sql
 from textloom.operators import correcting, lexicon, mining, ngrams, parsing
 from textloom.sources import tables
+from textloom.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -130,7 +132,11 @@ _each("fix_ba_pattern", lambda c: T.fix_ba_pattern(F.replace(c, F.lit("把地"),
 _SKIP = f"([^{T.CJK}A-Za-z0-9 \\t]*)"
 _each("space_mixed", lambda c: T.space_mixed(F.translate(c, "一把它", "abc")), f"regexp_replace(regexp_replace(translate(text, '一把它', 'abc'), '([{T.CJK}]){_SKIP}([A-Za-z0-9])', '\\1\\2 \\3', 'g'), '([A-Za-z0-9]){_SKIP}([{T.CJK}])', '\\1\\2 \\3', 'g')")
 _each("add_punctuation", T.add_punctuation, _punctuation_sql())
-_each("particles_prefixed", lambda c: T.pre_fix_de(F.translate(c, "一二", "长来")), None)
+_KEPT_DE = "|".join(T._KEPT_DE)
+_PREFIXED = f"regexp_replace(translate(text, '一二', '长来'), '({_KEPT_DE})得([，,、](?:{T.NEW_CLAUSE}))', '\\1' || chr(57344) || '\\2', 'g')"
+_PREFIXED = f"replace(regexp_replace({_PREFIXED}, '得([，,、](?:{T.NEW_CLAUSE}))', '的\\1', 'g'), chr(57344), '得')"
+_PREFIXED = f"regexp_replace({_PREFIXED}, '({T.DIRECTIONS})得((?:对|是|可|行|不)?)(吗|呢|吧|啊|呀|嘛|，|。|？|！|$)', '\\1的\\2\\3', 'g')"
+_each("particles_prefixed", lambda c: T.pre_fix_de(F.translate(c, "一二", "长来")), f"regexp_replace({_PREFIXED}, '长的((?:{T.DEGREES})?(?:{T.LOOKS}))', '长得\\1', 'g')")
 _each("keep_charset", T.keep_charset, KEPT_SQL)
 _each("restore_spoken_digits", T.restore_spoken_digits, "regexp_replace(replace(replace(translate(lower(text), '零一二三四五六七八九两', '01234567892'), '十', '10'), '百', '100'), '[一-鿿 ]', '', 'g')")
 _each("strip_tone", lambda c: T.strip_tone(F.translate(c, "一的得", "āéǚ")), f"translate(translate(text, '一的得', 'āéǚ'), '{T.TONES[0]}', '{T.TONES[1]}')")
@@ -179,7 +185,7 @@ def _tokens(spark, sf_dir):
 
 def _lexicon(spark, sf_dir):
     """Tokens of one to three characters as a lexicon: their counts are the frequencies."""
-    return _tokens(spark, sf_dir).filter(F.length("word") <= 3).groupBy("word").agg(F.count("*").alias("freq")).withColumn("tag", F.lit("x"))
+    return tables.settled(_tokens(spark, sf_dir).filter(F.length("word") <= 3).groupBy("word").agg(F.count("*").alias("freq")).withColumn("tag", F.lit("x")))
 
 
 def _terms(spark, sf_dir):
@@ -221,11 +227,15 @@ def lexicon_new_words(spark, sf_dir):
     return lexicon.new_words(_tokens(spark, sf_dir).select("word").distinct(), known, terms)
 
 
-@query(f"""WITH {_LEXICON}, spans AS (SELECT doc_id, (strpos(text, '一') - 1)::BIGINT AS s, (strpos(text, '一') + doc_id % 5)::BIGINT AS e FROM script WHERE strpos(text, '一') > 0)
-SELECT DISTINCT s.doc_id, s.s AS start_at, s.e AS end_at FROM spans s JOIN script t ON s.doc_id = t.doc_id WHERE s.e - s.s BETWEEN 2 AND 4 AND substring(t.text, s.s + 1, s.e - s.s) NOT IN (SELECT word FROM lexicon WHERE freq >= 50)""")
+@query(f"""WITH {_LEXICON}, spans AS (SELECT doc_id, unnest(range(0, len(string_split(text, '一')) - 1)) AS k, string_split(text, '一') AS ps, text FROM script),
+placed AS (SELECT doc_id, text, list_sum(list_transform(ps[1:k+1], lambda p: length(p) + 1)) - 1 AS s, k FROM spans), cut AS (SELECT doc_id, text, s::BIGINT AS s, (s + 1 + (doc_id + k) % 5)::BIGINT AS e FROM placed)
+SELECT DISTINCT doc_id, s AS start_at, e AS end_at FROM cut WHERE e - s BETWEEN 2 AND 4 AND substring(text, s + 1, e - s) NOT IN (SELECT word FROM lexicon WHERE freq >= 50)""")
 def ner_spans(spark, sf_dir):
+    """Spans of two to five characters at every place of a certain character."""
     texts = script(spark, sf_dir)
-    spans = texts.select("doc_id", (F.instr("text", "一") - 1).alias("start"), (F.instr("text", "一") + F.col("doc_id") % 5).alias("end")).filter("start >= 0")
+    before = F.transform(F.split("text", "一", -1), lambda p: F.length(p) + 1)
+    ends = F.aggregate(before, F.array().cast("array<int>"), lambda done, n: F.array_append(done, F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0)) + n))
+    spans = texts.select("doc_id", F.posexplode(F.slice(ends, 1, F.size(ends) - 1)).alias("k", "e")).select("doc_id", (F.col("e") - 1).alias("start"), (F.col("e") + (F.col("doc_id") + F.col("k")) % 5).alias("end"))
     found = lexicon.filter_ner_spans(spans, texts, _lexicon(spark, sf_dir))
     return found.select("doc_id", F.col("start").cast("long").alias("start_at"), F.col("end").cast("long").alias("end_at"))
 
@@ -267,14 +277,14 @@ _RULES = f"{_DIFFS}, rules AS (SELECT old, new, count(DISTINCT md5(raw)[1:16]) A
 _PRON = "pron AS (SELECT DISTINCT ch, (unicode(ch) % 6)::VARCHAR AS syllable FROM (SELECT unnest(string_split(word, '')) AS ch FROM lexicon))"
 
 
-def _pronunciations(spark, sf_dir):
-    chars = _lexicon(spark, sf_dir).select(F.explode(F.split("word", "")).alias("ch")).filter("ch <> ''").distinct()
+def _pronunciations(known):
+    chars = known.select(F.explode(F.split("word", "")).alias("ch")).filter("ch <> ''").distinct()
     return chars.withColumn("syllable", (F.ascii("ch") % 6).cast("string"))
 
 
-def _shapes(spark, sf_dir):
+def _shapes(known):
     """Pairs of neighbouring characters of two-character words."""
-    return _lexicon(spark, sf_dir).filter(F.length("word") == 2).select(F.substring("word", 1, 1).alias("a"), F.substring("word", 2, 1).alias("b")).filter("a < b").distinct()
+    return known.filter(F.length("word") == 2).select(F.substring("word", 1, 1).alias("a"), F.substring("word", 2, 1).alias("b")).filter("a < b").distinct()
 
 
 _SHAPES = "shapes AS (SELECT DISTINCT substring(word, 1, 1) AS a, substring(word, 2, 1) AS b FROM lexicon WHERE length(word) = 2 AND substring(word, 1, 1) < substring(word, 2, 1))"
@@ -285,12 +295,73 @@ def rules_promoted(spark, sf_dir):
     return mining.promote_rules(_diffs(spark, sf_dir)).drop("raws")
 
 
-@query(f"WITH {_RULES} SELECT old, new, promoted, first_seen FROM rules")
+@query(f"""WITH {_DIFFS}, h AS (SELECT old, new, md5(raw)[1:16] AS h, event_id % 2 AS part, manual, ts FROM diffs),
+f AS (SELECT old, new, count(DISTINCT h) AS n, bool_or(manual) OR count(DISTINCT h) >= 2 AS promoted FROM h WHERE part = 0 GROUP BY 1, 2),
+a AS (SELECT old, new, count(DISTINCT h) AS n, bool_or(manual) AS manual, min(ts) AS first_seen FROM h GROUP BY 1, 2)
+SELECT a.old, a.new, CASE WHEN f.promoted THEN f.n ELSE a.n END AS n_sentences, coalesce(f.promoted, false) OR a.manual OR a.n >= 2 AS promoted, first_seen FROM a LEFT JOIN f ON a.old = f.old AND a.new = f.new""")
 def rules_merged(spark, sf_dir):
-    """The same corrections in two batches, the second merged into the store of the first."""
+    """The corrections in two batches, the second merged into the store of the first."""
     diffs = _diffs(spark, sf_dir)
-    store = mining.promote_rules(diffs.filter("event_id % 2 = 0"))
-    return mining.promote_rules(diffs.filter("event_id % 2 = 1"), store).select("old", "new", "promoted", "first_seen")
+    store = tables.settled(mining.promote_rules(diffs.filter("event_id % 2 = 0")))
+    return mining.promote_rules(diffs.filter("event_id % 2 = 1"), store).drop("raws")
+
+
+@query(f"WITH {_RULES} SELECT old, new, n_sentences, promoted, first_seen FROM rules")
+def rule_store(spark, sf_dir):
+    """Rules written to a store, which is cleared and written again, and read back."""
+    path = tables.scratch(spark)
+    rules = mining.promote_rules(_diffs(spark, sf_dir))
+    tables.write_rules(rules, path)
+    tables.clear_rules(spark, path)
+    tables.write_rules(rules, path)
+    return tables.read_rules(spark, path).drop("raws")
+
+
+def _as_stream(df, path):
+    """The rows of ``df`` as a stream of files under ``path``."""
+    df.write.parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).parquet(path)
+
+
+def _of_stream(stream, path):
+    """What a stream has written to ``path`` when all its input is done."""
+    stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
+
+
+@query(f"WITH {_RULES} SELECT old, new, n_sentences, promoted, first_seen FROM rules")
+def stream_rules(spark, sf_dir):
+    """The corrections as a stream of one batch, merged into a rule store."""
+    path = tables.scratch(spark)
+    jobs.stream_promote_rules(_as_stream(_diffs(spark, sf_dir), f"{path}/in"), f"{path}/store", f"{path}/state").awaitTermination()
+    return tables.read_rules(spark, f"{path}/store").drop("raws")
+
+
+@query(f"""WITH {_TOKENS} SELECT time_bucket(INTERVAL 10 MINUTE, make_timestamp(doc_id * 1000000)) AS start_at, word AS source, count(*) AS n FROM tokens WHERE length(word) = 1 GROUP BY 1, 2""")
+def stream_counts(spark, sf_dir):
+    """Single-character words counted by windows of ten minutes, a document a second; one batch more closes all windows."""
+    path = tables.scratch(spark)
+    rows = _tokens(spark, sf_dir).filter(F.length("word") == 1).select(F.timestamp_seconds("doc_id").alias("ts"), F.col("word").alias("source"))
+    last = rows.agg((F.max("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"), F.lit("end").alias("source"))
+    stream = _as_stream(rows, f"{path}/in")
+    counted = jobs.stream_suggestion_counts(stream)
+    run = lambda: _of_stream(counted, path)
+    run()
+    last.write.mode("append").parquet(f"{path}/in")
+    return run().filter("source <> 'end'").select(F.col("start").alias("start_at"), "source", "n")
+
+
+@query(f"WITH {SEGMENTS}, uc AS (SELECT unnest(a) AS c FROM chars), uni AS (SELECT c, count(*) AS n FROM uc GROUP BY c HAVING count(*) >= 2) SELECT c, n FROM uni")
+def ngram_store(spark, sf_dir):
+    """A model written and read back: its single characters."""
+    path, segs = tables.scratch(spark), ngrams.segments(script(spark, sf_dir))
+    tables.write_ngrams(ngrams.train_ngrams(segs, 1), ngrams.train_ngrams(segs, 2), path)
+    return tables.read_ngrams(spark, path)[0]
+
+
+@query("SELECT doc_id, length(text) AS n_chars FROM documents")
+def transcripts_read(spark, sf_dir):
+    return tables.read_transcripts(spark, f"{sf_dir}/documents.parquet").select("doc_id", F.length("text").cast("long").alias("n_chars"))
 
 
 def _expanded_sql(similar: str, unread: str = "") -> str:
@@ -309,14 +380,14 @@ _SHAPE = _expanded_sql("SELECT a AS ch, b AS cand FROM shapes UNION SELECT b, a
 
 @query(f"WITH {_RULES}, {_PRON}, {_HOMO} SELECT * FROM expanded")
 def rules_homophones(spark, sf_dir):
-    rules = mining.promote_rules(_diffs(spark, sf_dir))
-    return mining.expand_homophones(rules, _pronunciations(spark, sf_dir), _lexicon(spark, sf_dir)).withColumn("seq", F.col("seq").cast("long"))
+    rules, known = mining.promote_rules(_diffs(spark, sf_dir)), _lexicon(spark, sf_dir)
+    return mining.expand_homophones(rules, _pronunciations(known), known).withColumn("seq", F.col("seq").cast("long"))
 
 
 @query(f"WITH {_RULES}, {_SHAPES}, {_SHAPE} SELECT * FROM expanded")
 def rules_shapes(spark, sf_dir):
-    rules = mining.promote_rules(_diffs(spark, sf_dir))
-    return mining.expand_shapes(rules, _shapes(spark, sf_dir), _lexicon(spark, sf_dir)).withColumn("seq", F.col("seq").cast("long"))
+    rules, known = mining.promote_rules(_diffs(spark, sf_dir)), _lexicon(spark, sf_dir)
+    return mining.expand_shapes(rules, _shapes(known), known).withColumn("seq", F.col("seq").cast("long"))
 
 
 _VARIANTS = "variants AS (SELECT old, new, base_old, base_new FROM (SELECT *, row_number() OVER (PARTITION BY old, new ORDER BY seq, base_old, base_new) AS k FROM expanded) WHERE k = 1)"
@@ -324,20 +395,20 @@ _VARIANTS = "variants AS (SELECT old, new, base_old, base_new FROM (SELECT *, ro
 
 @query(f"WITH {_RULES}, {_PRON}, {_HOMO}, {_VARIANTS} SELECT * FROM variants")
 def rules_variants(spark, sf_dir):
-    rules = mining.promote_rules(_diffs(spark, sf_dir))
-    return mining.register_variants(mining.expand_homophones(rules, _pronunciations(spark, sf_dir), _lexicon(spark, sf_dir)))
+    rules, known = mining.promote_rules(_diffs(spark, sf_dir)), _lexicon(spark, sf_dir)
+    return mining.register_variants(mining.expand_homophones(rules, _pronunciations(known), known))
 
 
 @query(f"WITH {_RULES}, {_PRON}, {_HOMO}, {_VARIANTS} SELECT old, new, 'exact' AS kind FROM rules WHERE promoted UNION ALL SELECT v.old, v.new, 'variant' FROM variants v JOIN rules r ON v.base_old = r.old AND v.base_new = r.new WHERE r.promoted")
 def rules_active(spark, sf_dir):
-    rules = mining.promote_rules(_diffs(spark, sf_dir))
-    variants = mining.register_variants(mining.expand_homophones(rules, _pronunciations(spark, sf_dir), _lexicon(spark, sf_dir)))
+    rules, known = tables.settled(mining.promote_rules(_diffs(spark, sf_dir))), _lexicon(spark, sf_dir)
+    variants = mining.register_variants(mining.expand_homophones(rules, _pronunciations(known), known))
     return mining.active_rules(rules, variants)
 
 
 @query(f"WITH {_LEXICON}, {_PRON} SELECT syllable, array_to_string(list_sort(list(DISTINCT ch)), '') AS chars FROM pron GROUP BY syllable")
 def homophones(spark, sf_dir):
-    return mining.homophone_groups(_pronunciations(spark, sf_dir)).select("syllable", F.array_join("chars", "").alias("chars"))
+    return mining.homophone_groups(_pronunciations(_lexicon(spark, sf_dir))).select("syllable", F.array_join("chars", "").alias("chars"))
 
 
 @query(f"""WITH {_DIFFS}, fit AS (SELECT event_id, new AS word, min(seq) AS seq FROM diffs WHERE length(new) >= 2 AND NOT regexp_matches(new, '[的地得]') AND new NOT IN (SELECT word FROM lexicon WHERE freq >= 50) AND new NOT IN (SELECT reverse(word) FROM lexicon WHERE freq >= 20) GROUP BY 1, 2),
@@ -347,12 +418,28 @@ def words_harvested(spark, sf_dir):
     return mining.harvest_new_words(_diffs(spark, sf_dir), known, known.filter("freq >= 20").select(F.reverse("word").alias("word")))
 
 
-@query(f"""WITH {_DIFFS}, pairs AS (SELECT doc_id AS event_id, substring(text, 1, 10 + doc_id % 80) AS raw, replace(substring(text, 1, 10 + doc_id % 80), '的', '地') AS corrected FROM script)
-SELECT event_id, raw AS old, corrected AS new FROM pairs WHERE raw <> corrected AND length(raw) <= 50 AND length(corrected) <= 50 AND event_id NOT IN (SELECT event_id FROM diffs WHERE length(old) = 3)""")
+def _clauses(spark, sf_dir):
+    """``doc_id, pos, text``: the documents' clauses."""
+    return script(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "[。，]")).alias("pos", "text")).filter("text <> ''")
+
+
+_CLAUSES = f"{SCRIPT}, cl AS (SELECT doc_id, string_split_regex(text, '[。，]') AS ps FROM script), clauses AS (SELECT * FROM (SELECT doc_id, unnest(range(0, len(ps))) AS pos, unnest(ps) AS text FROM cl) WHERE text <> '')"
+
+
+def _pairs(spark, sf_dir, *changes):
+    """Clauses and what replacements make of them, as correction pairs; an event is a document and a clause's place."""
+    changed = F.col("text")
+    for a, b in changes:
+        changed = F.replace(changed, F.lit(a), F.lit(b))
+    return _clauses(spark, sf_dir).select(F.concat_ws(":", "doc_id", "pos").alias("event_id"), F.col("text").alias("raw"), changed.alias("corrected"), (F.col("doc_id") % 97 == 0).alias("manual"), F.col("doc_id").alias("ts"))
+
+
+@query(f"""WITH {_CLAUSES}, pairs AS (SELECT doc_id || ':' || pos AS event_id, text AS raw, replace(text, '的', '地') AS corrected FROM clauses)
+SELECT event_id, raw AS old, corrected AS new FROM pairs WHERE raw <> corrected AND length(raw) <= 50 AND length(corrected) <= 50 AND NOT contains(raw, '在')""")
 def rules_whole_pairs(spark, sf_dir):
-    head = F.substring("text", F.lit(1), (10 + F.col("doc_id") % 80).cast("int"))
-    pairs = script(spark, sf_dir).select(F.col("doc_id").alias("event_id"), head.alias("raw"), F.replace(head, F.lit("的"), F.lit("地")).alias("corrected"), F.lit(False).alias("manual"), F.col("doc_id").alias("ts"))
-    return mining.whole_pairs(pairs, _diffs(spark, sf_dir).filter(F.length("old") == 3)).select("event_id", "old", "new")
+    """Every clause of the whole texts; those with a certain character count as pairs with a learnable change."""
+    pairs = _pairs(spark, sf_dir, ("的", "地"))
+    return mining.whole_pairs(pairs, pairs.filter(F.contains("raw", F.lit("在")))).select("event_id", "old", "new")
 
 
 # --- scoring -----------------------------------------------------------------------------------------------------------
@@ -395,11 +482,49 @@ def next_char_scores(spark, sf_dir):
     return ngrams.score_next(asked, uni, bi, tri).select("z", "a", "b", F.round("log_p", 6).alias("log_p"))
 
 
-@query()
-def candidate_scores(spark, sf_dir):
+def _asked_sql(order: int) -> str:
+    """Candidate places with the log probabilities of what stands there and of the candidate."""
+    p = {"p": ("prev2", "prev", "{x}"), "n": ("prev", "{x}", "next")} | ({"m": ("{x}", "next", "next2")} if order == 3 else {})
+    parts, joins = [], []
+    for k, (z, a, b) in p.items():
+        for s, x in (("o", "orig"), ("c", "cand")):
+            z1, a1, b1 = (v.replace("{x}", x) for v in (z, a, b))
+            t = f"{k}{s}"
+            joins.append(f"LEFT JOIN uni ub_{t} ON ub_{t}.c = {b1} LEFT JOIN uni ua_{t} ON ua_{t}.c = {a1} LEFT JOIN k2 ab_{t} ON ab_{t}.g = {a1} || {b1} AND {a1} <> '' AND {b1} <> ''")
+            two = _P2.replace("ub.", f"ub_{t}.").replace("ua.", f"ua_{t}.").replace("ab.n", f"ab_{t}.n")
+            value = two
+            if order == 3:
+                joins.append(f"LEFT JOIN k2 za_{t} ON za_{t}.g = {z1} || {a1} AND {z1} <> '' AND {a1} <> '' LEFT JOIN k3 zab_{t} ON zab_{t}.g = {z1} || {a1} || {b1} AND {z1} <> '' AND {a1} <> '' AND {b1} <> ''")
+                value = f"CASE WHEN za_{t}.n > 0 AND zab_{t}.n > 0 AND ub_{t}.n IS NOT NULL THEN 0.80 * zab_{t}.n / za_{t}.n + 0.15 * ({two}) + 0.04 * (ub_{t}.n + 1) / (nn + vv) + 0.01 / vv ELSE {two} END"
+            parts.append(f"ln({value}) AS lp_{t}, coalesce(ab_{t}.n, 0) AS seen_{t}")
+    return f"SELECT w.*, {', '.join(parts)} FROM w CROSS JOIN tot {' '.join(joins)}"
+
+
+def _scores_sql(order: int) -> str:
+    near = lambda name, i: f"unnest(list_transform(range(0, len(a)), lambda i: CASE WHEN i + {i} >= 0 THEN coalesce(a[i + {i} + 1], '') ELSE '' END)) AS {name}"
+    delta = "lp_pc - lp_po + CASE WHEN next <> '' THEN lp_nc - lp_no ELSE 0 END" + (" + CASE WHEN next2 <> '' THEN lp_mc - lp_mo ELSE 0 END" if order == 3 else "")
+    return f"""WITH {_MODEL}, {_CONFUSIONS}, arrays AS (SELECT doc_id, string_split(text, '') AS a FROM script),
+places AS (SELECT doc_id, unnest(range(0, len(a))) AS pos, unnest(a) AS orig, {near('prev', -1)}, {near('next', 1)}, {near('prev2', -2)}, {near('next2', 2)} FROM arrays),
+w0 AS (SELECT doc_id, pos, orig, cand, prev, next, prev2, next2 FROM places JOIN confusions ON orig = ch), w AS (SELECT DISTINCT orig, cand, prev, next, prev2, next2 FROM w0), asked AS ({_asked_sql(order)}),
+told AS (SELECT orig, cand, prev, next, prev2, next2, CASE WHEN prev <> '' THEN abs(seen_pc - seen_po) ELSE 0 END + CASE WHEN next <> '' THEN abs(seen_nc - seen_no) ELSE 0 END AS evidence, {delta} AS delta FROM asked)
+SELECT doc_id, pos, w0.orig, w0.cand, evidence::BIGINT AS evidence, round(CASE WHEN evidence >= 3 THEN delta END, 6) AS delta FROM w0 JOIN told USING (orig, cand, prev, next, prev2, next2)"""
+
+
+def _scored(spark, sf_dir, trigrams):
     segs = ngrams.segments(script(spark, sf_dir))
-    found = ngrams.confusion_candidates(script(spark, sf_dir), _confusions(spark), _lexicon(spark, sf_dir))
-    return ngrams.score_candidates(found, ngrams.train_ngrams(segs, 1), ngrams.train_ngrams(segs, 2))
+    model = [tables.settled(ngrams.train_ngrams(segs, n)) for n in (1, 2, *[3] * trigrams)]
+    found = ngrams.score_candidates(script(spark, sf_dir), _confusions(spark), *model)
+    return found.withColumns({"pos": F.col("pos").cast("long"), "delta": F.round("delta", 6)})
+
+
+@query(_scores_sql(2))
+def candidate_scores(spark, sf_dir):
+    return _scored(spark, sf_dir, False)
+
+
+@query(_scores_sql(3))
+def candidate_scores_triples(spark, sf_dir):
+    return _scored(spark, sf_dir, True)
 
 
 # --- correction --------------------------------------------------------------------------------------------------------
@@ -441,14 +566,21 @@ def quotes_closed(spark, sf_dir):
     return quoted.select("doc_id", correcting.text_udf(R.close_quotes)("text").alias("text"))
 
 
-def _clauses(spark, sf_dir):
-    """``doc_id, text``: the documents' clauses, each numbered in its document."""
-    parts = script(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "[。，]")).alias("pos", "text"))
-    return parts.filter("text <> ''").select((F.col("doc_id") * 1_000_000 + F.col("pos")).alias("doc_id"), "text")
+def _stages(spark, sf_dir):
+    known = correcting.collect_lexicon(_tagged_lexicon(spark, sf_dir))
+    terms = [(r.word, r.score) for r in _terms(spark, sf_dir).orderBy("ord").collect()]  # words of part names, some hundred
+    return correcting.default_stages(**_STAGES, lexicon=known, terms=terms, variants={"再了": "在了", "十的": "什的"})
+
+
+def _tagged_lexicon(spark, sf_dir):
+    """The lexicon with tags by a hash of the word, so that the rules by tags have work; words of two characters seen 20 times
+    and single characters. It holds the common words of the corpus, of which there are few, however large it is."""
+    tags = F.element_at(F.array(*map(F.lit, ("n", "v", "a", "d", "r"))), (F.crc32("word") % 5 + 1).cast("int"))
+    return _lexicon(spark, sf_dir).filter((F.length("word") == 1) | (F.col("freq") >= 20)).withColumn("tag", tags)
 
 
 def _proofread(spark, sf_dir):
-    return correcting.proofread(_clauses(spark, sf_dir), correcting.default_stages(**_STAGES))
+    return correcting.proofread(script(spark, sf_dir), _stages(spark, sf_dir))
 
 
 @query()
@@ -462,39 +594,101 @@ def proofread_suggestions(spark, sf_dir):
 
 
 @query()
-def suggestion_report(spark, sf_dir):
-    return correcting.suggestion_report(correcting.suggestions_of(_proofread(spark, sf_dir)))
+def corrections_written(spark, sf_dir):
+    """Corrected texts and suggestions written as tables; the suggestions read back by source."""
+    path = tables.scratch(spark)
+    tables.write_corrections(_proofread(spark, sf_dir), path)
+    return spark.read.parquet(f"{path}/suggestions").groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"))
 
 
 @query()
+def stream_texts(spark, sf_dir):
+    """The documents as a stream of utterances, corrected as they come."""
+    path = tables.scratch(spark)
+    stream = jobs.stream_proofread(_as_stream(script(spark, sf_dir), f"{path}/in"), _stages(spark, sf_dir), "doc_id")
+    return _of_stream(stream.select("doc_id", "corrected"), path)
+
+
+#: Stages that DuckDB can follow: ordered replacements alone. Inside a clause the places of each stage's matches do not touch.
+_PLAIN = [("typos", "错别字/异形词修正", "错别字", 0.95, [("了在", "了再")]), ("user", "用户自定义替换", "用户替换", 1.0, [("把地", "把它切入")])]
+
+
+def _plain_suggestions(spark, sf_dir):
+    stages = [x for x in correcting.default_stages(typos=[R.Rule(*p) for p in _PLAIN[0][4]], user=[R.Rule(*p) for p in _PLAIN[1][4]]) if x.name in ("typos", "user")]
+    return correcting.suggestions_of(correcting.proofread(script(spark, sf_dir), stages))
+
+
+_SUGGESTED = f"""{SCRIPT}, counted AS (SELECT doc_id, (length(text) - length(replace(text, '了在', ''))) // 2 AS a, (length(text) - length(replace(text, '把地', ''))) // 2 AS b FROM script),
+found AS (SELECT '错别字' AS source, '错别字/异形词修正' AS reason, '在' AS original, '再' AS replacement, sum(a)::BIGINT AS n, count(*) FILTER (WHERE a > 0) AS n_docs, 0.95::DOUBLE AS confidence FROM counted
+UNION ALL SELECT '用户替换', '用户自定义替换', '地', '它切入', sum(b)::BIGINT, count(*) FILTER (WHERE b > 0), 1.0 FROM counted), docs AS (SELECT count(*) FILTER (WHERE a + b > 0) AS n_docs FROM counted)"""
+
+
+@query(f"""WITH {_SUGGESTED} SELECT source, reason, n, n_docs, confidence FROM found WHERE n > 0 UNION ALL SELECT source, NULL, n, n_docs, confidence FROM found WHERE n > 0
+UNION ALL SELECT NULL, NULL, sum(n)::BIGINT, (SELECT n_docs FROM docs), round(sum(n * confidence) / sum(n), 6) FROM found""")
+def suggestion_report(spark, sf_dir):
+    return correcting.suggestion_report(_plain_suggestions(spark, sf_dir)).withColumn("confidence", F.round("confidence", 6))
+
+
+@query(f"WITH {_SUGGESTED} SELECT source, original, replacement, n, 1 AS place FROM found WHERE n > 0")
 def suggestion_top(spark, sf_dir):
-    return correcting.top_replacements(correcting.suggestions_of(_proofread(spark, sf_dir)))
+    return correcting.top_replacements(_plain_suggestions(spark, sf_dir))
 
 
-def _pairs(spark, sf_dir):
-    """Clauses and what a rule makes of them, as correction pairs."""
-    changed = F.replace(F.replace(F.replace("text", F.lit("在了"), F.lit("再了")), F.lit("一十"), F.lit("以十")), F.lit("吧"), F.lit(""))
-    return _clauses(spark, sf_dir).select(F.col("doc_id").alias("event_id"), F.col("text").alias("raw"), changed.alias("corrected"), F.lit(False).alias("manual"), F.col("doc_id").alias("ts"))
+@query()
+def confusions_corrected(spark, sf_dir):
+    return correcting.correct_confusions(script(spark, sf_dir), _tagged_lexicon(spark, sf_dir)).select("doc_id", "text")
 
 
 @query()
-def diffs_learnable(spark, sf_dir):
-    return correcting.extract_diffs(_pairs(spark, sf_dir), _lexicon(spark, sf_dir)).select("event_id", "seq", "old", "new")
+def particles_by_tags(spark, sf_dir):
+    return correcting.correct_particles(script(spark, sf_dir), _tagged_lexicon(spark, sf_dir)).select("doc_id", "text")
 
 
 @query()
-def diffs_particles(spark, sf_dir):
-    pairs = _pairs(spark, sf_dir).withColumn("corrected", F.replace("raw", F.lit("地得"), F.lit("的得")))
-    return correcting.extract_diffs(pairs, particles_only=True).select("event_id", "seq", "old", "new")
+def variants_standardized(spark, sf_dir):
+    forms = spark.createDataFrame([("在了", "再了"), ("什的", "十的"), ("一它", "把它")], "preferred string, deprecated string")
+    return correcting.standardize_variants(script(spark, sf_dir), forms, _tagged_lexicon(spark, sf_dir)).select("doc_id", "text")
 
 
-_CLAUSES = f"{SCRIPT}, cl AS (SELECT doc_id, string_split_regex(text, '[。，]') AS ps FROM script), clauses AS (SELECT doc_id * 1000000 + unnest(range(0, len(ps))) AS doc_id, unnest(ps) AS text FROM cl)"
+@query()
+def names_found(spark, sf_dir):
+    """Names in the documents; a few characters are mapped to surnames and titles."""
+    texts = script(spark, sf_dir).withColumn("text", F.replace(F.translate("text", "把什", "王李"), F.lit("的在"), F.lit("老师")))
+    return correcting.proper_noun_spans(texts, _tagged_lexicon(spark, sf_dir))
+
+
+#: Replacements of a clause's pairs: each is one changed stretch, so what is learnable of it is known.
+_CHANGED = [("在了", "再了"), ("一十", "以十"), ("吧", "")]
+
+
+@query()
+def diffs_learnable(spark, sf_dir):
+    return correcting.extract_diffs(_pairs(spark, sf_dir, *_CHANGED), _lexicon(spark, sf_dir)).select("event_id", "seq", "old", "new")
+
+
+@query(f"""WITH {_CLAUSES}, hits AS (SELECT doc_id || ':' || pos AS event_id, (length(text) - length(replace(text, '地得', ''))) // 2 AS n FROM clauses)
+SELECT event_id, unnest(range(0, n)) AS seq, '地' AS old, '的' AS new FROM hits WHERE n > 0""")
+def diffs_particles(spark, sf_dir):
+    found = correcting.extract_diffs(_pairs(spark, sf_dir, ("地得", "的得")), particles_only=True)
+    return found.select("event_id", F.col("seq").cast("long").alias("seq"), "old", "new")
 
 
-@query(f"""WITH {_CLAUSES} SELECT doc_id AS event_id FROM clauses WHERE text <> '' AND contains(text, '地得')""")
+@query(f"""WITH {_CLAUSES} SELECT doc_id || ':' || pos AS event_id FROM clauses WHERE contains(text, '地得') AND pos % 2 = 0""")
 def pair_conflicts(spark, sf_dir):
-    pairs = _pairs(spark, sf_dir).withColumn("corrected", F.replace("raw", F.lit("地得"), F.lit("的得"))).withColumn("verdict", F.col("raw"))
-    return correcting.conflicting_pairs(pairs)
+    """Pairs whose change the rules' verdict shares in every other clause; the correction also drops a word."""
+    pairs = _pairs(spark, sf_dir, ("地得", "的得"), ("吧", ""))
+    even = F.substring_index("event_id", ":", -1).cast("int") % 2 == 0
+    verdict = F.when(even, F.col("raw")).otherwise(F.replace("raw", F.lit("地得"), F.lit("的得")))
+    return correcting.conflicting_pairs(pairs.withColumn("verdict", verdict))
+
+
+@query()
+def corrections_learned(spark, sf_dir):
+    """Rules and variants that apply after the clauses' corrections were learned."""
+    known = _lexicon(spark, sf_dir)
+    pairs = _pairs(spark, sf_dir, *_CHANGED).withColumn("verdict", F.col("raw"))
+    learned = mining.learn_corrections(pairs, known, _pronunciations(known), _shapes(known), known.filter("freq >= 20").select(F.reverse("word").alias("word")), settle=tables.settled)
+    return learned["active"]
 
 
 @query(f"WITH {SCRIPT} SELECT doc_id, replace(text, '的一', '得一') AS text FROM script")
@@ -505,26 +699,25 @@ def verdicts_merged(spark, sf_dir):
 
 @query()
 def tokens_tagged(spark, sf_dir):
-    cut = correcting.tag_tokens(_clauses(spark, sf_dir), _lexicon(spark, sf_dir))
+    cut = correcting.tag_tokens(script(spark, sf_dir), _tagged_lexicon(spark, sf_dir))
     return cut.groupBy("word", "tag").agg(F.count("*").alias("n"))
 
 
-_PARSES = f"{_TOKENS}, parses AS (SELECT doc_id, seq AS idx, word, (seq + 2 - (seq % 3) * 2)::BIGINT AS head, CASE seq % 3 WHEN 1 THEN 'VOB' WHEN 2 THEN 'dobj' ELSE 'att' END AS deprel FROM tokens WHERE length(word) <= 4)"
+_PARSES = f"{_TOKENS}, parses AS (SELECT doc_id, seq AS idx, word, (seq + 2 - (seq % 3) * 2)::BIGINT AS head, CASE seq % 3 WHEN 1 THEN 'VOB' WHEN 2 THEN 'dobj' ELSE 'att' END AS deprel FROM tokens)"
 
 
 @query(f"WITH {_PARSES} SELECT p.word AS verb, o.word AS object, count(*) AS n FROM parses o JOIN parses p ON o.doc_id = p.doc_id AND p.idx = o.head - 1 WHERE o.deprel IN ('VOB', 'dobj') GROUP BY 1, 2")
 def verb_objects(spark, sf_dir):
     third = F.col("seq") % 3
-    parses = _tokens(spark, sf_dir).filter(F.length("word") <= 4).select("doc_id", F.col("seq").alias("idx"), "word", (F.col("seq") + 2 - third * 2).alias("head"), F.when(third == 1, "VOB").when(third == 2, "dobj").otherwise("att").alias("deprel"))
+    parses = _tokens(spark, sf_dir).select("doc_id", F.col("seq").alias("idx"), "word", (F.col("seq") + 2 - third * 2).alias("head"), F.when(third == 1, "VOB").when(third == 2, "dobj").otherwise("att").alias("deprel"))
     return correcting.collocations(parses)
 
 
 @query()
 def polish_round_trip(spark, sf_dir):
     """Prompts for every chunk, answered by an upper-casing stand-in that fails on some."""
-    prompts = correcting.polish_prompts(script(spark, sf_dir), "请润色：{text}", ["数据"], [("在", "再")])
     answer = lambda prompt: F.when(F.length(prompt) % 3 == 0, F.lit("")).otherwise(F.upper(F.substring_index(prompt, "请润色：", -1)))
-    return correcting.apply_polish(prompts, answer)
+    return correcting.polished(script(spark, sf_dir), answer, "请润色：{text}", terms=["数据"], replacements=[("在", "再")])
 
 
 @query(f"""WITH {SCRIPT} SELECT CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END AS variant, count(*) FILTER (WHERE contains(text, '的的')) AS wrong, count(*) FILTER (WHERE contains(text, '的的') AND NOT contains(replace(text, '的的', '的'), '的的')) AS hits,
@@ -552,11 +745,11 @@ def terms_parsed(spark, sf_dir):
     return tables.parse_terms(table(spark, sf_dir, "part").select(line.alias("value")))
 
 
-@query(f"""WITH {_TOKENS}, forms AS (SELECT doc_id * 1000000 + seq AS o, substring(word, 1, 2) AS preferred, word AS deprecated FROM tokens WHERE length(word) BETWEEN 3 AND 4),
+@query(f"""WITH {_TOKENS}, forms AS (SELECT doc_id * 100000000 + seq AS o, substring(word, 1, 2) AS preferred, word AS deprecated FROM tokens WHERE length(word) >= 3),
 r AS (SELECT preferred, deprecated, row_number() OVER (PARTITION BY deprecated ORDER BY o DESC) AS k FROM forms) SELECT preferred, deprecated FROM r WHERE k = 1""")
 def variants_parsed(spark, sf_dir):
-    words = _tokens(spark, sf_dir).filter(F.length("word").between(3, 4))
-    lines = words.select((F.col("doc_id") * 1_000_000 + F.col("seq")).alias("ord"), F.concat(F.substring("word", 1, 2), F.lit(" "), "word", F.lit("、"), F.substring("word", 1, 2), F.lit("、标识 1 yin")).alias("value"))
+    words = _tokens(spark, sf_dir).filter(F.length("word") >= 3)
+    lines = words.select((F.col("doc_id") * 100_000_000 + F.col("seq")).alias("ord"), F.concat(F.substring("word", 1, 2), F.lit(" "), "word", F.lit("、"), F.substring("word", 1, 2), F.lit("、标识 1 yin")).alias("value"))
     return tables.parse_variants(lines)
 
 
@@ -566,11 +759,50 @@ def xml_corrections(spark, sf_dir):
     return tables.extract_corrections(raw)
 
 
-@query(f"""WITH {_TOKENS}, p AS (SELECT doc_id, seq, word, substring(word, 1, 1) AS ch FROM tokens) SELECT doc_id, seq::BIGINT AS idx, ch AS word,
-CASE WHEN seq % 4 = 0 THEN '地' WHEN seq % 4 = 3 THEN ch ELSE '的' END AS verdict FROM p WHERE ch IN ('的', '地', '得')""")
+_PIECES = f"[的地得]|[{''.join(c for c in dict.fromkeys(SCRIPT_CHARS) if c not in '的地得' and T.CJK[0] <= c <= T.CJK[-1])}]+"
+_ROLE = "CASE (length(word) + n) % 12 WHEN 0 THEN 'object_verb' WHEN 1 THEN 'object_preposition' WHEN 2 THEN 'stop' WHEN 3 THEN 'stop' WHEN 4 THEN 'gerund' WHEN 5 THEN 'gerund' WHEN 6 THEN 'compound_head' WHEN 7 THEN 'nominal_modifier' WHEN 8 THEN 'predicate' WHEN 9 THEN 'directional' WHEN 10 THEN 'embedded' ELSE 'none' END"
+_PARTS = f"""{SCRIPT}, arr AS (SELECT doc_id, regexp_extract_all(text, '{_PIECES}') AS ws FROM script), parts AS (SELECT doc_id, unnest(range(0, len(ws))) AS idx, unnest(ws) AS word FROM arr),
+roles AS (SELECT word, {_ROLE} AS role FROM (SELECT word, count(*) AS n FROM parts WHERE word NOT IN ('的', '地', '得') GROUP BY word)),
+seen AS (SELECT p.doc_id, p.idx, p.word, coalesce(role, 'none') AS role, (p.idx + p.doc_id) % 7 AS k FROM parts p LEFT JOIN roles r ON p.word = r.word),
+near AS (SELECT *, lag(role, 1) OVER w AS p1r, lead(role, 1) OVER w AS n1r, lead(role, 2) OVER w AS n2r, lag(word, 1) OVER w AS p1, lag(word, 2) OVER w AS p2, lead(word, 1) OVER w AS n1, lead(word, 2) OVER w AS n2, lag(k, 1) OVER w AS p1k, lead(k, 1) OVER w AS n1k,
+max(CASE WHEN role = 'object_verb' THEN idx END) OVER (w ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS v, max(CASE WHEN role = 'stop' THEN idx END) OVER (w ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS vs,
+max(CASE WHEN role = 'object_preposition' THEN idx END) OVER (w ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS o, max(CASE WHEN role = 'stop' THEN idx END) OVER (w ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS os FROM seen WINDOW w AS (PARTITION BY doc_id ORDER BY idx)),
+told AS (SELECT *, coalesce(v > coalesce(vs, -1), false) OR coalesce(o > coalesce(os, -1), false) AS object_left FROM near WHERE word IN ('的', '地', '得'))"""
+
+
+def _parts(spark, sf_dir):
+    """``doc_id, idx, word``: particles, and the stretches of characters between them, of the whole texts; and roles of words
+    by length and frequency."""
+    words = tables.settled(script(spark, sf_dir).select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(_PIECES), F.lit(0))).alias("idx", "word")))
+    counted = words.filter(~F.col("word").isin("的", "地", "得")).groupBy("word").agg(F.count("*").alias("n"))
+    return words, counted.select("word", F.expr(_ROLE).alias("role"))
+
+
+@query(f"""WITH {_PARTS}, d AS (SELECT *, CASE WHEN k < 4 THEN 'DVP' WHEN k = 4 THEN 'CP' WHEN k = 5 THEN 'DNP' ELSE 'IP' END AS label, CASE WHEN k = 1 THEN 'NP' WHEN k = 2 THEN NULL ELSE 'VP' END AS grandparent, CASE WHEN k = 3 THEN 'QP' ELSE 'VP' END AS inner_label FROM told),
+x AS (SELECT *, CASE WHEN label = 'DVP' AND coalesce(grandparent <> 'NP', true) AND inner_label IN ('VP', 'ADVP') THEN '地' WHEN label IN ('DVP', 'DNP', 'CP') THEN '的' ELSE word END AS wants FROM d)
+SELECT doc_id, idx::BIGINT AS idx, word, CASE WHEN wants = '地' AND (object_left OR coalesce(n1r = 'gerund' AND n2r = 'compound_head', false) OR coalesce(p1r = 'nominal_modifier' AND n1r = 'gerund', false)) THEN word ELSE wants END AS verdict FROM x""")
 def phrase_verdicts(spark, sf_dir):
-    """The first characters of tokens as words, with phrase roles by position and no vetoing words."""
-    fourth = F.col("seq") % 4
-    first = _tokens(spark, sf_dir).select("doc_id", F.col("seq").alias("idx"), F.substring("word", 1, 1).alias("word"), F.when(fourth < 2, "DVP").when(fourth == 2, "CP").otherwise("IP").alias("label"), F.lit("VP").alias("inner"), F.when(fourth == 1, "NP").otherwise("VP").alias("grandparent"))
-    roles = spark.createDataFrame([("七七", "stop")], "word string, role string")
-    return parsing.phrase_verdicts(first.select("doc_id", "idx", "label", "inner", "grandparent"), first.select("doc_id", "idx", "word"), roles).withColumn("idx", F.col("idx").cast("long"))
+    """Phrase roles by position, with vetoing words by frequency."""
+    words, roles = _parts(spark, sf_dir)
+    k = (F.col("idx") + F.col("doc_id")) % 7
+    phrases = words.filter(F.col("word").isin("的", "地", "得")).select("doc_id", "idx", F.when(k < 4, "DVP").when(k == 4, "CP").when(k == 5, "DNP").otherwise("IP").alias("label"), F.when(k == 3, "QP").otherwise("VP").alias("inner"), F.when(k == 1, "NP").when(k == 2, None).otherwise("VP").alias("grandparent"))
+    return parsing.phrase_verdicts(phrases, words, roles).withColumn("idx", F.col("idx").cast("long"))
+
+
+_DEPRELS = ["ATT", "assmod", "advmod", "dep", "dobj", "CMP", "root"]
+_DEPREL = lambda c: "CASE " + c + "".join(f" WHEN {i} THEN '{d.lower()}'" for i, d in enumerate(_DEPRELS)) + " END"
+
+
+@query(f"""WITH {_PARTS}, m AS (SELECT *, CASE k WHEN 0 THEN '的' WHEN 1 THEN '的' WHEN 2 THEN '地' WHEN 3 THEN '得' WHEN 5 THEN '得' END AS rel, {_DEPREL('p1k')} AS p1d, {_DEPREL('n1k')} AS n1d FROM told),
+x AS (SELECT *, CASE WHEN word <> '的' AND p1d = 'assmod' AND n1d = 'assmod' THEN '的' ELSE rel END AS new FROM m)
+SELECT doc_id, idx::BIGINT AS idx, word, CASE WHEN coalesce(p1r = 'embedded', false) OR coalesce(p1 LIKE '%地', false)
+OR (word = '的' AND rel IN ('地', '得') AND (coalesce(n2 = '的', false) OR coalesce(p2 = '的' AND length(p1) = 1, false) OR (n1 IS NULL AND p1 IS NOT NULL) OR coalesce(n1 IN ('吧', '呢', '啊'), false)))
+OR (word = '的' AND rel = '地' AND coalesce(p1r = 'nominal_modifier' AND n1r = 'gerund', false))
+OR (word = '的' AND new = '得' AND p1 IS NOT NULL AND (coalesce(p1r, '') <> 'predicate' OR coalesce(p1r = 'directional', false)))
+OR (word = '的' AND new = '地' AND p1 IS NOT NULL AND (object_left OR coalesce(n1r = 'gerund' AND n2r = 'compound_head', false) OR coalesce(n1d = 'dobj', false)))
+THEN word ELSE coalesce(new, word) END AS verdict FROM x""")
+def dependency_verdicts(spark, sf_dir):
+    """Dependency relations by position, with guarding words by frequency."""
+    words, roles = _parts(spark, sf_dir)
+    deprel = F.element_at(F.array(*map(F.lit, _DEPRELS)), ((F.col("idx") + F.col("doc_id")) % 7 + 1).cast("int"))
+    return parsing.dependency_verdicts(words.withColumn("deprel", deprel), roles).withColumn("idx", F.col("idx").cast("long"))

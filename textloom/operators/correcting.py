@@ -165,7 +165,7 @@ def proper_noun_spans(df: DataFrame, lexicon: DataFrame, id_col: str = "doc_id",
         def one(text: str | None) -> list[dict]:
             at = sorted(confusing.proper_nouns(text or "", lambda w: shared.value.get(w, (0,))[0]))
             cuts = [i for i, x in enumerate(at) if not i or x != at[i - 1] + 1]
-            return [{"start": at[i], "end": at[j - 1] + 1} for i, j in zip(cuts, [*cuts[1:], len(at)], strict=True)]
+            return [{"start": at[i], "end": at[j - 1] + 1} for i, j in zip(cuts, [*cuts[1:], len(at)], strict=False)]
 
         return texts.map(one)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -110,3 +112,21 @@ def whole_pairs(pairs: DataFrame, diffs: DataFrame, conflicts: DataFrame | None
     if conflicts is not None:
         rest = rest.join(conflicts.select("event_id").distinct(), "event_id", "left_anti")
     return rest.select("event_id", F.col("raw").alias("old"), F.col("corrected").alias("new"), "raw", "manual", "ts")
+
+
+def learn_corrections(pairs: DataFrame, lexicon: DataFrame, pronunciations: DataFrame, shape_pairs: DataFrame, user_terms: DataFrame, store: DataFrame | None = None, settle: Callable[[DataFrame], DataFrame] = lambda df: df) -> dict[str, DataFrame]:
+    """All that correction pairs (``event_id, raw, corrected, manual, ts``, and ``verdict``, the rules' text of ``raw``) teach:
+    ``rules``, counted and promoted, on top of ``store``; ``variants`` of theirs by sound and by shape, those by sound first;
+    ``active``, what of both applies; ``words`` to add to the terms. Pairs without a learnable change are rules as a whole if
+    they are short and the rules do not object. ``settle`` may write what several results share."""
+    from textloom.operators.correcting import conflicting_pairs, extract_diffs
+
+    diffs = settle(extract_diffs(pairs, lexicon))
+    whole = whole_pairs(pairs, diffs, conflicting_pairs(pairs))
+    columns = ["old", "new", "raw", "manual", "ts"]
+    rules = settle(promote_rules(diffs.select(*columns).unionByName(whole.select(*columns)), store))
+    changed = rules.join(diffs.select("old", "new").distinct(), ["old", "new"], "left_semi")
+    by_sound = expand_homophones(changed, pronunciations, lexicon)
+    by_shape = expand_shapes(changed, shape_pairs, lexicon).withColumn("seq", F.col("seq") + MOST_VARIANTS)
+    variants = settle(register_variants(by_sound.unionByName(by_shape)))
+    return {"rules": rules, "variants": variants, "active": active_rules(rules, variants), "words": harvest_new_words(diffs, lexicon, user_terms)}

@@ -44,15 +44,18 @@ def train_ngrams(segs: DataFrame, n: int, least: int = LEAST_COUNT) -> DataFrame
 
 
 def cap_corpus(pages: DataFrame, max_chars: int, order_col: str = "page", text_col: str = "text", range_size: int = 1024) -> DataFrame:
-    """``pages`` in order up to and with the one that reaches ``max_chars`` counted characters. The running sum is taken in
-    two levels: totals of ranges of the order column first, then inside each range, so no task sees more than a range."""
+    """``pages`` in order (a whole number, at least 0) up to and with the one that reaches ``max_chars`` counted characters.
+    The running sum is taken in three levels: totals of ranges of the order column and of ranges of ranges come first, so no
+    task sees more than a range of either; only the few totals of the highest level are in one. Empty ranges have no row."""
     counted = F.aggregate(split_sentences(keep_charset(F.coalesce(F.col(text_col), F.lit("")))), F.lit(0).cast("long"), lambda s, x: s + F.length(x))
-    sized = pages.withColumn("__n", counted).withColumn("__range", F.floor(F.col(order_col) / range_size))
-    totals = sized.groupBy("__range").agg(F.sum("__n").alias("__t"))
-    outer = W.orderBy("__range")
-    totals = totals.withColumn("__base", F.sum("__t").over(outer) - F.col("__t")).filter(F.col("__base") < max_chars).drop("__t")
-    inner = W.partitionBy("__range").orderBy(order_col)
-    placed = sized.join(totals, "__range").withColumn("__before", F.col("__base") + F.sum("__n").over(inner) - F.col("__n"))
+    sized = pages.withColumn("__n", counted).withColumn("__r0", F.floor(F.col(order_col) / range_size))
+    low = sized.groupBy("__r0").agg(F.sum("__n").alias("__t0")).withColumn("__r1", F.floor(F.col("__r0") / range_size**2))
+    high = low.groupBy("__r1").agg(F.sum("__t0").alias("__t1"))
+    high = high.withColumn("__b1", F.sum("__t1").over(W.orderBy("__r1")) - F.col("__t1")).filter(F.col("__b1") < max_chars).drop("__t1")
+    inside = W.partitionBy("__r1").orderBy("__r0")
+    low = low.join(high, "__r1").withColumn("__b0", F.col("__b1") + F.sum("__t0").over(inside) - F.col("__t0")).filter(F.col("__b0") < max_chars).select("__r0", "__b0")
+    inner = W.partitionBy("__r0").orderBy(order_col)
+    placed = sized.join(low, "__r0").withColumn("__before", F.col("__b0") + F.sum("__n").over(inner) - F.col("__n"))
     return placed.filter(F.col("__before") < max_chars).select(*pages.columns)
 
 
@@ -86,49 +89,66 @@ def score_next(df: DataFrame, unigrams: DataFrame, bigrams: DataFrame, trigrams:
     return out.withColumn("log_p", F.log(p)).drop(*drop)
 
 
-def confusion_candidates(df: DataFrame, confusions: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, pos, orig, cand, prev, next, orig_freq, cand_freq, verdict``: one row for each place of a confusable character
-    and candidate (``confusions``: ``ch, cand``). The frequencies are the best of the two- and three-character words around
-    the place (``lexicon``: ``word, freq``); ``verdict`` is true to replace, false to keep, null if they do not tell."""
+#: Confusable characters up to this number are looked for in the row.
+MOST_CONFUSABLE = 2_000
+
+
+def _candidate_windows(df: DataFrame, confusions: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, pos, orig, cand, prev, next, prev2, next2`` of each place of a confusable character and candidate."""
     arrays = df.select(F.col(id_col).alias("doc_id"), _characters(F.col(text_col)).alias("__a"))
     near = lambda i, d: F.coalesce(F.get("__a", i + d), F.lit(""))
-    windows = F.transform("__a", lambda c, i: F.struct(i.alias("pos"), c.alias("orig"), near(i, -1).alias("prev"), near(i, 1).alias("next")))
+    windows = F.transform("__a", lambda c, i: F.struct(i.alias("pos"), c.alias("orig"), *(near(i, d).alias(name) for name, d in (("prev", -1), ("next", 1), ("prev2", -2), ("next2", 2)))))
+    some = [r.ch for r in confusions.select("ch").distinct().limit(MOST_CONFUSABLE + 1).collect()]
+    if len(some) <= MOST_CONFUSABLE:  # places of other characters never leave the array
+        windows = F.filter(windows, lambda w: w["orig"].isin(some))
     chars = arrays.select("doc_id", F.explode(windows).alias("w")).select("doc_id", "w.*")
-    placed = chars.join(confusions.select(F.col("ch").alias("orig"), "cand"), "orig")
+    return chars.join(confusions.select(F.col("ch").alias("orig"), "cand"), "orig")
+
+
+def confusion_candidates(df: DataFrame, confusions: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, pos, orig, cand, prev, next, orig_freq, cand_freq, verdict``: one row for each place of a confusable character
+    and candidate (``confusions``: ``ch, cand``). The frequencies are the best of the two- and three-character words around
+    the place (``lexicon``: ``word, freq``); ``verdict`` is true to replace, false to keep, null if they do not tell. Places
+    with the same neighbours ask the same words, so the distinct windows, which do not grow with the corpus, meet the
+    lexicon; their answers join the places."""
+    places = _candidate_windows(df, confusions, id_col, text_col).drop("prev2", "next2")
+    key = ["orig", "cand", "prev", "next"]
 
     def words(c: str) -> Column:
         x, p1, n1 = F.col(c), F.col("prev"), F.col("next")
         return F.array(*(F.when((a != "") & (b != ""), w) for a, b, w in ((p1, x, F.concat(p1, x)), (x, n1, F.concat(x, n1)), (p1, n1, F.concat(p1, x, n1)))))
 
-    both = placed.select("*", F.explode(F.array(F.struct(F.lit("o").alias("side"), words("orig").alias("w")), F.struct(F.lit("c").alias("side"), words("cand").alias("w")))).alias("s"))
-    both = both.select("doc_id", "pos", "orig", "cand", "prev", "next", "s.side", F.explode("s.w").alias("word"))
-    known = both.join(lexicon.select("word", "freq"), "word", "left")
-    best = known.groupBy("doc_id", "pos", "orig", "cand", "prev", "next").agg(
-        F.max(F.when(F.col("side") == "o", F.coalesce("freq", F.lit(0))).otherwise(0)).cast("long").alias("orig_freq"),
-        F.max(F.when(F.col("side") == "c", F.coalesce("freq", F.lit(0))).otherwise(0)).cast("long").alias("cand_freq"),
-    )
+    asked = places.select(*key).distinct()
+    both = asked.select("*", F.explode(F.array(F.struct(F.lit("o").alias("side"), words("orig").alias("w")), F.struct(F.lit("c").alias("side"), words("cand").alias("w")))).alias("s"))
+    known = both.select(*key, "s.side", F.explode("s.w").alias("word")).join(lexicon.select("word", "freq"), "word", "left")
+    best = known.groupBy(*key).agg(*(F.max(F.when(F.col("side") == side, F.coalesce("freq", F.lit(0))).otherwise(0)).cast("long").alias(name) for side, name in (("o", "orig_freq"), ("c", "cand_freq"))))
     o, c = F.col("orig_freq"), F.col("cand_freq")
     verdict = F.when((c > 0) & ((o == 0) | (c >= 10 * o)), True).when((c == 0) & (o > 0), False)
-    return best.withColumn("verdict", verdict)
-
-
-def score_candidates(candidates: DataFrame, unigrams: DataFrame, bigrams: DataFrame, least_evidence: int = EVIDENCE) -> DataFrame:
-    """``candidates`` with ``evidence`` and ``delta``: how many more or fewer times the neighbours were seen with the candidate
-    than with the original, and the difference of log probabilities (null below ``least_evidence``). An absent neighbour is
-    an empty string: the unigram difference stands for the first, nothing for the second."""
-    keyed = candidates.withColumn("__id", F.xxhash64("doc_id", "pos", "cand"))
-    asked = keyed.select("__id", "pos", "doc_id", "cand", "prev", "next", F.explode(F.array(
-        F.struct(F.lit("po").alias("k"), F.col("prev").alias("a"), F.col("orig").alias("b")),
-        F.struct(F.lit("pc").alias("k"), F.col("prev").alias("a"), F.col("cand").alias("b")),
-        F.struct(F.lit("on").alias("k"), F.col("orig").alias("a"), F.col("next").alias("b")),
-        F.struct(F.lit("cn").alias("k"), F.col("cand").alias("a"), F.col("next").alias("b")),
-    )).alias("s")).select("doc_id", "pos", "cand", "prev", "next", "s.k", "s.a", "s.b")
-    scored = score_next(asked, unigrams, bigrams).join(bigrams.select(F.col("c1").alias("a"), F.col("c2").alias("b"), F.col("n").alias("seen")), ["a", "b"], "left")
+    return places.join(best.withColumn("verdict", verdict), key).select("doc_id", "pos", *key, "orig_freq", "cand_freq", "verdict")
+
+
+def score_candidates(df: DataFrame, confusions: DataFrame, unigrams: DataFrame, bigrams: DataFrame, trigrams: DataFrame | None = None, least_evidence: int = EVIDENCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, pos, orig, cand, evidence, delta``: how many more or fewer times the neighbours were seen with the candidate
+    than with the original, and the difference of log probabilities (null below ``least_evidence``): of the character after
+    its neighbour and of the next one after it, by pairs; with ``trigrams`` each after the two before it, and of the one
+    after the next too. Without a neighbour before it the unigram difference stands for the first, where nothing follows
+    nothing counts. Distinct windows are scored, not places."""
+    places = _candidate_windows(df, confusions, id_col, text_col)
+    key = ["orig", "cand", "prev", "next"] + ["prev2", "next2"] * (trigrams is not None)
+    asked = places.select(*key).distinct()
+    x = {"o": F.col("orig"), "c": F.col("cand")}
+    p1, n1 = F.col("prev"), F.col("next")
+    p2, n2 = (F.col("prev2"), F.col("next2")) if trigrams is not None else (F.lit(""), F.lit(""))
+    ask = lambda k, z, a, b: F.struct(F.lit(k).alias("k"), z.alias("z"), a.alias("a"), b.alias("b"))
+    parts = [q for s, c in x.items() for q in (ask("p" + s, p2, p1, c), ask("n" + s, p1, c, n1), ask("m" + s, c, n1, n2))[: 3 if trigrams is not None else 2]]
+    stacked = asked.select(*key, F.explode(F.array(*parts)).alias("s")).select(*key, "s.*")
+    scored = score_next(stacked, unigrams, bigrams, trigrams).join(bigrams.select(F.col("c1").alias("a"), F.col("c2").alias("b"), F.col("n").alias("seen")), ["a", "b"], "left")
     of = lambda k, c: F.coalesce(F.max(F.when(F.col("k") == k, F.col(c))), F.lit(0))
-    has_prev, has_next = F.max("prev") != "", F.max("next") != ""
-    got = scored.groupBy("doc_id", "pos", "cand").agg(
-        (F.when(has_prev, F.abs(of("pc", "seen") - of("po", "seen"))).otherwise(0) + F.when(has_next, F.abs(of("cn", "seen") - of("on", "seen"))).otherwise(0)).cast("long").alias("evidence"),
-        (of("pc", "log_p") - of("po", "log_p") + F.when(has_next, of("cn", "log_p") - of("on", "log_p")).otherwise(0.0)).alias("delta"),
-    )
+    has = {k: F.first(c) != "" for k, c in (("p", p1), ("n", n1), ("m", n2))}
+    evidence = F.when(has["p"], F.abs(of("pc", "seen") - of("po", "seen"))).otherwise(0) + F.when(has["n"], F.abs(of("nc", "seen") - of("no", "seen"))).otherwise(0)
+    delta = of("pc", "log_p") - of("po", "log_p") + F.when(has["n"], of("nc", "log_p") - of("no", "log_p")).otherwise(0.0)
+    if trigrams is not None:
+        delta = delta + F.when(has["m"], of("mc", "log_p") - of("mo", "log_p")).otherwise(0.0)
+    got = scored.groupBy(*key).agg(evidence.cast("long").alias("evidence"), delta.alias("delta"))
     got = got.withColumn("delta", F.when(F.col("evidence") >= least_evidence, F.col("delta")))
-    return candidates.join(got, ["doc_id", "pos", "cand"])
+    return places.join(got, key).select("doc_id", "pos", "orig", "cand", "evidence", "delta")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from tempfile import gettempdir
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,6 +86,26 @@ def read_rules(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RULES_SCHEMA).parquet(newest) if newest else spark.createDataFrame([], RULES_SCHEMA)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder that spark.checkpoint.dir names, for plans that use it several times. In a
+    session that names none, ``df`` as it is."""
+    context = df.sparkSession.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir")
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not folder:
+            return df
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir; a session that names none gets one on the local machine, and must be local."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no shared folder")
+    return f"{folder or gettempdir()}/textloom-{uuid4().hex}"
+
+
 def write_rules(rules: DataFrame, path: str, batch: str = "") -> str:
     """A new snapshot after the newest, which readers see once it is whole. ``batch`` names what it holds (letters, digits and
     dashes), for ``has_batch``."""
