@@ -1,5 +1,6 @@
 """The registered queries on the smallest tables against plain statements of what they return."""
 
+import base64
 import re
 import struct
 import zlib
@@ -13,7 +14,7 @@ import zstandard
 from tokenizers import Tokenizer
 
 from tests.conftest import DATA
-from textloom.llm import bpe, digest, language, passages, queries, secrets, tokens
+from textloom.llm import bpe, digest, language, passages, quality, queries, secrets, tokens
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -72,6 +73,56 @@ def test_op2_entropy():
         assert step == (digest._MOST - total) * digest.STEPS // digest._MOST
 
 
+def test_op2_by_brute_force(spark, docs):
+    """Entropies, ranks, elections, filters and likeness, each from its plain definition, for the shorter texts."""
+    bodies = {i: t.encode() for i, t in docs.items()}
+    total = Counter()
+
+    def steps(b):
+        out = []
+        for i in range(len(b) - 31):
+            own = sum(int(digest._NLOGN[n]) for n in Counter(b[i : i + 32]).values())
+            out.append((digest._MOST - own) * 1000 // digest._MOST)
+        return out
+
+    all_steps = {i: steps(b) for i, b in bodies.items()}
+    for x in all_steps.values():
+        total.update(x)
+    rank = {s: k for k, s in enumerate(sorted(range(1001), key=lambda s: (total[s], s)))}
+
+    def filters(b, st):
+        votes = Counter()
+        for i in range(max(1, len(st) - 23) if st else 0):
+            votes[min(range(i, min(i + 24, len(st))), key=lambda k: (rank[st[k]], k))] += 1
+        least = min(6, max(1, len(st) - 23))
+        found = [p for p in sorted(votes) if (votes[p] >= least or len(st) <= 24) and st[p] > 0]
+        codes = list(dict.fromkeys(xxhash.xxh3_64_intdigest(b[p : p + 32]) for p in found)) or ([xxhash.xxh3_64_intdigest(b)] if b else [])
+        return [{(c >> 11 * k) & 2047 for c in codes[a : a + 160] for k in range(5)} for a in range(0, len(codes), 160)]
+
+    def like(x, y):
+        if x == y:
+            return 1.0
+        if not x or not y:
+            return 0.0
+        x, y = sorted((x, y), key=len)
+        best = []
+        for a in x:
+            best.append(max(max(0.0, (len(a & b) - len(a) * len(b) / 2048) / max(min(len(a), len(b)) - len(a) * len(b) / 2048, 1e-9)) for b in y))
+        return min(1.0, sum(best) / len(best))
+
+    got = {r.doc_id: r for r in rows(spark, "op2_digests")}
+    ids = sorted(docs)
+    short = [(i, j) for i, j in zip(ids, ids[1:], strict=False) if len(bodies[i]) < 4000 and len(bodies[j]) < 4000]
+    assert len(short) > 50
+    for i, j in short:
+        k = len(docs[i]) // 2
+        new = (docs[i][: len(docs[i]) - k] + docs[j][:k]).encode()
+        own, after, changed = filters(bodies[i], all_steps[i]), filters(bodies[j], all_steps[j]), filters(new, steps(new))
+        bits = lambda f: [set(np.flatnonzero(np.unpackbits(np.frombuffer(x, np.uint8))).tolist()) for x in (base64.b64decode(f)[a : a + 256] for a in range(0, len(base64.b64decode(f)), 256))]
+        assert bits(got[i].fingerprint) == own and bits(got[i].edited_fingerprint) == changed
+        assert abs(got[i].near_next - like(own, after)) < 1e-9 and abs(got[i].near_edited - like(own, changed)) < 1e-9
+
+
 @pytest.fixture(scope="module")
 def encoded(docs):
     t = Tokenizer.from_file(tokens.tokenizer_path())
@@ -117,6 +168,30 @@ def test_op5(spark, docs):
         assert r.base_failed == (len(words) < 50 or 100 * len(repeat) > 50 * len(words)) and not (r.base_failed and r.kept)
 
 
+def test_op5_cutoffs_by_sql(spark):
+    """With labels enough for cutoffs in every stratum, all rows against SQL that counts them anew."""
+    import duckdb
+    import pandas as pd
+
+    rng = np.random.default_rng(4)
+    rows_ = []
+    for i in range(7000):
+        words = [f"{'ab' * int(rng.integers(1, 4))}{k}x{i}" for k in range(60)] + ["##|"] * int(rng.choice([0, 0, 1, 9])) + [f"{'w' * 40}{k}" for k in range(int(rng.choice([0, 0, 0, 30])))]
+        lines = ["same line here"] * int(rng.choice([0, 0, 3])) + [" ".join(words)]
+        rows_.append((i, "\n".join(lines), ["en", "de", "fr"][i % 3]))
+    table = pd.DataFrame(rows_, columns=["doc_id", "text", "lang"])
+    noisy = table.text.str.contains("##|wwww", regex=False) | table.text.str.contains("wwww")
+    labels = pd.DataFrame({"doc_id": table.doc_id, "quality": (~noisy).astype(int), "toxic": 0})
+    got = quality.judge(spark.createDataFrame(table), spark.createDataFrame(labels)).toPandas().sort_values("doc_id").reset_index(drop=True)
+    con = duckdb.connect()
+    con.register("documents", table)
+    con.register("labels", labels)
+    want = con.execute(queries.ORACLE_SQL["op5_quality"]).df().sort_values("doc_id").reset_index(drop=True)
+    assert (got[want.columns] == want).all().all()
+    rejected = got[~got.base_failed & ~got.kept].doc_id % 3
+    assert set(rejected) == {0, 1, 2} and (~got.base_failed & ~got.kept & ~noisy).mean() < quality.RISK
+
+
 def test_op6(spark, docs):
     for r in rows(spark, "op6_secrets"):
         text, spans = docs[r.doc_id], []
@@ -132,6 +207,32 @@ def test_op6(spark, docs):
         assert set(joined.split(",")) - {""} <= set(r.spans.split(","))
 
 
+def test_op6_costs_by_brute_force():
+    """The cheapest cut of short values among all cuts, and what the limit does to random and to ordinary values."""
+    import random
+    import string
+
+    cost = secrets.cost_model(tokens.tokenizer_path())
+    rng = random.Random(3)
+    plain = ["password", "love", "qwe", "aaa", "123", "2019", "abc", "X", "7", "#", "Summer"]
+    for _ in range(150):
+        value = "".join(rng.choice(plain) for _ in range(3))[:10]
+        spans = cost._spans(value, value.lower())
+
+        def cheapest(end, spans=spans, value=value):
+            if not end:
+                return 0.0
+            return min([cheapest(end - 1) + np.log10(cost._letters(value[end - 1])), *(cheapest(a) + c for a, c in spans.get(end, ()))])
+
+        assert abs(cost(value) - cheapest(len(value))) < 1e-9
+    letters = string.ascii_letters + string.digits
+    random_values = ["".join(rng.choice(letters) for _ in range(rng.randint(12, 20))) for _ in range(300)]
+    words = [w for w in cost.ranks if len(w) > 4][:3000]
+    ordinary = [rng.choice(words) + rng.choice(["", "1", "12", "2020", "!"]) for _ in range(300)]
+    assert np.mean([cost(x) >= secrets.LEAST_GUESSES for x in random_values]) > 0.99
+    assert np.mean([cost(x) >= secrets.LEAST_GUESSES for x in ordinary]) < 0.01
+
+
 def test_op6_costs():
     cost = secrets.cost_model(tokens.tokenizer_path())
     weak = [cost(x) for x in ("password", "qwertyuiop", "12345678", "aaaaaaaaaa", "20240115", "abcabcabc")]

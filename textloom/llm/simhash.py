@@ -63,8 +63,10 @@ def links(distinct_fps: DataFrame) -> DataFrame:
     """All pairs ``a, b`` of different fingerprints at most MOST_BITS apart, each once, from a column ``fp`` of distinct
     values. The table holds each fingerprint's two segments; probes enumerate the ball of radius one around a segment, and
     of a pair that differs in a bit, only the side that has it clear sets it. A candidate from the second segment counts
-    only if the first could not find it, so no pair is given twice. Memory is bounded: both sides are dealt by segment
-    value, and buckets of a 32-bit value hold few different fingerprints however many documents share them."""
+    only if the first could not find it, so no pair is given twice. Both sides are dealt by segment value, of
+    which there are 2**32: of n different fingerprints a bucket holds n / 2**32 on average, however many documents share
+    them. Only texts made for it could fill one bucket with fingerprints that differ elsewhere; Spark splits such a join
+    like any skewed one, but its work grows with the square of that bucket."""
     fp = F.col("fp")
     flips = lambda key: F.filter(F.transform(F.sequence(F.lit(0), F.lit(SEGMENT_BITS - 1)), lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)), lambda bit: key.bitwiseAND(bit) == 0)
     segments = F.explode(F.array(*(F.struct(F.lit(i).alias("seg"), _segment(fp, i).alias("key")) for i in range(SEGMENTS)))).alias("s")
