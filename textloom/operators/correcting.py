@@ -169,7 +169,7 @@ def proper_noun_spans(df: DataFrame, lexicon: DataFrame, id_col: str = "doc_id",
 
         return texts.map(one)
 
-    return df.select(F.col(id_col).alias("doc_id"), F.explode(spans(text_col)).alias("s")).select("doc_id", "s.start", "s.end")
+    return df.select(F.col(id_col).alias("doc_id"), F.explode(spans.asNondeterministic()(text_col)).alias("s")).select("doc_id", "s.start", "s.end")
 
 
 def _shared_udf(df: DataFrame, fn: Callable[[str], str]) -> Callable[[Column | str], Column]:
@@ -193,7 +193,7 @@ def _shared(df: DataFrame, value: Any) -> Callable[[], Any]:
 
 def proofread(df: DataFrame, stages: list[R.Stage], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, text, corrected, suggestions``. All stages run in one pass, so a row crosses to Python once and rows never
-    shuffle. Null text gives null and no suggestions. Callers may add stages of their own to the list."""
+    shuffle; the function counts as nondeterministic, or filters that Spark infers from a later explode would run it again. Null text gives null and no suggestions. Callers may add stages of their own to the list."""
     shared = _shared(df, tuple(stages))
 
     @F.pandas_udf(f"corrected string, suggestions {SUGGESTION}")
@@ -203,7 +203,7 @@ def proofread(df: DataFrame, stages: list[R.Stage], id_col: str = "doc_id", text
             done = [(None, []) if t is None else R.staged(t, shared()) for t in texts]
             yield pd.DataFrame({"corrected": [c for c, _ in done], "suggestions": [[dict(zip(names, x, strict=True)) for x in found] for _, found in done]})
 
-    out = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("r", run("text"))
+    out = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("r", run.asNondeterministic()("text"))
     return out.select("doc_id", "text", "r.corrected", "r.suggestions")
 
 
@@ -272,7 +272,7 @@ def tag_tokens(df: DataFrame, lexicon: DataFrame, overrides: dict[str, str] | No
     def cut(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: [] if t is None else [dict(zip(("word", "tag", "start", "end"), x, strict=True)) for x in shared.value.cut(t)])
 
-    return df.select(F.col(id_col).alias("doc_id"), F.posexplode(cut(text_col)).alias("idx", "t")).select("doc_id", "idx", "t.*")
+    return df.select(F.col(id_col).alias("doc_id"), F.posexplode(cut.asNondeterministic()(text_col)).alias("idx", "t")).select("doc_id", "idx", "t.*")
 
 
 def extract_diffs(pairs: DataFrame, lexicon: DataFrame | None = None, particles_only: bool = False, most_words: int = MOST_WORDS) -> DataFrame:
@@ -290,7 +290,7 @@ def extract_diffs(pairs: DataFrame, lexicon: DataFrame | None = None, particles_
         return pd.Series([[{"old": o, "new": n} for o, n in find(a or "", b or "")] for a, b in zip(raw, corrected, strict=True)])
 
     changed = pairs.filter(F.col("raw") != F.col("corrected"))
-    return changed.select("event_id", F.posexplode(changes("raw", "corrected")).alias("seq", "d"), "raw", "manual", "ts").select("event_id", "seq", "d.old", "d.new", "raw", "manual", "ts")
+    return changed.select("event_id", F.posexplode(changes.asNondeterministic()("raw", "corrected")).alias("seq", "d"), "raw", "manual", "ts").select("event_id", "seq", "d.old", "d.new", "raw", "manual", "ts")
 
 
 def conflicting_pairs(pairs: DataFrame) -> DataFrame:
