@@ -124,6 +124,7 @@ class Confusions:
         for pair in C.CONFUSIONS:
             a, b = pair.split(">")
             self.candidates.setdefault(a, []).append(b)
+        self.confusable = self.candidates.keys() - set(C.UNTOUCHED)
         self.forced = dict(x.split(">") for x in C.FORCED)
         self.forced_pattern = re.compile(_any(self.forced))
         self.phrases = [tuple(x.split(">")) for x in C.TOKEN_PHRASES]
@@ -154,16 +155,17 @@ class Confusions:
         """``token`` is the word that holds the place when the text was cut: itself, and its start. Answers, most certain first."""
         word, start = token
         freq, orig = self.freq, text[i]
-        swapped = text[:i] + cand + text[i + 1 :]
-        around = [(a, b) for a, b in ((i - 1, i + 1), (i, i + 2), (i - 1, i + 2)) if a >= 0 and b <= len(text)]
-        yield False if any(freq(text[a:b]) >= RELIABLE for a, b in around if b - a == 2) else None
+        near = text[max(0, i - NEAR) : i + NEAR + 1]
+        k = min(i, NEAR)  # the place in it
+        swapped = near[:k] + cand + near[k + 1 :]
+        around = [(a, b) for a, b in ((k - 1, k + 1), (k, k + 2), (k - 1, k + 2)) if a >= 0 and b <= len(near)]
+        yield False if any(freq(near[a:b]) >= RELIABLE for a, b in around if b - a == 2) else None
         if len(word) > 1:
             yield False if freq(word) >= RELIABLE else None
             yield False if freq(word) and not freq(word[: i - start] + cand + word[i - start + 1 :]) else None
-        own, other = (max((freq(t[a:b]) for a, b in around), default=0) for t in (text, swapped))
+        own, other = (max((freq(t[a:b]) for a, b in around), default=0) for t in (near, swapped))
         yield True if other and other >= (LOCAL_RATIO * own or 1) else False if own and not other else None
-        low, high = max(0, i - NEAR), i + NEAR + 1
-        own, other = (sum(freq(w) for w, *_ in self.cutter.cut(t[low:high])) for t in (text, swapped))
+        own, other = (sum(freq(w) for w, *_ in self.cutter.cut(t)) for t in (near, swapped))
         yield True if other > own * NEAR_RATIO else False if own > other * NEAR_RATIO else None
         delta = self.model(text, i, orig, cand) if self.model else None
         yield None if delta is None or abs(delta) <= MODEL_DELTA else delta > 0
@@ -173,7 +175,7 @@ class Confusions:
         if len(text) < 2 or not re.search(f"[{CJK}]", text):
             return text
         text = self.token_phrases(text)
-        if self.candidates.keys().isdisjoint(text) and not self.forced_pattern.search(text):
+        if self.confusable.isdisjoint(text) and not self.forced_pattern.search(text):
             return text
         token_at = [("", 0)] * len(text)
         tag_at = [""] * len(text)
@@ -187,7 +189,7 @@ class Confusions:
                 text = text[: m.start()] + self.forced[m[0]] + text[m.end() :]
                 fixed.update(range(*m.span()))
             for i, c in enumerate(text):
-                if c not in self.candidates or c in C.UNTOUCHED or i in fixed or self.safe.search(text[max(0, i - 2) : i + 3]):
+                if c not in self.confusable or i in fixed or self.safe.search(text[max(0, i - 2) : i + 3]):
                     continue
                 for cand in self.candidates[c]:
                     verdict = None
