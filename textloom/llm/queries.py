@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import digest, language, passages, periods, quality, secrets, simhash, suffixes, tokens
+from textloom.llm import digest, language, passages, periods, quality, secrets, simhash, suffixes, tokens, vector_codes, vector_search
 from textloom.llm.common import documents
 
 
@@ -50,11 +50,19 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op11_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.quantise(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op13_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.periodic_runs(documents(spark, sf_dir, "doc_id", "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_digests, op3_separator_scan, op4_passages, op5_quality, op6_secrets, op7_bpe, op8_packing, op9_language, op10_suffixes, op13_periods)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_digests, op3_separator_scan, op4_passages, op5_quality, op6_secrets, op7_bpe, op8_packing, op9_language, op10_suffixes, op11_nearest, op12_codes, op13_periods)}
 
 _BLANK = r"\x20\x09-\x0D"
 _MEASURES = {
