@@ -122,3 +122,14 @@ def test_large_group_of_near_copies(spark):
     made = [(k, " ".join(base[:k] + [f"x{k}"] + base[k + 1 :])) for k in range(280)]
     docs = spark.createDataFrame(made, "doc_id long, text string")
     assert [r.doc_id for r in simhash.drop_near_copies(docs).collect()] == [0]
+
+
+def test_near_copies_that_share_ids(spark):
+    """Rows are told by id and text: a text that shares its id with a near copy of another stays."""
+    base = [f"w{i}" for i in range(100)]
+    edited = " ".join([*base[:-1], "x"])
+    far = " ".join(f"v{i}" for i in range(100))
+    rows = [(1, " ".join(base)), (2, edited), (2, far), (3, far), (4, edited), (1, "something else"), (5, "one"), (5, "two"), (6, "two")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, simhash.drop_near_copies(docs).collect()))
+    assert got == sorted([(1, " ".join(base)), (2, far), (1, "something else"), (5, "one"), (5, "two")])

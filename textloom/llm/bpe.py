@@ -10,12 +10,13 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, count
 
 import numpy as np
 from tokenizers import Tokenizer
+from xxhash import xxh3_64_intdigest
 
 #: Distinct words that a worker remembers; past it the cache starts anew, so memory stays bounded.
 CACHE_WORDS = 120_000
@@ -32,25 +33,52 @@ KIND = np.full(256, MARK, np.uint8)
 KIND[[9, 10, 11, 12, 13, 32]] = SPACE
 KIND[[*range(65, 91), *range(97, 123), *range(128, 256)]] = LETTER
 KIND[48:58] = DIGIT
-#: What a byte counts by its place in a word. Words of up to EXACT bytes have keys of their own: their bytes and, in the
-#: highest byte, their size. Longer ones are hashed, their size too.
-EXACT = 7
-_WEIGHT = np.append(np.uint64(256) ** np.arange(EXACT, dtype=np.uint64), np.random.default_rng(7).integers(1, 1 << 63, 1 << 12, np.uint64) * np.uint64(2) + np.uint64(1))
-_SIZE_WEIGHT = np.array([1 << 56, 0x9E3779B97F4A7C15], np.uint64)
+#: Words of up to EXACT bytes have keys of their own: their bytes and, in the highest byte, their size. Longer ones are hashed,
+#: eight bytes at a time up to HASHED bytes.
+EXACT, HASHED = 7, 64
+#: A cached word of up to so many bytes is known by its key once its bytes are the same too; longer ones by their bytes alone.
+COMPARED = 16
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_SIZED, _FIRST, _SECOND = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * _FIRST
+    x = (x ^ (x >> np.uint64(27))) * _SECOND
+    return x ^ (x >> np.uint64(31))
+
+
+def _eights(letters: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as a number; zeros behind the end."""
+    padded = np.append(letters, np.zeros(HASHED, np.uint8))
+    return np.lib.stride_tricks.as_strided(padded[:8].view(np.uint64), (len(padded) - 7,), (1,), writeable=False)
 
 
 def word_keys(letters: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """A 64-bit key of each word, which lies at ``at`` in ``letters`` and has ``size`` > 0 bytes."""
-    ends = np.cumsum(size)
-    place = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - size, size)
-    far = place >= len(_WEIGHT)
-    weight = _WEIGHT[np.minimum(place, len(_WEIGHT) - 1)]
-    if far.any():
-        weight = np.where(far, weight * (place - len(_WEIGHT) + 2).astype(np.uint64), weight)
-    if not len(ends):
-        return np.zeros(0, np.uint64)
-    total = np.add.reduceat(letters[np.repeat(at, size) + place].astype(np.uint64) * weight, ends - size)
-    return total + size.astype(np.uint64) * _SIZE_WEIGHT[(size > EXACT).astype(np.int64)]
+    """A 64-bit key of each word, which lies at ``at`` in ``letters`` and has ``size`` > 0 bytes: of its own for short words, a
+    hash for others."""
+    eight, sizes = _eights(letters), size.astype(np.uint64)
+    key = eight[at] & _MASK[np.minimum(size, 8)]
+    key |= (sizes << np.uint64(56)) * (size <= EXACT)
+    long = np.flatnonzero((size > EXACT) & (size <= HASHED))
+    if len(long):
+        h = _mixed(key[long] + sizes[long] * _SIZED)
+        for done in range(8, HASHED, 8):
+            more = np.flatnonzero(size[long] > done)
+            if not len(more):
+                break
+            own = long[more]
+            h[more] = _mixed((h[more] ^ (eight[at[own] + done] & _MASK[np.minimum(size[own] - done, 8)])) * _SIZED + np.uint64(done))
+        key[long] = h
+    for i in np.flatnonzero(size > HASHED).tolist():
+        key[i] = xxh3_64_intdigest(letters[at[i] : at[i] + size[i]].tobytes())
+    return key
+
+
+def word_bytes(letters: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Words of up to COMPARED bytes as two numbers that hold all of them, and the size: (3, word)."""
+    eight = _eights(letters)
+    return np.stack([eight[at] & _MASK[np.minimum(size, 8)], eight[at + 8] & _MASK[np.clip(size - 8, 0, 8)], size.astype(np.uint64)])
 
 
 def byte_letters() -> dict[str, int]:
@@ -141,7 +169,8 @@ class Coder:
         self._forget()
 
     def _forget(self) -> None:
-        self.code: dict[int, int] = {}
+        self.code: dict[int | bytes, int] = {}
+        self.held = np.zeros((3, 0), np.uint64)
         self.start, self.count, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
         self.id_text: list[bytes] = []
         self.token_text: list[bytes] = []
@@ -193,6 +222,7 @@ class Coder:
         symbols = self.table.inner[letters]
         symbols[ends - 1] = self.table.last[letters[ends - 1]]
         starts = ends - size
+        self.held = np.append(self.held, word_bytes(letters, starts, size), 1)
         merged: list[np.ndarray] = []
         counts: list[np.ndarray] = []
         low = 0
@@ -225,20 +255,32 @@ class Coder:
         letters, at, size, n_words = self._words(texts)
         if not len(at):
             return at, n_words
-        key = word_keys(letters, at, size)
+        body, code = letters.tobytes(), np.empty(len(at), np.int64)
+        own = np.flatnonzero(size <= COMPARED)
+        key = word_keys(letters, at[own], size[own])
         order = np.argsort(key)
         ordered = key[order]
-        fresh = np.append(True, ordered[1:] != ordered[:-1])
-        keys, first = ordered[fresh], order[fresh]
+        fresh = np.append(True, ordered[1:] != ordered[:-1])[: len(key)]
+        first = own[order[fresh]]
         back = np.empty(len(key), np.int64)
         back[order] = np.cumsum(fresh) - 1
-        found = list(map(self.code.get, keys.tolist()))
-        if new := [i for i, x in enumerate(found) if x is None]:
-            body, known = letters.tobytes(), len(self.code)
-            self._learn([body[a : a + n] for a, n in zip(at[first[new]].tolist(), size[first[new]].tolist(), strict=True)])
-            for i, k in enumerate(keys[new].tolist()):
-                self.code[k] = found[new[i]] = known + i
-        return np.array(found, np.int64)[back], n_words
+        code[own] = np.array(self._numbers(ordered[fresh].tolist(), lambda i: body[at[first[i]] : at[first[i]] + size[first[i]]]), np.int64)[back]
+        other = size > COMPARED
+        hashed = np.flatnonzero((size > EXACT) & ~other)
+        other[hashed] = (self.held[:, code[hashed]] != word_bytes(letters, at[hashed], size[hashed])).any(0)  # two words of one key
+        words = [body[a : a + n] for a, n in zip(at[other].tolist(), size[other].tolist(), strict=True)]
+        code[other] = self._numbers(words, words.__getitem__)
+        return code, n_words
+
+    def _numbers(self, keys: list[int] | list[bytes], word: Callable[[int], bytes]) -> list[int]:
+        """The cache's numbers of words by their keys; new ones are learned, ``word`` gives their bytes."""
+        found = list(map(self.code.get, keys))
+        if None in found:
+            new = {k: i for i, k in enumerate(keys) if found[i] is None}
+            self._learn([word(i) for i in new.values()])
+            self.code.update(zip(new, count(len(self.code)), strict=False))
+            found = list(map(self.code.__getitem__, keys))
+        return found
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids in one uint32 array, and each text's number of ids."""

@@ -40,6 +40,14 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names`` with so many underscores in front that ``df`` has no column of such a name (letter case does not count)."""
+    taken, front = {c.lower() for c in df.columns}, "__"
+    while any((front + x).lower() in taken for x in names):
+        front += "_"
+    return [front + x for x in names]
+
+
 def plain_bytes(text: Column) -> Column:
     """A text's UTF-8 bytes; null is empty."""
     return F.coalesce(text, F.lit("")).cast("binary")

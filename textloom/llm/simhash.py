@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import bloom_of, mapped, may_hold, plain_bytes, settled, small_batches
+from textloom.llm.common import bloom_of, mapped, may_hold, plain_bytes, settled, small_batches, unused
 from textloom.llm.components import components
 from textloom.llm.passages import named_only, shingles_of, words_of
 
@@ -127,22 +127,23 @@ def wide_fingerprints(bodies: list[bytes]) -> np.ndarray:
 
 
 def _copy_links(texts: DataFrame) -> DataFrame:
-    """``a, b`` (a > b): each text's id with the least id that has one of its segments or a segment at one bit from it.
-    ``texts`` is ``id, segments array<long>``. Owners are pre-aggregated to the least, so a group of n near copies gives
+    """``a, b``: each text's node with that of the text of least id that has one of its segments or a segment at one bit from it.
+    ``texts`` is ``id, node, segments array<long>``. Owners are pre-aggregated to the least, so a group of n near copies gives
     links in proportion to n."""
     owned = F.transform("segments", lambda x, i: F.shiftleft(i.cast("long"), 32).bitwiseOR(x))
-    owners = texts.select("id", F.explode(owned).alias("key")).groupBy("key").agg(F.min("id").alias("low"))
+    owners = texts.select("id", "node", F.explode(owned).alias("key")).groupBy("key").agg(F.min(F.struct("id", "node")).alias("low")).select("key", "low.node")
     clear = lambda key: F.filter(F.transform(F.sequence(F.lit(0), F.lit(SEGMENT_BITS - 1)), lambda i: key.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))), lambda other: other != key)
-    probes = texts.select("id", F.explode(owned).alias("own")).select("id", F.explode(F.concat(F.array("own"), clear(F.col("own")))).alias("key"))
-    found = probes.join(owners, "key").filter("id <> low")
-    return found.select(F.greatest("id", "low").alias("a"), F.least("id", "low").alias("b")).distinct()
+    probes = texts.select(F.col("node").alias("own"), F.explode(owned).alias("of")).select("own", F.explode(F.concat(F.array("of"), clear(F.col("of")))).alias("key"))
+    found = probes.join(owners, "key").filter("own <> node")
+    return found.select(F.greatest("own", "node").alias("a"), F.least("own", "node").alias("b")).distinct()
 
 
 def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
-    """``th, th2, n_bytes, kept_id`` of each text that has copies or near copies under other ids: its hashes and size, and the
-    least id of its group. Texts are linked where fingerprints are near and the sets of their five-word shingles (words in
-    lower case; of fewer words, the sequence) are ``similar`` or more; groups are connected by links. Null ids are left out;
-    null text is empty, and texts without words are alike. Only the two named columns are read."""
+    """``th, th2, n_bytes, kept_id, is_kept`` of each text that has copies or near copies: its hashes and size, the least id of its
+    group, and whether it is the text that stays (that of least id; of several under that id, of least hashes). Texts are linked
+    where fingerprints are near and the sets of their five-word shingles (words in lower case; of fewer words, the sequence)
+    are ``similar`` or more; groups are connected by links. Different texts are told apart also where rows share an id. Null ids
+    are left out; null text is empty, and texts without words are alike. Only the two named columns are read."""
     docs = df.select(F.col(id_col).cast("long").alias("id"), plain_bytes(F.col(text_col).cast("string")).alias("text")).filter("id is not null")
     key = [F.xxhash64("text").alias("th"), F.hash("text").alias("th2"), F.octet_length("text").alias("n_bytes")]
 
@@ -155,12 +156,14 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         return step
 
     own = mapped(docs.select("id", "text", *key), make, "id long, th long, th2 int, n_bytes int, segments array<long>")
-    # Exact copies are one row from here on; of texts whose rows share an id, one stands for all.
-    texts = settled(own.groupBy("th", "th2", "n_bytes").agg(F.min("id").alias("id"), F.max("id").alias("most"), F.first("segments").alias("segments")))
-    pairs = settled(_copy_links(texts.select("id", "segments")))
-    named = settled(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
-    bodies = settled(named_only(docs, named).join(named, "id").dropDuplicates(["id", "th"]))
-    both = pairs.join(bodies.select(F.col("id").alias("a"), F.col("text").alias("own")), "a").join(bodies.select(F.col("id").alias("b"), F.col("text").alias("other")), "b")
+    # Exact copies are one row, and a node of its own, from here on.
+    texts = own.groupBy("th", "th2", "n_bytes").agg(F.min("id").alias("id"), F.max("id").alias("most"), F.first("segments").alias("segments"))
+    texts = settled(texts.withColumn("node", F.monotonically_increasing_id()))
+    pairs = settled(_copy_links(texts.select("id", "node", "segments")))
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    named = settled(texts.join(nodes, "node", "left_semi").select("id", "th", "node"))
+    bodies = settled(named_only(docs, named).join(named, ["id", "th"]).dropDuplicates(["node"]))
+    both = pairs.join(bodies.select(F.col("node").alias("a"), F.col("text").alias("own")), "a").join(bodies.select(F.col("node").alias("b"), F.col("text").alias("other")), "b")
 
     def compare():
         expand, known = zstandard.ZstdDecompressor().decompress, {}
@@ -184,17 +187,20 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         return step
 
     label = components(mapped(both.select("a", "b", "other", "own"), compare, "a long, b long"))
-    # Texts that share an id are one node; a text without links is its own group.
-    grouped = texts.join(label.select(F.col("a").alias("id"), "component"), "id", "left").withColumn("kept_id", F.coalesce("component", "id"))
-    return grouped.filter((F.col("kept_id") != F.col("id")) | (F.col("most") != F.col("id"))).select("th", "th2", "n_bytes", "kept_id")
+    # A text without links is its own group.
+    grouped = settled(texts.drop("segments").join(label.select(F.col("a").alias("node"), "component"), "node", "left").withColumn("group", F.coalesce("component", "node")))
+    kept = grouped.groupBy("group").agg(F.min(F.struct("id", "th", "th2", "node")).alias("kept"))
+    told = grouped.join(kept, "group").withColumn("is_kept", F.col("node") == F.col("kept.node"))
+    return told.filter(~F.col("is_kept") | (F.col("most") != F.col("id"))).select("th", "th2", "n_bytes", F.col("kept.id").alias("kept_id"), "is_kept")
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
-    """``df`` without the rows that ``near_copies`` names, but for those of each group's least id. Rows with null ids stay, and
-    so do all columns, whatever their names. Texts are not shuffled: rows that a filter does not let through stay at once,
-    the others are told by a join on hashes."""
-    drop = settled(near_copies(df, id_col, text_col, similar).select(*(F.col(c).alias(f"__{c}") for c in ("th", "th2", "n_bytes", "kept_id"))))
-    shared = df.sparkSession.sparkContext.broadcast(bloom_of(drop, "__th"))
+    """``df`` without the rows of the texts that ``near_copies`` names, but for those that stand under its group's least id with the
+    text that stays. Rows with null ids stay, and so do all columns, whatever their names. Texts are not shuffled: rows that a
+    filter does not let through stay at once, the others are told by a join on hashes."""
+    th, th2, size, kept_id, is_kept, h, h2, n, may = unused(df, "th", "th2", "size", "kept_id", "is_kept", "h", "h2", "n", "may")
+    drop = settled(near_copies(df, id_col, text_col, similar).toDF(th, th2, size, kept_id, is_kept))
+    shared = df.sparkSession.sparkContext.broadcast(bloom_of(drop, th))
     small_batches(df)
 
     @F.pandas_udf("boolean")
@@ -202,8 +208,8 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pd.Series(may_hold(shared.value, h.to_numpy().view(np.uint64)))
 
     body = plain_bytes(F.col(text_col).cast("string"))
-    hashed = df.withColumns({"__h": F.xxhash64(body), "__h2": F.hash(body), "__n": F.octet_length(body)})
-    told = hashed.withColumn("__may", may_have("__h"))
-    match = (F.col("__h") == F.col("__th")) & (F.col("__h2") == F.col("__th2")) & (F.col("__n") == F.col("__n_bytes"))
-    kept = told.filter("__may").join(drop, match, "left").filter(F.col("__kept_id").isNull() | F.col(id_col).isNull() | (F.col(id_col).cast("long") == F.col("__kept_id")))
-    return kept.select(*df.columns).unionByName(told.filter("not __may").select(*df.columns))
+    told = df.withColumns({h: F.xxhash64(body), h2: F.hash(body), n: F.octet_length(body)}).withColumn(may, may_have(h))
+    match = (F.col(h) == F.col(th)) & (F.col(h2) == F.col(th2)) & (F.col(n) == F.col(size))
+    stays = F.col(kept_id).isNull() | F.col(id_col).isNull() | (F.col(is_kept) & (F.col(id_col).cast("long") == F.col(kept_id)))
+    kept = told.filter(F.col(may)).join(drop, match, "left").filter(stays)
+    return kept.select(*df.columns).unionByName(told.filter(~F.col(may)).select(*df.columns))
