@@ -1,9 +1,10 @@
 """Verdicts on 的, 地 and 得 from words and tags, as an ordered table of patterns over tagged clauses.
 
 A clause is written as one string: before each word a START, after it a SLASH and its tag, and a ``-`` behind the tag of a
-rare word. A rule is some particles, what stands right before and right after them (patterns of such tokens), and a verdict.
-The first rule that fits a particle decides it; verdicts do not change what other particles see. The rules are compiled once
-for each worker and are tried at particles alone, so a clause without one costs a look.
+rare word. Only this spelling is searched, never put back into a text; words and tags that hold such marks lose them in it. A
+rule is some particles, what stands right before and right after them (patterns of such tokens), and a verdict. The first rule
+that fits a particle decides it; verdicts do not change what other particles see. The rules are compiled once for each worker
+and are tried at particles alone, each on the few words that a rule can span, so the time follows the clause's length.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 from functools import lru_cache
+from itertools import accumulate
 
 from textloom.functions import particle_words as P
 from textloom.functions.text import CJK, EMOTIONS, PRE_FIXES
@@ -40,19 +42,25 @@ _STRICT_OBJECT_VERBS = [w for w in P.OBJECT_VERBS if w not in P.PHRASE_VERBS]
 
 
 _OWN_TAGS = dict(zip(PARTICLES, STRUCTURAL, strict=True))
+_NO_MARKS = str.maketrans({START: "\ufffd", SLASH: "\ufffd", "-": "\ufffd"})
+#: Words before a particle that a rule can span; more than the longest pattern has.
+REACH = 14
+_ANY = f"[^{START}{SLASH}]"
+_TAG = f"[^{START}{SLASH}-]*"
+_END = f"(?={START}|\\Z)"
 
 
 def encoded(word: str, tag: str, freq: int) -> str:
     """One token. Particles have tags of their own, whatever the lexicon says."""
-    return f"{START}{word}{SLASH}{_OWN_TAGS.get(word, tag)}{'-' if freq < RARE else ''}"
+    return f"{START}{word.translate(_NO_MARKS)}{SLASH}{_OWN_TAGS.get(word, tag).translate(_NO_MARKS)}{'-' if freq < RARE else ''}"
 
 
 def token(words: Iterable[str] | None = None, tags: Iterable[str] | None = None, without: Iterable[str] = (), rare: str = "-?") -> str:
     """A token pattern: one of ``words``, with one of ``tags``, not one of ``without``."""
     some = lambda xs: "(?:" + "|".join(sorted(xs, key=lambda x: (-len(x), x))) + ")"
     bar = f"(?!{some(without)}{SLASH})" if without else ""
-    word = some(words) if words is not None else f"[^{START}{SLASH}]{{1,24}}"
-    return f"{START}{bar}{word}{SLASH}{some(tags) if tags is not None else '[a-z]{1,4}'}{rare}"
+    word = some(words) if words is not None else f"{_ANY}+"
+    return f"{START}{bar}{word}{SLASH}{some(tags) if tags is not None else _TAG}{rare}{_END}"
 
 
 def either(*patterns: str) -> str:
@@ -65,10 +73,10 @@ def rule(particles: str, before: str, after: str, verdict: str | None) -> tuple[
 
 
 def _rules() -> list[tuple[str, str, str, str | None]]:
-    end = "$"
+    end = r"\Z"
     content = token(tags=[*NOMINAL, *VERB, *ADJECTIVE, *ADVERB])
     no_content = f"(?!{content})"
-    only_marks = f"(?:{START}[^{START}{SLASH}{CJK}]{{1,24}}{SLASH}[a-z]{{1,4}}-?)*$"
+    only_marks = f"(?:{START}[^{START}{SLASH}{CJK}]+{SLASH}{_TAG}-?)*\\Z"
     predicate = f"(?:{token(tags=['o', *STRUCTURAL, *NOMINAL])}){{0,3}}{token(tags=[x for x in [*VERB, *ADJECTIVE, *ADVERB] if x != 'b'])}"
     rare_end = f"{token(rare='-')}{only_marks}"
     adverb = token(tags=ADVERB)
@@ -83,7 +91,7 @@ def _rules() -> list[tuple[str, str, str, str | None]]:
     bare = f"^(?:{either(adverb, token([*P.DEGREE_ADVERBS, *P.NEGATED_DEGREES]), token(tags=STRUCTURAL))}){{0,6}}"  # no subject
     # What makes the word after the particle a noun: a determiner, a verb with a measure, a preposition or an object verb to the
     # left of the modifier.
-    measure = either(token(tags=["m"]), f"{START}[^{START}{SLASH}]{{0,6}}(?:一遍|一下|一次|一番|一回|一场){SLASH}[a-z]{{1,4}}-?")
+    measure = either(token(tags=["m"]), f"{START}{_ANY}*(?:一遍|一下|一次|一番|一回|一场){SLASH}{_TAG}-?{_END}")
     of_noun = [
         f"{token(P.DETERMINERS)}(?:{adverb}){{0,3}}",
         f"{either(token(tags=STRICT), token(P.VERB_MEASURES))}(?:{token(ASPECTS)}){{0,2}}{measure}(?:{either(passed, measure)}){{0,4}}",
@@ -128,7 +136,7 @@ def _rules() -> list[tuple[str, str, str, str | None]]:
         out.append(rule("得", before_noun, f"(?={noun}){guard}", None))
     out.append(rule("得", before_noun, noun, "的"))
     # A verb before a noun is its attribute, unless the noun is or begins a complement.
-    no_attribute = either(predicate, rare_end, token([*P.COMPLEMENTS]) + no_content, f"{START}[^{START}{SLASH}]{{4,24}}{SLASH}", f"{START}[^{START}{SLASH}]不[^{START}{SLASH}]")
+    no_attribute = either(predicate, rare_end, token([*P.COMPLEMENTS]) + no_content, f"{START}{_ANY}{{4,}}{SLASH}", f"{START}{_ANY}不{_ANY}")
     plain_noun = token(tags=[*NOMINAL, "b"], without=[*P.ACTIONS_TAGGED_NOUN, *P.DEGREE_COMPLEMENTS, "这么", "那么", "多么"])
     out += [
         rule(PARTICLES, verb, f"(?!{no_attribute}){plain_noun}", "的"),
@@ -160,7 +168,7 @@ def _rules() -> list[tuple[str, str, str, str | None]]:
         rule("的", "", "", None),
     ]
     # 地 before a noun phrase is 的.
-    out.append(rule("地", manner, f"{START}[^{START}{SLASH}]{{0,20}}{either(*P.VERB_MEASURES)}{SLASH}", None))
+    out.append(rule("地", manner, f"{START}{_ANY}*{either(*P.VERB_MEASURES)}{SLASH}", None))
     out += [rule("地", left + manner, after, None) for left, after in of_verb]
     out.append(rule("地", manner, token(tags=NOUN, without=[*P.VERB_LIKE_NOUNS, *P.ACTIONS_TAGGED_NOUN]), "的"))
     for left in (*of_noun, f"{token(_STRICT_OBJECT_VERBS)}(?:{passed}){{0,3}}"):
@@ -188,12 +196,13 @@ def decide(tokens: list[tuple[str, str, int]]) -> str:
     if len(words) < 3 or {*PARTICLES}.isdisjoint(words):
         return "".join(words)
     parts = [encoded(*t) for t in tokens]
+    clause, at = "".join(parts), [0, *accumulate(map(len, parts))]
     for i, word in enumerate(list(words)):
         if word not in _OWN_TAGS:
             continue
-        left, right = "".join(parts[:i]), "".join(parts[i + 1 :])
+        low = at[max(0, i - REACH)]  # a pattern's ^ is the clause's begin alone
         for own, before, after, verdict in _compiled():
-            if word in own and (after is None or after.match(right)) and (before is None or before.search(left)):
+            if word in own and (after is None or after.match(clause, at[i + 1])) and (before is None or before.search(clause, low, at[i])):
                 words[i] = verdict or word
                 break
     return "".join(words)

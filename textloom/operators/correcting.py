@@ -44,12 +44,7 @@ def text_udf(fn: Callable[[str], str]) -> Callable[[Column | str], Column]:
 
 def apply_rules(df: DataFrame, rules: Iterable[R.Rule], text_col: str = "text") -> DataFrame:
     """User replacements, typo tables, particle phrases or learned rules, in order, each on what the one before it left."""
-    ordered = [r for r in rules if r.wrong and r.right]
-
-    def fix(text: str, ordered=ordered) -> str:
-        return R.rewrite(text, ordered)
-
-    return df.withColumn(text_col, text_udf(fix)(text_col))
+    return df.withColumn(text_col, _shared_udf(df, R.Rewriter(rules))(text_col))
 
 
 def phrase_rules(pairs: Iterable[tuple[str, str]], guards: dict[str, tuple[tuple[str, str], ...]] | None = None) -> list[R.Rule]:
@@ -89,7 +84,7 @@ class Particles:
     """的, 地 and 得: pre-fixes, fixed phrases, the rules by words and tags in each clause, fixed phrases again."""
 
     def __init__(self, lexicon: dict[str, tuple[int, str]], phrases: Iterable[R.Rule] = ()) -> None:
-        self.words, self.phrases, self.cutter = lexicon, tuple(phrases), Segmenter(lexicon)
+        self.words, self.phrases, self.cutter = lexicon, R.Rewriter(phrases), Segmenter(lexicon)
 
     def by_tags(self, text: str) -> str:
         def one(m: re.Match) -> str:
@@ -100,8 +95,8 @@ class Particles:
         return re.sub("[^。！？；，、\n]+", one, text)
 
     def __call__(self, text: str) -> str:
-        text = R.rewrite(particles.pre_fix(text), self.phrases)
-        return R.rewrite(self.by_tags(text), self.phrases) if self.words else text
+        text = self.phrases(particles.pre_fix(text))
+        return self.phrases(self.by_tags(text)) if self.words else text
 
 
 def default_stages(
@@ -111,19 +106,18 @@ def default_stages(
     """The built-in stages in order. Tables that are not given change nothing: without a lexicon, particles are corrected by
     pre-fixes and phrases alone, and confusions and variants not at all. Reasons and sources are fixed values."""
     to_simple = str.maketrans(*simplified)
-    table = lambda rules: (lambda t, rules=tuple(rules): R.rewrite(t, rules))
     words = lexicon or {}
     stages = [
         R.Stage("numerals", "中文数字 → 阿拉伯数字", "数字规范", 0.95, R.normalize_numerals),
         R.Stage("simplified", "繁体 → 简体", "繁简转换", 1.0, lambda t: t.translate(to_simple)),
         R.Stage("particles", "的/地/得 语法修正", "语法", 0.9, Particles(words, phrases)),
         R.Stage("terms", "术语还原", "术语", 0.95, R.Terms(terms)),
-        R.Stage("typos", "错别字/异形词修正", "错别字", 0.95, table(typos)),
+        R.Stage("typos", "错别字/异形词修正", "错别字", 0.95, R.Rewriter(typos)),
         R.Stage("confusions", "同音字纠错", "同音字", 0.85, confusing.Confusions(words, model)),
         R.Stage("ba", "ASR 声母混淆修正（把X切入→接入）", "语境混淆", 0.95, _ba),
         R.Stage("variants", "异形词规范（GF 1001-2001）", "异形词", 0.9, confusing.Variants(variants or {}, words)),
-        R.Stage("user", "用户自定义替换", "用户替换", 1.0, table(user)),
-        R.Stage("learned", "自学习规则", "自学习", 0.9, table(learned)),
+        R.Stage("user", "用户自定义替换", "用户替换", 1.0, R.Rewriter(user)),
+        R.Stage("learned", "自学习规则", "自学习", 0.9, R.Rewriter(learned)),
         R.Stage("punctuation", "标点归一 / 引号配对", "标点", 0.95, lambda t: R.close_quotes(_collapse(t))),
     ]
     wanted = {"numerals": numerals, "confusions": confusions and words, "variants": variants and words}
@@ -179,14 +173,13 @@ def _shared_udf(df: DataFrame, fn: Callable[[str], str]) -> Callable[[Column | s
 
 
 def _shared(df: DataFrame, value: Any) -> Callable[[], Any]:
-    """A large value, lambdas included, broadcast; a task unpacks it once."""
+    """A large value, lambdas included, broadcast; a worker unpacks it once, as it keeps the broadcast itself."""
     packed = df.sparkSession.sparkContext.broadcast(cloudpickle.dumps(value))
-    unpacked: list = []
 
     def get() -> Any:
-        if not unpacked:
-            unpacked.append(cloudpickle.loads(packed.value))
-        return unpacked[0]
+        if not hasattr(packed, "unpacked"):
+            packed.unpacked = cloudpickle.loads(packed.value)
+        return packed.unpacked
 
     return get
 
