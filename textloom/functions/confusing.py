@@ -7,11 +7,13 @@ nothing, and the first answer counts. What sets 在 and 再 apart is a table of
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from math import log
 
 from textloom.functions import confusion_words as C
+from textloom.functions.finding import Finder, Queue
+from textloom.functions.rewriting import Rule, replaced
 from textloom.functions.segmenting import Segmenter
 from textloom.functions.text import CJK
 
@@ -20,6 +22,8 @@ RELIABLE = 50
 #: difference of log probabilities. Fixed values.
 LOCAL_RATIO, NEAR_RATIO, MODEL_DELTA = 10, 1.15, log(1.3)
 NEAR, PASSES = 5, 5
+#: Characters before a place and from it on that any question looks at.
+BEFORE, AFTER = 8, 104
 Model = Callable[[str, int, str, str], float | None]
 
 _any = "|".join
@@ -118,8 +122,8 @@ class Confusions:
     """Corrects the confusable characters of a text. ``lexicon`` maps words to frequency and tag; ``model`` gives, for a text,
     a place, the character there and a candidate, the difference of log probabilities, or null without evidence."""
 
-    def __init__(self, lexicon: dict[str, tuple[int, str]], model: Model | None = None) -> None:
-        self.words, self.model, self.cutter = lexicon, model, Segmenter(lexicon)
+    def __init__(self, lexicon: dict[str, tuple[int, str]], model: Model | None = None, cutter: Segmenter | None = None) -> None:
+        self.words, self.model, self.cutter = lexicon, model, cutter or Segmenter(lexicon)
         self.candidates: dict[str, list[str]] = {}
         for pair in C.CONFUSIONS:
             a, b = pair.split(">")
@@ -127,6 +131,7 @@ class Confusions:
         self.confusable = self.candidates.keys() - set(C.UNTOUCHED)
         self.forced = dict(x.split(">") for x in C.FORCED)
         self.forced_pattern = re.compile(_any(self.forced))
+        self.noted = self.confusable | {w[0] for w in self.forced}
         self.phrases = [tuple(x.split(">")) for x in C.TOKEN_PHRASES]
         self.safe = re.compile(_any({*C.SAFE_WORDS, *C.AGAIN_WORDS, *C.AT_WORDS}))
 
@@ -170,8 +175,11 @@ class Confusions:
         delta = self.model(text, i, orig, cand) if self.model else None
         yield None if delta is None or abs(delta) <= MODEL_DELTA else delta > 0
 
-    def __call__(self, text: str) -> str:
-        """Texts of one character or without CJK stay. Words and names are those of the text before the passes."""
+    def __call__(self, text: str, names: Iterable[tuple[int, int]] = ()) -> str:
+        """Texts of one character or without CJK stay. Words and names are those of the text before the passes; ``names`` are
+        stretches that someone else found to be names (``name_places`` says which of them count). A pass goes from left to
+        right: a forced word is put right where it begins, and its places are settled; another confusable character is put to
+        the questions, which see what the pass has changed before it."""
         if len(text) < 2 or not re.search(f"[{CJK}]", text):
             return text
         text = self.token_phrases(text)
@@ -182,36 +190,51 @@ class Confusions:
         for word, tag, start, end in self.cutter.cut(text):
             token_at[start:end] = [(word, start)] * (end - start)
             tag_at[start:end] = [tag] * (end - start)
-        fixed = proper_nouns(text, self.freq)
+        fixed = proper_nouns(text, self.freq) | name_places(text, names, self.freq)
+        chars = list(text)
         for _ in range(PASSES):
-            before = text
-            for m in list(self.forced_pattern.finditer(text)):
-                text = text[: m.start()] + self.forced[m[0]] + text[m.end() :]
-                fixed.update(range(*m.span()))
-            for i, c in enumerate(text):
-                if c not in self.confusable or i in fixed or self.safe.search(text[max(0, i - 2) : i + 3]):
+            changed = False
+            for i, c in enumerate(chars):
+                if c not in self.noted:
+                    continue
+                low = max(0, i - BEFORE)
+                window, k = "".join(chars[low : i + AFTER]), i - low
+                if m := self.forced_pattern.match(window, k):
+                    chars[i : i + len(m[0])] = self.forced[m[0]]
+                    fixed.update(range(i, i + len(m[0])))
+                    changed = True
+                    continue
+                if c not in self.confusable or i in fixed or self.safe.search(window[max(0, k - 2) : k + 3]):
                     continue
                 for cand in self.candidates[c]:
                     verdict = None
                     if {c, cand} == {"在", "再"}:
-                        after, at = token_at[i + 1] if i + 1 < len(text) else ("", 0)
-                        verdict = decide_zai(text, i, tag_at[i + 1] if i + 1 < len(text) else "", after if at == i + 1 and len(after) > 1 else "")
+                        after, at = token_at[i + 1] if i + 1 < len(chars) else ("", 0)
+                        verdict = decide_zai(window, k, tag_at[i + 1] if i + 1 < len(chars) else "", after if at == i + 1 and len(after) > 1 else "")
                     if verdict is None:
-                        verdict = next((x for x in self._questions(text, i, cand, token_at[i]) if x is not None), None)
+                        word, start = token_at[i]
+                        verdict = next((x for x in self._questions(window, k, cand, (word, start - low)) if x is not None), None)
                     if verdict:
-                        text = text[:i] + cand + text[i + 1 :]
+                        chars[i], changed = cand, True
                         break
-            if text == before:
+            if not changed:
                 break
-        return text
+        return "".join(chars)
+
+
+def name_places(text: str, names: Iterable[tuple[int, int]], freq: Callable[[str], int]) -> set[int]:
+    """Places inside the stretches of two to four characters that are no reliable word: others are no names, whoever says so."""
+    return {i for a, b in names if a is not None and b is not None and 2 <= b - a <= 4 and freq(text[a:b]) < RELIABLE for i in range(a, b)}
 
 
 class Variants:
-    """Deprecated forms of words as the preferred ones. ``forms`` maps deprecated to preferred, in list order."""
+    """Deprecated forms of words as the preferred ones. ``forms`` maps deprecated to preferred, in list order; pairs with an empty
+    side are left out."""
 
-    def __init__(self, forms: dict[str, str], lexicon: dict[str, tuple[int, str]]) -> None:
-        self.forms, self.words, self.cutter = forms, lexicon, Segmenter(lexicon)
-        self.any_form = re.compile(_any(map(re.escape, forms))) if forms else None
+    def __init__(self, forms: dict[str, str], lexicon: dict[str, tuple[int, str]], cutter: Segmenter | None = None) -> None:
+        self.forms, self.words, self.cutter = {a: b for a, b in forms.items() if a and b}, lexicon, cutter or Segmenter(lexicon)
+        self.short = [form for form in self.forms if len(form) == 2]
+        self.any_form, self.short_forms = Finder(self.forms), Finder(self.short)
 
     def freq(self, word: str) -> int:
         known = self.words.get(word)
@@ -221,7 +244,7 @@ class Variants:
         """Whole words first, but in names, after a surname-like first character, and next to characters with which they are
         something else; then forms of two characters that are no reliable word, wherever they stand, if at their first place
         they do not share a character with a word around."""
-        if self.any_form is None or not self.any_form.search(text):
+        if not self.any_form.any(text):
             return text
         names = proper_nouns(text, self.freq)
         out: list[str] = []
@@ -235,12 +258,15 @@ class Variants:
             )
             out.append(word if stays else self.forms[word])
         text = "".join(out)
-        for form, preferred in self.forms.items():
+        queue = Queue(self.short_forms, text)
+        while (i := queue.next()) is not None:
+            form = self.short[i]
             at = text.find(form)
-            if at < 0 or len(form) != 2 or self.freq(form) >= RELIABLE or form[0] in C.SURNAMES:
+            if at < 0 or self.freq(form) >= RELIABLE or form[0] in C.SURNAMES:
                 continue
             shared = at and self.freq(text[at - 1] + form[0]) > 5 * self.freq(form)
             behind = [text[at + 1 : at + n] for n in (3, 4)]
             if not shared and not any(len(w) == n and self.freq(w) for w, n in zip(behind, (2, 3), strict=True)):
-                text = text.replace(form, preferred)
+                text, spans = replaced(text, Rule(form, self.forms[form]))
+                queue.changed(text, spans)
         return text

@@ -5,44 +5,79 @@ from __future__ import annotations
 import re
 from math import log
 
+import ahocorasick
+
 LATIN = re.compile("[A-Za-z0-9]+")
+#: Characters of the texts whose cuts are remembered.
+REMEMBERED = 200_000
+
+Token = tuple[str, str, int, int]
 
 
 class Segmenter:
     """Cuts runs of text into words by the largest product of relative frequencies (dynamic programming over the graph of
-    all lexicon words). Characters outside the lexicon are words of their own, tagged ``x``; runs of Latin letters and
-    digits stay together, tagged ``eng`` unless the lexicon has them. Unknown words are not guessed."""
+    all lexicon words, which an automaton finds in one pass). Characters outside the lexicon are words of their own, tagged
+    ``x``; runs of Latin letters and digits stay together, tagged ``eng`` unless the lexicon has them. Unknown words are not
+    guessed. Recent cuts are remembered, as stages ask for the same text and neighbourhoods again; callers do not change them."""
 
     def __init__(self, lexicon: dict[str, tuple[int, str]], overrides: dict[str, str] | None = None) -> None:
         self.words, self.tags = lexicon, overrides or {}
-        self.longest = max(map(len, lexicon), default=1)
         self.total = log(sum(f for f, _ in lexicon.values()) or 1)
+        used = [w for w, (freq, _) in lexicon.items() if w and freq and freq > 0]
+        self.sizes = [len(w) for w in used]
+        self.scores = [log(lexicon[w][0]) - self.total for w in used]
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for i, word in enumerate(used):
+            self.automaton.add_word(word, i)
+        if used:
+            self.automaton.make_automaton()
+        self.memo: dict[str, list[Token]] = {}
+        self.held = 0
+
+    def __reduce__(self) -> tuple:
+        return Segmenter, (self.words, self.tags)
 
     def tag(self, word: str) -> str:
         known = self.words.get(word)
         return self.tags.get(word) or (known[1] if known else "eng" if LATIN.fullmatch(word) else "x")
 
-    def cut(self, text: str) -> list[tuple[str, str, int, int]]:
+    def cut(self, text: str) -> list[Token]:
         """``word, tag, start, end`` in order."""
-        out: list[tuple[str, str, int, int]] = []
+        if text in self.memo:
+            return self.memo[text]
+        out: list[Token] = []
         at = 0
         for m in LATIN.finditer(text):
             self._cut_run(text, at, m.start(), out)
             out.append((m[0], self.tag(m[0]), m.start(), m.end()))
             at = m.end()
         self._cut_run(text, at, len(text), out)
+        self.held += len(text)
+        if self.held > REMEMBERED:
+            self.memo.clear()
+            self.held = len(text)
+        self.memo[text] = out
         return out
 
-    def _cut_run(self, text: str, begin: int, end: int, out: list) -> None:
+    def _cut_run(self, text: str, begin: int, end: int, out: list[Token]) -> None:
+        """Of equal products the longer word at the first difference."""
         n = end - begin
+        if not n:
+            return
+        found: list[list[int]] = [[] for _ in range(n)]  # words by their start, shorter ones first
+        if self.sizes:
+            for last, i in self.automaton.iter(text, begin, end):
+                found[last + 1 - self.sizes[i] - begin].append(i)
         best = [0.0] * (n + 1)
-        step = [1] * (n + 1)
+        step = [1] * n
         for i in range(n - 1, -1, -1):
-            best[i] = best[i + 1] - self.total
-            for k in range(1, min(self.longest, n - i) + 1):
-                known = self.words.get(text[begin + i : begin + i + k])
-                if known and known[0] > 0 and (score := log(known[0]) - self.total + best[i + k]) >= best[i]:
-                    best[i], step[i] = score, k
+            top, far = best[i + 1] - self.total, 1
+            for k in found[i]:
+                size = self.sizes[k]
+                score = self.scores[k] + best[i + size]
+                if score >= top:
+                    top, far = score, size
+            best[i], step[i] = top, far
         i = 0
         while i < n:
             word = text[begin + i : begin + i + step[i]]

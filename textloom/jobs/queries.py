@@ -11,6 +11,7 @@ from textloom.functions import rewriting as R
 from textloom.functions import text as T
 from textloom.functions.sample_script import SCRIPT as SCRIPT_CHARS
 from textloom.functions.sample_script import as_script, as_script_sql
+from textloom.jobs import golden
 from textloom.operators import correcting, lexicon, mining, ngrams, parsing
 from textloom.sources import tables
 from textloom.streaming import jobs
@@ -806,3 +807,93 @@ def dependency_verdicts(spark, sf_dir):
     words, roles = _parts(spark, sf_dir)
     deprel = F.element_at(F.array(*map(F.lit, _DEPRELS)), ((F.col("idx") + F.col("doc_id")) % 7 + 1).cast("int"))
     return parsing.dependency_verdicts(words.withColumn("deprel", deprel), roles).withColumn("idx", F.col("idx").cast("long"))
+
+
+# --- cases with known results: each document gets one by its id ------------------------------------------------------------
+
+
+def _quoted(x) -> str:
+    return "NULL" if x is None else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
+
+
+def _bank(spark, sf_dir, rows: list[tuple], schema: str) -> DataFrame:
+    """``doc_id`` and the columns of the case that its number falls on; the cases are fixed, so they are broadcast."""
+    cases = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], f"k long, {schema}")
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    return docs.join(F.broadcast(cases), F.pmod("doc_id", F.lit(len(rows))) == F.col("k")).drop("k")
+
+
+def _bank_sql(rows: list[tuple], names: str, select: str) -> str:
+    values = ", ".join("(" + ", ".join(map(_quoted, (k, *r))) + ")" for k, r in enumerate(rows))
+    return f"WITH bank(k, {names}) AS (VALUES {values}) SELECT {select} FROM documents JOIN bank ON doc_id % {len(rows)} = k"
+
+
+def _cases(name: str, cases: list[tuple[str, str]], apply: Callable[[DataFrame], DataFrame]) -> None:
+    """A query ``golden_<name>``: ``apply`` on ``doc_id, text`` gives ``doc_id, text`` with the expected texts."""
+
+    def run(spark, sf_dir):
+        return apply(_bank(spark, sf_dir, [(a,) for a, _ in cases], "text string")).select("doc_id", "text")
+
+    run.__name__ = f"golden_{name}"
+    query(_bank_sql([(b,) for _, b in cases], "text", "doc_id, bank.text AS text"))(run)
+
+
+def _known(df: DataFrame, words: dict[str, tuple[int, str]]) -> DataFrame:
+    return df.sparkSession.createDataFrame([(w, f, t) for w, (f, t) in words.items()], "word string, freq long, tag string")
+
+
+_cases("confusions", golden.sentences(), lambda df: correcting.correct_confusions(df, _known(df, golden.lexicon())))
+_cases("numerals", [*golden.NUMERALS.items()], lambda df: df.withColumn("text", correcting.text_udf(R.normalize_numerals)("text")))
+_cases("quotes", [*golden.QUOTES.items()], lambda df: df.withColumn("text", correcting.text_udf(R.close_quotes)("text")))
+_cases("variants", [*golden.VARIANTS.items()], lambda df: correcting.standardize_variants(df, df.sparkSession.createDataFrame([*golden.VARIANT_FORMS.items()], "deprecated string, preferred string"), _known(df, golden.VARIANT_WORDS)))
+
+
+def _proofread_cases(df: DataFrame) -> DataFrame:
+    stages = correcting.default_stages(**golden.PROOFREAD_TABLES, typos=[R.Rule(*p) for p in golden.PROOFREAD_TYPOS], lexicon=golden.lexicon())
+    return correcting.proofread(df, stages).select("doc_id", F.col("corrected").alias("text"))
+
+
+_cases("proofread", [*golden.PROOFREAD.items()], _proofread_cases)
+
+
+@query(_bank_sql([(b,) for b in golden.CLAUSES.values()], "text", "doc_id, bank.text AS text"))
+def golden_clauses(spark, sf_dir):
+    """Clauses given as tagged words."""
+    words = _bank(spark, sf_dir, [(a,) for a in golden.CLAUSES], "text string").select("doc_id", F.posexplode(F.split("text", " ")).alias("idx", "t"))
+    return correcting.correct_tagged(words.select("doc_id", "idx", F.substring_index("t", "/", 1).alias("word"), F.substring_index("t", "/", -1).alias("tag"), F.lit(1000).alias("freq")))
+
+
+@query(_bank_sql([(c,) for *_, c in golden.NAMED], "text", "doc_id, bank.text AS text"))
+def golden_named(spark, sf_dir):
+    """Names from a model and from rules are united and left as they are."""
+    rows = _bank(spark, sf_dir, [(a, [{"start": x, "end": y} for x, y in spans]) for a, spans, _ in golden.NAMED], "text string, spans array<struct<start: int, end: int>>")
+    found = rows.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*")
+    known = _known(rows, golden.lexicon())
+    names = correcting.unite_spans(lexicon.filter_ner_spans(found, rows, known), correcting.proper_noun_spans(rows, known))
+    return correcting.correct_confusions(rows.select("doc_id", "text"), known, names=names)
+
+
+@query(_bank_sql([(",".join(f"{a}:{b}" for a, b in v),) for v in golden.NAMES.values()], "spans", "doc_id, spans"))
+def golden_names(spark, sf_dir):
+    rows = _bank(spark, sf_dir, [(a,) for a in golden.NAMES], "text string")
+    spans = correcting.proper_noun_spans(rows, _known(rows, golden.lexicon())).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("s"))
+    return rows.join(spans, "doc_id", "left").select("doc_id", F.array_join(F.transform(F.coalesce("s", F.array()), lambda x: F.concat_ws(":", x["start"], x["end"])), ",").alias("spans"))
+
+
+@query(_bank_sql([(b,) for b in golden.SEGMENTS.values()], "words", "doc_id, words"))
+def golden_segments(spark, sf_dir):
+    rows = _bank(spark, sf_dir, [(a,) for a in golden.SEGMENTS], "text string")
+    cut = correcting.tag_tokens(rows, _known(rows, golden.SEGMENT_WORDS)).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", "word", "tag"))).alias("t"))
+    return cut.select("doc_id", F.array_join(F.transform("t", lambda x: F.concat_ws("/", x["word"], x["tag"])), " ").alias("words"))
+
+
+_LEARNED = [(a, b, ",".join(f"{o}>{n}" for o, n in pairs)) for a, b, pairs in golden.DIFFS]
+
+
+@query(_bank_sql([(c,) for *_, c in _LEARNED], "pairs", "doc_id, pairs") + " WHERE pairs <> ''")
+def golden_learned(spark, sf_dir):
+    rows = _bank(spark, sf_dir, [(a, b) for a, b, _ in _LEARNED], "raw string, corrected string")
+    known = _known(rows, {w: (n, "n") for w, n in golden.DIFF_WORDS.items()})
+    diffs = correcting.extract_diffs(rows.select(F.col("doc_id").alias("event_id"), "raw", "corrected", F.lit(False).alias("manual"), F.lit(None).cast("timestamp").alias("ts")), known)
+    own = diffs.groupBy(F.col("event_id").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("seq", "old", "new"))).alias("d"))
+    return own.select("doc_id", F.array_join(F.transform("d", lambda x: F.concat(x["old"], F.lit(">"), x["new"])), ",").alias("pairs"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 from typing import Any
 
 import pandas as pd
@@ -16,6 +17,7 @@ from textloom.functions import confusing, particles
 from textloom.functions import rewriting as R
 from textloom.functions.segmenting import Segmenter
 from textloom.functions.text import BA_OBJECTS, MARKS, chunk_text, is_mixed_language
+from textloom.sources.tables import unused
 
 #: Rule tables up to this size are broadcast; they are lists that people write, not data that grows with the corpus.
 MOST_RULES = 200_000
@@ -83,8 +85,8 @@ def collect_lexicon(lexicon: DataFrame, most: int = MOST_WORDS) -> dict[str, tup
 class Particles:
     """的, 地 and 得: pre-fixes, fixed phrases, the rules by words and tags in each clause, fixed phrases again."""
 
-    def __init__(self, lexicon: dict[str, tuple[int, str]], phrases: Iterable[R.Rule] = ()) -> None:
-        self.words, self.phrases, self.cutter = lexicon, R.Rewriter(phrases), Segmenter(lexicon)
+    def __init__(self, lexicon: dict[str, tuple[int, str]], phrases: Iterable[R.Rule] = (), cutter: Segmenter | None = None) -> None:
+        self.words, self.phrases, self.cutter = lexicon, R.Rewriter(phrases), cutter or Segmenter(lexicon)
 
     def by_tags(self, text: str) -> str:
         def one(m: re.Match) -> str:
@@ -107,15 +109,16 @@ def default_stages(
     pre-fixes and phrases alone, and confusions and variants not at all. Reasons and sources are fixed values."""
     to_simple = str.maketrans(*simplified)
     words = lexicon or {}
+    cutter = Segmenter(words)  # one for all stages
     stages = [
         R.Stage("numerals", "中文数字 → 阿拉伯数字", "数字规范", 0.95, R.normalize_numerals),
         R.Stage("simplified", "繁体 → 简体", "繁简转换", 1.0, lambda t: t.translate(to_simple)),
-        R.Stage("particles", "的/地/得 语法修正", "语法", 0.9, Particles(words, phrases)),
+        R.Stage("particles", "的/地/得 语法修正", "语法", 0.9, Particles(words, phrases, cutter)),
         R.Stage("terms", "术语还原", "术语", 0.95, R.Terms(terms)),
         R.Stage("typos", "错别字/异形词修正", "错别字", 0.95, R.Rewriter(typos)),
-        R.Stage("confusions", "同音字纠错", "同音字", 0.85, confusing.Confusions(words, model)),
+        R.Stage("confusions", "同音字纠错", "同音字", 0.85, confusing.Confusions(words, model, cutter)),
         R.Stage("ba", "ASR 声母混淆修正（把X切入→接入）", "语境混淆", 0.95, _ba),
-        R.Stage("variants", "异形词规范（GF 1001-2001）", "异形词", 0.9, confusing.Variants(variants or {}, words)),
+        R.Stage("variants", "异形词规范（GF 1001-2001）", "异形词", 0.9, confusing.Variants(variants or {}, words, cutter)),
         R.Stage("user", "用户自定义替换", "用户替换", 1.0, R.Rewriter(user)),
         R.Stage("learned", "自学习规则", "自学习", 0.9, R.Rewriter(learned)),
         R.Stage("punctuation", "标点归一 / 引号配对", "标点", 0.95, lambda t: R.close_quotes(_collapse(t))),
@@ -135,9 +138,35 @@ def correct_particles(df: DataFrame, lexicon: DataFrame, phrases: Iterable[R.Rul
     return df.withColumn(text_col, _shared_udf(df, Particles(collect_lexicon(lexicon), phrases))(text_col))
 
 
-def correct_confusions(df: DataFrame, lexicon: DataFrame, model: confusing.Model | None = None, text_col: str = "text") -> DataFrame:
-    """``df`` with the confusable characters of ``text_col`` corrected; null stays null."""
-    return df.withColumn(text_col, _shared_udf(df, confusing.Confusions(collect_lexicon(lexicon), model))(text_col))
+def correct_tagged(tokens: DataFrame) -> DataFrame:
+    """``doc_id, text``: clauses put together from their words with the particles among them decided by words and tags, for tags
+    from any tagger: ``doc_id, idx, word, tag, freq``, one clause for each id. A clause's words come together in one array."""
+    own = tokens.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", "word", F.coalesce("tag", F.lit("x")).alias("tag"), F.coalesce("freq", F.lit(0)).cast("long").alias("freq")))).alias("t"))
+
+    @F.pandas_udf("string")
+    def decide(clauses: pd.Series) -> pd.Series:
+        return clauses.map(lambda c: particles.decide([(x["word"], x["tag"], x["freq"]) for x in c if x["word"]]))
+
+    return own.select("doc_id", decide("t").alias("text"))
+
+
+def correct_confusions(df: DataFrame, lexicon: DataFrame, model: confusing.Model | None = None, text_col: str = "text", names: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
+    """``df`` with the confusable characters of ``text_col`` corrected; null stays null. ``model`` decides what the lexicon
+    leaves (``ngrams.collect_model`` makes one from n-gram tables). ``names`` (``doc_id, start, end``) are stretches that a
+    named-entity model found: those that ``confusing.name_places`` lets count stay as they are, as do the names that rules
+    find. They come to a text as one array; a text's spans are bounded by its length."""
+    shared = _shared(df, confusing.Confusions(collect_lexicon(lexicon), model))
+    if names is None:
+        return df.withColumn(text_col, text_udf(lambda t: shared()(t))(text_col))
+    of, own = unused(df, "doc", "spans")
+    spans = names.groupBy(F.col("doc_id").alias(of)).agg(F.collect_set(F.struct("start", "end")).alias(own))
+
+    @F.pandas_udf("string")
+    def fix(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else shared()(t, [(x["start"], x["end"]) for x in s] if s is not None else ()) for t, s in zip(texts, spans, strict=True)], dtype=object)
+
+    joined = df.join(spans, F.col(id_col) == F.col(of), "left")
+    return joined.withColumn(text_col, fix(text_col, own)).select(*df.columns)
 
 
 def standardize_variants(df: DataFrame, variants: DataFrame, lexicon: DataFrame, text_col: str = "text") -> DataFrame:
@@ -166,6 +195,17 @@ def proper_noun_spans(df: DataFrame, lexicon: DataFrame, id_col: str = "doc_id",
     return df.select(F.col(id_col).alias("doc_id"), F.explode(spans.asNondeterministic()(text_col)).alias("s")).select("doc_id", "s.start", "s.end")
 
 
+def unite_spans(*tables: DataFrame) -> DataFrame:
+    """``doc_id, start, end``: what span tables of the same columns cover together; spans that overlap or touch are one. Empty spans
+    and spans with nulls are left out. A text's spans are put in one array, which its length bounds, and united in the row."""
+    every = reduce(DataFrame.unionByName, (t.select("doc_id", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end")) for t in tables))
+    own = every.filter("doc_id is not null and start < end").groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("s"))
+    last = lambda done: F.element_at(done, -1)
+    grown = lambda done, x: F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last(done)["start"].alias("start"), F.greatest(last(done)["end"], x["end"]).alias("end"))))
+    united = F.aggregate(F.slice("s", 2, F.greatest(F.size("s") - 1, F.lit(0))), F.slice("s", 1, 1), lambda done, x: F.when(x["start"] <= last(done)["end"], grown(done, x)).otherwise(F.concat(done, F.array(x))))
+    return own.select("doc_id", F.explode(united).alias("x")).select("doc_id", "x.start", "x.end")
+
+
 def _shared_udf(df: DataFrame, fn: Callable[[str], str]) -> Callable[[Column | str], Column]:
     """``text_udf`` of a function that is large: it is sent to each executor once."""
     shared = _shared(df, fn)
@@ -248,9 +288,10 @@ def apply_polish(prompts: DataFrame, fn: Callable[[Column], Column]) -> DataFram
 
 def polished(df: DataFrame, fn: Callable[[Column], Column], template: str, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``df`` with ``text_col`` polished: prompts, answers and chunks put together again. Null and empty texts stay."""
-    answers = apply_polish(polish_prompts(df, template, id_col=id_col, text_col=text_col, **how), fn).select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), F.col("text").alias("__new"))
-    joined = df.join(answers, F.col(id_col).eqNullSafe(F.col("__id")) & (F.md5(text_col) == F.col("__row")), "left")
-    return joined.withColumn(text_col, F.coalesce("__new", text_col)).select(*df.columns)
+    own, row, new = unused(df, "id", "row", "new")
+    answers = apply_polish(polish_prompts(df, template, id_col=id_col, text_col=text_col, **how), fn).select("doc_id", "row", "text").toDF(own, row, new)
+    joined = df.join(answers, F.col(id_col).eqNullSafe(F.col(own)) & (F.md5(text_col) == F.col(row)), "left")
+    return joined.withColumn(text_col, F.coalesce(new, text_col)).select(*df.columns)
 
 
 # --- tokens, parses, differences ----------------------------------------------------------------------------------------
@@ -296,8 +337,9 @@ def conflicting_pairs(pairs: DataFrame) -> DataFrame:
         return pd.Series([[{"at": i, "to": c} for i, c in R.particle_swaps(a, b)] for a, b in zip(raw, corrected, strict=True)])
 
     may = pairs.filter((F.col("raw") != F.col("corrected")) & (F.length("raw") == F.length("verdict")) & F.col("raw").rlike("[的地得]"))
-    told = may.withColumn("__s", swaps("raw", "corrected"))
-    return told.filter(F.exists("__s", lambda x: F.substring(F.col("verdict"), x["at"] + 1, F.lit(1)) != x["to"])).select("event_id")
+    (own,) = unused(may, "swaps")
+    told = may.withColumn(own, swaps("raw", "corrected"))
+    return told.filter(F.exists(own, lambda x: F.substring(F.col("verdict"), x["at"] + 1, F.lit(1)) != x["to"])).select("event_id")
 
 
 def merge_verdicts(rule: Column | str, parse: Column | str) -> Column:

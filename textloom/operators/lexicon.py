@@ -63,9 +63,12 @@ def new_words(words: DataFrame, lexicon: DataFrame, user_terms: DataFrame | None
 
 
 def filter_ner_spans(spans: DataFrame, texts: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """``doc_id, start, end``: the spans of two to four characters whose text is no reliable word; each once."""
-    named = spans.filter((F.col("end") - F.col("start")).between(2, 4)).join(texts.select("doc_id", "text"), "doc_id")
-    named = named.select("doc_id", "start", "end", F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("word"))
+    """``doc_id, start, end``: the spans of two to four characters whose text is no reliable word; each once. A text meets its
+    spans as one array and gives the words under them, so it is read once and not copied."""
+    own = spans.filter((F.col("end") - F.col("start")).between(2, 4)).groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("s"))
+    both = texts.select("doc_id", "text").join(own, "doc_id")
+    word = lambda x: F.substring(F.col("text"), x["start"] + 1, x["end"] - x["start"])
+    named = both.select("doc_id", F.explode(F.transform("s", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), word(x).alias("word")))).alias("x")).select("doc_id", "x.*")
     return named.join(lexicon.filter(F.col("freq") >= RELIABLE).select("word"), "word", "left_anti").select("doc_id", "start", "end").distinct()
 
 

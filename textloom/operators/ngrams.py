@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from textloom.functions.scoring import BIGRAM_MIX, EVIDENCE, TRIGRAM_MIX, NgramModel
 from textloom.functions.text import keep_charset, split_sentences, strip_tags, to_simplified
+from textloom.sources.tables import settled
 
 LEAST_COUNT = 2
 SMALL_CORPUS = 10_000_000
-#: The weights of the bigram mix (pair, unigram, uniform) and of the trigram mix (triple, bigram, unigram, uniform).
-BIGRAM_MIX = (0.85, 0.12, 0.03)
-TRIGRAM_MIX = (0.80, 0.15, 0.04, 0.01)
-EVIDENCE = 3
+#: N-grams that a model in memory holds at most (12 bytes each); larger tables are refused, and scored by joins.
+MOST_PAIRS = 8_000_000
 
 
 def segments(df: DataFrame, text_col: str = "text", pairs: tuple[str, str] | None = None, lines: bool = False) -> DataFrame:
@@ -89,6 +89,34 @@ def score_next(df: DataFrame, unigrams: DataFrame, bigrams: DataFrame, trigrams:
     return out.withColumn("log_p", F.log(p)).drop(*drop)
 
 
+def collect_model(unigrams: DataFrame, bigrams: DataFrame, trigrams: DataFrame | None = None, most: int = MOST_PAIRS, least_evidence: int = EVIDENCE) -> NgramModel:
+    """The n-gram tables as one model for use inside tasks, which scores as ``score_candidates`` does. The tables follow the
+    vocabulary, not the corpus; one of more than ``most`` rows is refused."""
+    tables = []
+    for df, names in ((unigrams, ["c"]), (bigrams, ["c1", "c2"]), (trigrams, ["c1", "c2", "c3"])):
+        if df is None:
+            tables.append(None)
+            continue
+        got = df.select(*names, F.col("n").cast("long").alias("n")).limit(most + 1).toArrow()
+        if got.num_rows > most:
+            raise ValueError(f"more than {most} n-grams")
+        tables.append([*(got[c].to_numpy().astype(str) for c in names), got["n"].to_numpy()])
+    one, two, three = tables
+    return NgramModel(dict(zip(one[0].tolist(), one[1].tolist(), strict=True)), two, three, least_evidence)
+
+
+#: Answers to distinct windows that are broadcast to the places (some 100 MB); more are joined by a shuffle.
+MOST_ANSWERS = 1_000_000
+
+
+def _answered(places: DataFrame, answers: DataFrame, key: list[str]) -> DataFrame:
+    """``places`` with what the distinct windows among them were answered. Windows follow the script, not the corpus, and some are
+    very frequent, so their answers are written, counted and, up to MOST_ANSWERS, brought to the places."""
+    answers = settled(answers)
+    few = answers.limit(MOST_ANSWERS + 1).count() <= MOST_ANSWERS
+    return places.join(F.broadcast(answers) if few else answers, key)
+
+
 #: Confusable characters up to this number are looked for in the row.
 MOST_CONFUSABLE = 2_000
 
@@ -124,7 +152,7 @@ def confusion_candidates(df: DataFrame, confusions: DataFrame, lexicon: DataFram
     best = known.groupBy(*key).agg(*(F.max(F.when(F.col("side") == side, F.coalesce("freq", F.lit(0))).otherwise(0)).cast("long").alias(name) for side, name in (("o", "orig_freq"), ("c", "cand_freq"))))
     o, c = F.col("orig_freq"), F.col("cand_freq")
     verdict = F.when((c > 0) & ((o == 0) | (c >= 10 * o)), True).when((c == 0) & (o > 0), False)
-    return places.join(best.withColumn("verdict", verdict), key).select("doc_id", "pos", *key, "orig_freq", "cand_freq", "verdict")
+    return _answered(places, best.withColumn("verdict", verdict), key).select("doc_id", "pos", *key, "orig_freq", "cand_freq", "verdict")
 
 
 def score_candidates(df: DataFrame, confusions: DataFrame, unigrams: DataFrame, bigrams: DataFrame, trigrams: DataFrame | None = None, least_evidence: int = EVIDENCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -151,4 +179,4 @@ def score_candidates(df: DataFrame, confusions: DataFrame, unigrams: DataFrame,
         delta = delta + F.when(has["m"], of("mc", "log_p") - of("mo", "log_p")).otherwise(0.0)
     got = scored.groupBy(*key).agg(evidence.cast("long").alias("evidence"), delta.alias("delta"))
     got = got.withColumn("delta", F.when(F.col("evidence") >= least_evidence, F.col("delta")))
-    return places.join(got, key).select("doc_id", "pos", "orig", "cand", "evidence", "delta")
+    return _answered(places, got, key).select("doc_id", "pos", "orig", "cand", "evidence", "delta")
