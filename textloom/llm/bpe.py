@@ -12,7 +12,7 @@ import json
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain, count
+from itertools import chain
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -264,22 +264,27 @@ class Coder:
         first = own[order[fresh]]
         back = np.empty(len(key), np.int64)
         back[order] = np.cumsum(fresh) - 1
-        code[own] = np.array(self._numbers(ordered[fresh].tolist(), lambda i: body[at[first[i]] : at[first[i]] + size[first[i]]]), np.int64)[back]
+        code[own] = np.array(self._numbers(ordered[fresh].tolist(), body, at[first], size[first]), np.int64)[back]
         other = size > COMPARED
         hashed = np.flatnonzero((size > EXACT) & ~other)
         other[hashed] = (self.held[:, code[hashed]] != word_bytes(letters, at[hashed], size[hashed])).any(0)  # two words of one key
         words = [body[a : a + n] for a, n in zip(at[other].tolist(), size[other].tolist(), strict=True)]
-        code[other] = self._numbers(words, words.__getitem__)
+        code[other] = self._numbers(words, body, at[other], size[other])
         return code, n_words
 
-    def _numbers(self, keys: list[int] | list[bytes], word: Callable[[int], bytes]) -> list[int]:
-        """The cache's numbers of words by their keys; new ones are learned, ``word`` gives their bytes."""
+    def _numbers(self, keys: list[int] | list[bytes], body: bytes, at: np.ndarray, size: np.ndarray) -> list[int]:
+        """The cache's numbers of words by their keys; new ones are learned from their bytes."""
         found = list(map(self.code.get, keys))
-        if None in found:
-            new = {k: i for i, k in enumerate(keys) if found[i] is None}
-            self._learn([word(i) for i in new.values()])
-            self.code.update(zip(new, count(len(self.code)), strict=False))
-            found = list(map(self.code.__getitem__, keys))
+        new = [i for i, x in enumerate(found) if x is None]
+        if new:
+            fresh = dict(zip((keys[i] for i in reversed(new)), reversed(new), strict=True))
+            first = list(fresh.values())[::-1]
+            known = len(self.code)
+            self._learn([body[a : a + n] for a, n in zip(at[first].tolist(), size[first].tolist(), strict=True)])
+            for n, i in enumerate(first):
+                self.code[keys[i]] = known + n
+            for i in new:
+                found[i] = self.code[keys[i]]
         return found
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
