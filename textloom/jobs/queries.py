@@ -761,14 +761,17 @@ def xml_corrections(spark, sf_dir):
 
 
 _PIECES = f"[的地得]|[{''.join(c for c in dict.fromkeys(SCRIPT_CHARS) if c not in '的地得' and T.CJK[0] <= c <= T.CJK[-1])}]+"
-_ROLE = "CASE (length(word) + n) % 12 WHEN 0 THEN 'object_verb' WHEN 1 THEN 'object_preposition' WHEN 2 THEN 'stop' WHEN 3 THEN 'stop' WHEN 4 THEN 'gerund' WHEN 5 THEN 'gerund' WHEN 6 THEN 'compound_head' WHEN 7 THEN 'nominal_modifier' WHEN 8 THEN 'predicate' WHEN 9 THEN 'directional' WHEN 10 THEN 'embedded' ELSE 'none' END"
+_ROLE = "CASE (length(word) + n) % 12 WHEN 0 THEN 'object_verb' WHEN 1 THEN 'object_preposition' WHEN 2 THEN 'stop' WHEN 3 THEN 'stop' WHEN 4 THEN 'gerund' WHEN 5 THEN 'gerund' WHEN 6 THEN 'compound_head' WHEN 7 THEN 'nominal_modifier' WHEN 8 THEN 'predicate' WHEN 9 THEN 'directional' WHEN 10 THEN 'embedded' ELSE 'technical_verb' END"
 _PARTS = f"""{SCRIPT}, arr AS (SELECT doc_id, regexp_extract_all(text, '{_PIECES}') AS ws FROM script), parts AS (SELECT doc_id, unnest(range(0, len(ws))) AS idx, unnest(ws) AS word FROM arr),
 roles AS (SELECT word, {_ROLE} AS role FROM (SELECT word, count(*) AS n FROM parts WHERE word NOT IN ('的', '地', '得') GROUP BY word)),
 seen AS (SELECT p.doc_id, p.idx, p.word, coalesce(role, 'none') AS role, (p.idx + p.doc_id) % 7 AS k FROM parts p LEFT JOIN roles r ON p.word = r.word),
 near AS (SELECT *, lag(role, 1) OVER w AS p1r, lead(role, 1) OVER w AS n1r, lead(role, 2) OVER w AS n2r, lag(word, 1) OVER w AS p1, lag(word, 2) OVER w AS p2, lead(word, 1) OVER w AS n1, lead(word, 2) OVER w AS n2, lag(k, 1) OVER w AS p1k, lead(k, 1) OVER w AS n1k,
 max(CASE WHEN role = 'object_verb' THEN idx END) OVER (w ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS v, max(CASE WHEN role = 'stop' THEN idx END) OVER (w ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS vs,
 max(CASE WHEN role = 'object_preposition' THEN idx END) OVER (w ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS o, max(CASE WHEN role = 'stop' THEN idx END) OVER (w ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS os FROM seen WINDOW w AS (PARTITION BY doc_id ORDER BY idx)),
-told AS (SELECT *, coalesce(v > coalesce(vs, -1), false) OR coalesce(o > coalesce(os, -1), false) AS object_left FROM near WHERE word IN ('的', '地', '得'))"""
+pairs AS (SELECT DISTINCT n1 || n2 AS pair FROM near WHERE word IN ('的', '地', '得') AND n1 IS NOT NULL AND n2 IS NOT NULL), cuts AS (SELECT pair, unnest(range(1, length(pair))) AS k FROM pairs),
+begun AS (SELECT pair, substring(pair, k + 1) AS rest FROM cuts JOIN roles ON substring(pair, 1, k) = roles.word AND role = 'gerund'), ends AS (SELECT pair, rest, unnest(range(1, length(rest) + 1)) AS m FROM begun),
+compounds AS (SELECT DISTINCT pair FROM ends JOIN roles ON substring(rest, 1, m) = roles.word AND role = 'compound_head'),
+told AS (SELECT *, coalesce(v > coalesce(vs, -1), false) OR coalesce(o > coalesce(os, -1), false) AS object_left, coalesce(n1 || n2 IN (SELECT pair FROM compounds), false) AS compound FROM near WHERE word IN ('的', '地', '得'))"""
 
 
 def _parts(spark, sf_dir):
@@ -781,7 +784,7 @@ def _parts(spark, sf_dir):
 
 @query(f"""WITH {_PARTS}, d AS (SELECT *, CASE WHEN k < 4 THEN 'DVP' WHEN k = 4 THEN 'CP' WHEN k = 5 THEN 'DNP' ELSE 'IP' END AS label, CASE WHEN k = 1 THEN 'NP' WHEN k = 2 THEN NULL ELSE 'VP' END AS grandparent, CASE WHEN k = 3 THEN 'QP' ELSE 'VP' END AS inner_label FROM told),
 x AS (SELECT *, CASE WHEN label = 'DVP' AND coalesce(grandparent <> 'NP', true) AND inner_label IN ('VP', 'ADVP') THEN '地' WHEN label IN ('DVP', 'DNP', 'CP') THEN '的' ELSE word END AS wants FROM d)
-SELECT doc_id, idx::BIGINT AS idx, word, CASE WHEN wants = '地' AND (object_left OR coalesce(n1r = 'gerund' AND n2r = 'compound_head', false) OR coalesce(p1r = 'nominal_modifier' AND n1r = 'gerund', false)) THEN word ELSE wants END AS verdict FROM x""")
+SELECT doc_id, idx::BIGINT AS idx, word, CASE WHEN wants = '地' AND (object_left OR compound OR coalesce(p1r = 'nominal_modifier' AND n1r IN ('gerund', 'technical_verb'), false)) THEN word ELSE wants END AS verdict FROM x""")
 def phrase_verdicts(spark, sf_dir):
     """Phrase roles by position, with vetoing words by frequency."""
     words, roles = _parts(spark, sf_dir)
@@ -798,9 +801,9 @@ _DEPREL = lambda c: "CASE " + c + "".join(f" WHEN {i} THEN '{d.lower()}'" for i,
 x AS (SELECT *, CASE WHEN word <> '的' AND p1d = 'assmod' AND n1d = 'assmod' THEN '的' ELSE rel END AS new FROM m)
 SELECT doc_id, idx::BIGINT AS idx, word, CASE WHEN coalesce(p1r = 'embedded', false) OR coalesce(p1 LIKE '%地', false)
 OR (word = '的' AND rel IN ('地', '得') AND (coalesce(n2 = '的', false) OR coalesce(p2 = '的' AND length(p1) = 1, false) OR (n1 IS NULL AND p1 IS NOT NULL) OR coalesce(n1 IN ('吧', '呢', '啊'), false)))
-OR (word = '的' AND rel = '地' AND coalesce(p1r = 'nominal_modifier' AND n1r = 'gerund', false))
+OR (word = '的' AND rel = '地' AND coalesce(p1r = 'nominal_modifier' AND n1r IN ('gerund', 'technical_verb'), false))
 OR (word = '的' AND new = '得' AND p1 IS NOT NULL AND (coalesce(p1r, '') <> 'predicate' OR coalesce(p1r = 'directional', false)))
-OR (word = '的' AND new = '地' AND p1 IS NOT NULL AND (object_left OR coalesce(n1r = 'gerund' AND n2r = 'compound_head', false) OR coalesce(n1d = 'dobj', false)))
+OR (word = '的' AND new = '地' AND p1 IS NOT NULL AND (object_left OR compound OR coalesce(n1d = 'dobj', false)))
 THEN word ELSE coalesce(new, word) END AS verdict FROM x""")
 def dependency_verdicts(spark, sf_dir):
     """Dependency relations by position, with guarding words by frequency."""
