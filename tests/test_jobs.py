@@ -23,7 +23,7 @@ def test_rules_promote_and_merge(spark):
     merged = mining.promote_rules(second, first)
     assert {(r.old, r.promoted) for r in merged.collect()} == {(r.old, r.promoted) for r in rules.collect()}
     shuffled = mining.promote_rules(diffs.repartition(5).orderBy(F.desc("ts")))
-    assert rows(shuffled) == rows(rules)
+    assert rows(shuffled.drop("sketch")) == rows(rules.drop("sketch"))
     assert mining.promote_rules(diffs.filter("false")).count() == 0
 
 

@@ -293,18 +293,18 @@ _SHAPES = "shapes AS (SELECT DISTINCT substring(word, 1, 1) AS a, substring(word
 
 @query(f"WITH {_RULES} SELECT old, new, n_sentences, promoted, first_seen FROM rules")
 def rules_promoted(spark, sf_dir):
-    return mining.promote_rules(_diffs(spark, sf_dir)).drop("raws")
+    return mining.promote_rules(_diffs(spark, sf_dir)).drop("raws", "sketch")
 
 
 @query(f"""WITH {_DIFFS}, h AS (SELECT old, new, md5(raw)[1:16] AS h, event_id % 2 AS part, manual, ts FROM diffs),
 f AS (SELECT old, new, count(DISTINCT h) AS n, bool_or(manual) OR count(DISTINCT h) >= 2 AS promoted FROM h WHERE part = 0 GROUP BY 1, 2),
 a AS (SELECT old, new, count(DISTINCT h) AS n, bool_or(manual) AS manual, min(ts) AS first_seen FROM h GROUP BY 1, 2)
-SELECT a.old, a.new, CASE WHEN f.promoted THEN f.n ELSE a.n END AS n_sentences, coalesce(f.promoted, false) OR a.manual OR a.n >= 2 AS promoted, first_seen FROM a LEFT JOIN f ON a.old = f.old AND a.new = f.new""")
+SELECT a.old, a.new, a.n AS n_sentences, coalesce(f.promoted, false) OR a.manual OR a.n >= 2 AS promoted, first_seen FROM a LEFT JOIN f ON a.old = f.old AND a.new = f.new""")
 def rules_merged(spark, sf_dir):
     """The corrections in two batches, the second merged into the store of the first."""
     diffs = _diffs(spark, sf_dir)
     store = tables.settled(mining.promote_rules(diffs.filter("event_id % 2 = 0")))
-    return mining.promote_rules(diffs.filter("event_id % 2 = 1"), store).drop("raws")
+    return mining.promote_rules(diffs.filter("event_id % 2 = 1"), store).drop("raws", "sketch")
 
 
 @query(f"WITH {_RULES} SELECT old, new, n_sentences, promoted, first_seen FROM rules")
@@ -315,7 +315,7 @@ def rule_store(spark, sf_dir):
     tables.write_rules(rules, path)
     tables.clear_rules(spark, path)
     tables.write_rules(rules, path)
-    return tables.read_rules(spark, path).drop("raws")
+    return tables.read_rules(spark, path).drop("raws", "sketch")
 
 
 def _as_stream(df, path):
@@ -335,7 +335,15 @@ def stream_rules(spark, sf_dir):
     """The corrections as a stream of one batch, merged into a rule store."""
     path = tables.scratch(spark)
     jobs.stream_promote_rules(_as_stream(_diffs(spark, sf_dir), f"{path}/in"), f"{path}/store", f"{path}/state").awaitTermination()
-    return tables.read_rules(spark, f"{path}/store").drop("raws")
+    return tables.read_rules(spark, f"{path}/store").drop("raws", "sketch")
+
+
+@query(f"WITH {_RULES} SELECT old, new, make_timestamp((first_seen + 1000000) * 1000000) AS first_seen FROM rules WHERE promoted")
+def stream_promotions(spark, sf_dir):
+    """The corrections as a stream with state, every row twice; a rule comes out when its evidence does."""
+    path = tables.scratch(spark)
+    rows = _diffs(spark, sf_dir).withColumn("ts", F.timestamp_seconds(F.col("ts") + 1_000_000))  # streams begin at time 0
+    return _of_stream(jobs.stream_promotions(_as_stream(rows.unionByName(rows), f"{path}/in")), path)
 
 
 @query(f"""WITH {_TOKENS} SELECT time_bucket(INTERVAL 10 MINUTE, make_timestamp(doc_id * 1000000)) AS start_at, word AS source, count(*) AS n FROM tokens WHERE length(word) = 1 GROUP BY 1, 2""")

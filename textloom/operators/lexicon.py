@@ -78,11 +78,22 @@ CANDIDATE = f"[A-Za-z][A-Za-z0-9._+\\-{CJK} ]{{0,31}}"
 MOST_RESTORED = 200_000
 
 
+def _remainders(s: Column, most: Column) -> Column:
+    """What is left of a string after up to ``most`` (2 at most) deletions behind its first letter, each once."""
+    without = lambda x, i: F.concat(x.substr(F.lit(1), i - 1), x.substr(i + 1, F.length(x)))
+    places = lambda x, low: F.when(F.length(x) >= low, F.sequence(low, F.length(x))).otherwise(F.array().cast("array<int>"))
+    one = F.transform(places(s, F.lit(2)), lambda i: without(s, i))
+    two = F.flatten(F.transform(places(s, F.lit(2)), lambda i: F.transform(places(without(s, i), i), lambda j: without(without(s, i), j))))
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.concat(F.array(s), F.when(most >= 1, one).otherwise(none), F.when(most >= 2, two).otherwise(none)))
+
+
 def restore_terms(texts: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``candidate, term`` for the distinct Latin-letter candidates of the texts that a term restores: an exact match in any
     case first; else, for candidates without CJK other than numerals, the first term in list order (``terms``: ``ord, word,
     score``) with the same first letter that equals the candidate's digit form or lies within the term's edit distance.
-    Candidates meet terms by equality, by equal digit forms, or by first letter and a length at most two apart."""
+    Candidates meet terms by equality, by equal digit forms, or by what is left of both after up to two deletions: strings
+    within two edits share such a remainder, and remainders are nearly as many as strings, so no join key is a hot one."""
     words = texts.select(F.explode(F.regexp_extract_all(text_col, F.lit(CANDIDATE), F.lit(0))).alias("candidate")).distinct()
     words = words.withColumn("low", F.lower("candidate")).withColumn("open", ~F.translate("candidate", "零一二三四五六七八九两十百", "").rlike(f"[{CJK}]")).withColumn("plain", restore_spoken_digits("candidate"))
     n = F.length("word")
@@ -92,9 +103,13 @@ def restore_terms(texts: DataFrame, terms: DataFrame, id_col: str = "doc_id", te
     hit = lambda df, exact: df.select("candidate", "word", F.struct(F.lit(not exact).alias("e"), "ord").alias("order"))
     equal = hit(words.join(known, F.col("low") == F.col("term")), True)
     digits = hit(words.filter("open").join(known.filter(F.col("term").rlike("^[a-z0-9]")), (F.col("plain") == F.col("term")) & (F.substring("low", 1, 1) == F.substring("term", 1, 1))), False)
-    blocks = words.filter("open").select("candidate", "low", F.substring("low", 1, 1).alias("head"), F.explode(F.array(*(F.length("low") + d for d in range(-2, 3)))).alias("size"))
-    sized = known.select("ord", "word", "term", "bound", F.substring("term", 1, 1).alias("head"), F.length("term").alias("size"))
-    near = blocks.join(sized, ["head", "size"]).filter((F.abs(F.length("low") - F.col("size")) <= F.col("bound")) & (F.levenshtein("low", "term") <= F.col("bound")))
+    sized = known.select("ord", "word", "term", "bound", F.substring("term", 1, 1).alias("head"), F.length("term").alias("size")).filter("bound > 0")
+    # Only candidates of a first letter and about a length that some term has are taken apart.
+    sizes = sized.select("head", F.explode(F.transform(F.sequence(F.lit(-2), F.lit(2)), lambda d: F.col("size") + d)).alias("n")).distinct()
+    asked = words.filter("open").select("candidate", "low", F.substring("low", 1, 1).alias("head"), F.length("low").alias("n")).join(sizes, ["head", "n"], "left_semi")
+    rests = asked.select("candidate", "low", "head", F.explode(_remainders(F.col("low"), F.lit(2))).alias("rest"))
+    terms_by_rest = sized.select("ord", "word", "term", "bound", "head", F.explode(_remainders(F.col("term"), F.col("bound"))).alias("rest"))
+    near = rests.join(terms_by_rest, ["head", "rest"]).filter((F.abs(F.length("low") - F.length("term")) <= F.col("bound")) & (F.levenshtein("low", "term") <= F.col("bound"))).dropDuplicates(["candidate", "ord", "word"])
     return equal.unionByName(digits).unionByName(hit(near, False)).groupBy("candidate").agg(F.min_by("word", "order").alias("term"))
 
 

@@ -43,20 +43,24 @@ def train_ngrams(segs: DataFrame, n: int, least: int = LEAST_COUNT) -> DataFrame
     return counted.select(*(F.substring("g", i, 1).alias(f"c{i}") for i in range(1, n + 1)), "n")
 
 
-def cap_corpus(pages: DataFrame, max_chars: int, order_col: str = "page", text_col: str = "text", range_size: int = 1024) -> DataFrame:
-    """``pages`` in order (a whole number, at least 0) up to and with the one that reaches ``max_chars`` counted characters.
-    The running sum is taken in three levels: totals of ranges of the order column and of ranges of ranges come first, so no
-    task sees more than a range of either; only the few totals of the highest level are in one. Empty ranges have no row."""
+def cap_corpus(pages: DataFrame, max_chars: int, order_col: str = "page", text_col: str = "text") -> DataFrame:
+    """``pages`` in order up to and with the one that reaches ``max_chars`` counted characters. Any column that can be sorted is
+    an order; pages of equal place come together, and those without one last. Only places and sizes are sorted: they are dealt
+    by ranges, the ranges' totals say in which of them the cap lies, and its place there becomes a filter on the pages."""
+    if max_chars <= 0:
+        return pages.filter(F.lit(False))
     counted = F.aggregate(split_sentences(keep_charset(F.coalesce(F.col(text_col), F.lit("")))), F.lit(0).cast("long"), lambda s, x: s + F.length(x))
-    sized = pages.withColumn("__n", counted).withColumn("__r0", F.floor(F.col(order_col) / range_size))
-    low = sized.groupBy("__r0").agg(F.sum("__n").alias("__t0")).withColumn("__r1", F.floor(F.col("__r0") / range_size**2))
-    high = low.groupBy("__r1").agg(F.sum("__t0").alias("__t1"))
-    high = high.withColumn("__b1", F.sum("__t1").over(W.orderBy("__r1")) - F.col("__t1")).filter(F.col("__b1") < max_chars).drop("__t1")
-    inside = W.partitionBy("__r1").orderBy("__r0")
-    low = low.join(high, "__r1").withColumn("__b0", F.col("__b1") + F.sum("__t0").over(inside) - F.col("__t0")).filter(F.col("__b0") < max_chars).select("__r0", "__b0")
-    inner = W.partitionBy("__r0").orderBy(order_col)
-    placed = sized.join(low, "__r0").withColumn("__before", F.col("__b0") + F.sum("__n").over(inner) - F.col("__n"))
-    return placed.filter(F.col("__before") < max_chars).select(*pages.columns)
+    places = pages.select(F.col(order_col).alias("place"), counted.alias("n")).groupBy("place").agg(F.sum("n").alias("n")).filter("place is not null")
+    ranges = settled(places.repartitionByRange("place").withColumn("range", F.spark_partition_id()))
+    totals = ranges.groupBy("range").agg(F.sum("n").alias("n")).orderBy("range").collect()  # one row for each partition
+    before = 0
+    for r in totals:
+        if before + r["n"] >= max_chars:
+            running = F.sum("n").over(W.partitionBy("range").orderBy("place")) + before
+            cap = ranges.filter(F.col("range") == r["range"]).withColumn("running", running).filter(F.col("running") >= max_chars).agg(F.min("place")).first()[0]
+            return pages.filter(F.col(order_col) <= F.lit(cap))
+        before += r["n"]
+    return pages
 
 
 def corpus_size_warning(unigrams: DataFrame, least: int = SMALL_CORPUS) -> DataFrame:

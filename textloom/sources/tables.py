@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from tempfile import gettempdir
 from uuid import uuid4
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions.text import CJK, keep_charset, strip_tags
 
 FORMATS = ("parquet", "json", "orc", "text")
-RULES_SCHEMA = "old string, new string, n_sentences bigint, promoted boolean, first_seen bigint, raws array<string>"
+RULES_SCHEMA = "old string, new string, n_sentences bigint, promoted boolean, first_seen bigint, raws array<string>, sketch binary"
 # Deprecated forms that are words of their own.
 VARIANT_EXCEPTIONS = "标识 份子 佳宾 鸿图 弘图 鸿福 利害 约莫 丫鬟 渔汛 视阈 菁华 慢说".split()
 
@@ -63,27 +65,97 @@ def load_variants(spark: SparkSession, path: str) -> DataFrame:
     return parse_variants(spark.read.text(path).withColumn("ord", F.monotonically_increasing_id()))
 
 
-# --- stores: every write makes a new snapshot, so a table is never overwritten while it is read -----------------------
+# --- stores: every write makes a new snapshot, so a table is never overwritten while it is read ------------------------
+#
+# A snapshot is a folder of its own under ``data``; it exists for readers once a file under ``versions`` names it. Version files
+# are numbered, written elsewhere first, and moved to a number that is free or not at all; so of two writers on top of one
+# version the second finds the number taken and begins again on top of the first.
 
+#: Versions that stay readable after newer ones: readers and batches that run again may still need them.
+KEPT_VERSIONS = 20
 
-def _pointer(spark: SparkSession, path: str):
+
+def _files(spark: SparkSession, path: str):
+    """The file system of ``path`` and a maker of its paths."""
     jvm = spark.sparkContext._jvm
     base = jvm.org.apache.hadoop.fs.Path(path)
-    return base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), base, jvm.org.apache.hadoop.fs.Path
-
-
-def _newest(spark: SparkSession, path: str) -> str | None:
-    fs, base, _ = _pointer(spark, path)
-    if not fs.exists(base):
-        return None
-    done = [s.getPath() for s in fs.listStatus(base) if s.getPath().getName().startswith("v") and fs.exists(s.getPath().suffix("/_SUCCESS"))]
-    return max((p.toString() for p in done), default=None, key=lambda p: p.rsplit("/", 1)[-1])
+    return base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    fs, at = _files(spark, path)
+    folder = at(f"{path}/versions")
+    names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+    return sorted(int(n) for n in names if n.isdigit())
+
+
+def _version(spark: SparkSession, path: str, number: int) -> list[str]:
+    """The folder of a version's data and, if it has one, its batch."""
+    fs, at = _files(spark, path)
+    stream = fs.open(at(f"{path}/versions/{number}"))
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split()
+    finally:
+        stream.close()
+
+
+def _published(spark: SparkSession, path: str, number: int, data: str, batch: str) -> bool:
+    """Makes version ``number``, unless there is one."""
+    jvm, (fs, at) = spark.sparkContext._jvm, _files(spark, path)
+    made, target = at(f"{path}/data/{data}.version"), at(f"{path}/versions/{number}")
+    stream = fs.create(made)
+    stream.write(f"{data} {batch}".encode())
+    stream.close()
+    fs.mkdirs(target.getParent())
+    kinds = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+    try:  # does not move onto a file that is there
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(made, target, kinds)
+    except Py4JJavaError as error:
+        if "FileAlreadyExistsException" in error.java_exception.toString():
+            return False
+        raise
+    return True
 
 
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
     """The newest snapshot of a learned-rule store; a missing store is empty."""
-    newest = _newest(spark, path)
-    return spark.read.schema(RULES_SCHEMA).parquet(newest) if newest else spark.createDataFrame([], RULES_SCHEMA)
+    versions = _versions(spark, path)
+    return spark.read.schema(RULES_SCHEMA).parquet(f"{path}/data/{_version(spark, path, versions[-1])[0]}") if versions else spark.createDataFrame([], RULES_SCHEMA)
+
+
+def update_rules(spark: SparkSession, path: str, change: Callable[[DataFrame], DataFrame], batch: str = "", most_tries: int = 20) -> int:
+    """The newest snapshot, as ``change`` makes it, becomes the next version, whose number is returned. If another writer made
+    that version meanwhile, the change is made again on top of theirs, so nothing is lost. ``batch`` names what is merged
+    (letters, digits and dashes) for ``has_batch``. Versions before the KEPT_VERSIONS newest go."""
+    fs, at = _files(spark, path)
+    for _ in range(most_tries):
+        versions = _versions(spark, path)
+        held = spark.read.schema(RULES_SCHEMA).parquet(f"{path}/data/{_version(spark, path, versions[-1])[0]}") if versions else spark.createDataFrame([], RULES_SCHEMA)
+        number, data = versions[-1] + 1 if versions else 0, uuid4().hex
+        change(held).write.parquet(f"{path}/data/{data}")
+        if _published(spark, path, number, data, batch):
+            for old in versions[: -KEPT_VERSIONS + 1]:
+                gone = _version(spark, path, old)[0]
+                fs.delete(at(f"{path}/versions/{old}"), False)
+                fs.delete(at(f"{path}/data/{gone}"), True)
+            return number
+        fs.delete(at(f"{path}/data/{data}"), True)
+        fs.delete(at(f"{path}/data/{data}.version"), False)
+    raise RuntimeError(f"{path}: other writers were faster {most_tries} times")
+
+
+def write_rules(rules: DataFrame, path: str, batch: str = "") -> int:
+    """``rules`` as the next version, whatever the store holds."""
+    return update_rules(rules.sparkSession, path, lambda _: rules, batch)
+
+
+def has_batch(spark: SparkSession, path: str, batch: str) -> bool:
+    """Whether one of the kept versions was written for ``batch``."""
+    return any(_version(spark, path, n)[1:] == [batch] for n in reversed(_versions(spark, path)))
+
+
+def clear_rules(spark: SparkSession, path: str) -> None:
+    write_rules(spark.createDataFrame([], RULES_SCHEMA), path)
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:
@@ -114,27 +186,6 @@ def scratch(spark: SparkSession) -> str:
     return f"{folder or gettempdir()}/textloom-{uuid4().hex}"
 
 
-def write_rules(rules: DataFrame, path: str, batch: str = "") -> str:
-    """A new snapshot after the newest, which readers see once it is whole. ``batch`` names what it holds (letters, digits and
-    dashes), for ``has_batch``."""
-    newest = _newest(rules.sparkSession, path)
-    number = int(newest.rsplit("/v", 1)[1].split("-")[0]) + 1 if newest else 0
-    target = f"{path}/v{number:020d}" + (f"-{batch}" if batch else "")
-    rules.write.mode("overwrite").parquet(target)
-    return target
-
-
-def has_batch(spark: SparkSession, path: str, batch: str) -> bool:
-    """Whether a whole snapshot of the store was written for ``batch``."""
-    fs, base, child = _pointer(spark, path)
-    found = fs.globStatus(child(f"{path}/v*-{batch}/_SUCCESS"))
-    return found is not None and len(found) > 0
-
-
-def clear_rules(spark: SparkSession, path: str) -> None:
-    write_rules(spark.createDataFrame([], RULES_SCHEMA), path)
-
-
 def write_ngrams(unigrams: DataFrame, bigrams: DataFrame, path: str, trigrams: DataFrame | None = None) -> None:
     for name, df in (("unigrams", unigrams), ("bigrams", bigrams), ("trigrams", trigrams)):
         if df is not None:
