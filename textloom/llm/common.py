@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.sources.tables import unused  # noqa: F401 (helper names that no input has)
+
 #: Rows that a Python worker takes at a time inside an Arrow batch, and the bytes of text after which a slice ends.
 SLICE_ROWS, SLICE_BYTES = 256, 1 << 19
 #: Rows of an Arrow batch. With long texts Spark's usual 10,000 would be a gigabyte.
@@ -40,14 +42,6 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def unused(df: DataFrame, *names: str) -> list[str]:
-    """``names`` with so many underscores in front that ``df`` has no column of such a name (letter case does not count)."""
-    taken, front = {c.lower() for c in df.columns}, "__"
-    while any((front + x).lower() in taken for x in names):
-        front += "_"
-    return [front + x for x in names]
-
-
 def plain_bytes(text: Column) -> Column:
     """A text's UTF-8 bytes; null is empty."""
     return F.coalesce(text, F.lit("")).cast("binary")

@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textloom.llm.bpe import coder
-from textloom.llm.common import mapped, settled
+from textloom.llm.common import mapped, settled, small_batches
 
 SEQUENCE = 2048
 #: Tokens of a batch of sequences of one length.
@@ -171,6 +171,7 @@ def token_blocks(df: DataFrame, tokenizer: str | None = None, id_col: str = "doc
         if len(held):
             yield out(len(held))
 
+    small_batches(df)
     return _text_frame(df, id_col, text_col).mapInArrow(run, "shard int, block long, payload binary, doc_ids array<long>")
 
 
