@@ -86,6 +86,11 @@ def decide_zai(text: str, i: int, after_tag: str = "", after_word: str = "") ->
     return None
 
 
+@lru_cache(maxsize=8)
+def _heads(words: tuple[str, ...]) -> frozenset[str]:
+    return frozenset(w[0] for w in words)
+
+
 def proper_nouns(text: str, freq: Callable[[str], int]) -> set[int]:
     """Positions of names: a surname (and given name) before a title; two to four characters before a place's ending, two to
     six before an organisation's; a surname and a given name of one or two characters. Reliable words are no names."""
@@ -96,8 +101,11 @@ def proper_nouns(text: str, freq: Callable[[str], int]) -> set[int]:
             found.update(range(*m.span()))
     for m in re.finditer(f"(?<![{CJK}])[{CJK}]+", text):
         run = m[0]
-        for endings, most in ((C.PLACES, 4), (C.ORGANISATIONS, 6)):
+        for endings, most in ((tuple(C.PLACES), 4), (tuple(C.ORGANISATIONS), 6)):
+            heads = _heads(endings)
             for n in range(2, min(most, len(run) - 1) + 1):
+                if run[n] not in heads:
+                    continue
                 after = [x for x in endings if run.startswith(x, n)]
                 if freq(run[:n]) < RELIABLE and any(freq(run[:n] + x) < RELIABLE for x in after):
                     found.update(range(m.start(), m.start() + n))

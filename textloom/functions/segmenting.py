@@ -78,8 +78,9 @@ class Segmenter:
                 if score >= top:
                     top, far = score, size
             best[i], step[i] = top, far
-        i = 0
-        while i < n:
-            word = text[begin + i : begin + i + step[i]]
-            out.append((word, self.tag(word), begin + i, begin + i + step[i]))
-            i += step[i]
+        i, known, own = begin, self.words, self.tags
+        while i < end:
+            j = i + step[i - begin]
+            word = text[i:j]
+            out.append((word, own.get(word) or (known[word][1] if word in known else "x"), i, j))  # no Latin letters here
+            i = j

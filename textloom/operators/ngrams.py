@@ -129,10 +129,11 @@ def _candidate_windows(df: DataFrame, confusions: DataFrame, id_col: str, text_c
     """``doc_id, pos, orig, cand, prev, next, prev2, next2`` of each place of a confusable character and candidate."""
     arrays = df.select(F.col(id_col).alias("doc_id"), _characters(F.col(text_col)).alias("__a"))
     near = lambda i, d: F.coalesce(F.get("__a", i + d), F.lit(""))
-    windows = F.transform("__a", lambda c, i: F.struct(i.alias("pos"), c.alias("orig"), *(near(i, d).alias(name) for name, d in (("prev", -1), ("next", 1), ("prev2", -2), ("next2", 2)))))
+    places = F.when(F.size("__a") > 0, F.sequence(F.lit(0), F.size("__a") - 1)).otherwise(F.array().cast("array<int>"))
     some = [r.ch for r in confusions.select("ch").distinct().limit(MOST_CONFUSABLE + 1).collect()]
-    if len(some) <= MOST_CONFUSABLE:  # places of other characters never leave the array
-        windows = F.filter(windows, lambda w: w["orig"].isin(some))
+    if len(some) <= MOST_CONFUSABLE:  # other places get no window
+        places = F.filter(places, lambda i: F.get("__a", i).isin(some))
+    windows = F.transform(places, lambda i: F.struct(i.alias("pos"), F.get("__a", i).alias("orig"), *(near(i, d).alias(name) for name, d in (("prev", -1), ("next", 1), ("prev2", -2), ("next2", 2)))))
     chars = arrays.select("doc_id", F.explode(windows).alias("w")).select("doc_id", "w.*")
     return chars.join(confusions.select(F.col("ch").alias("orig"), "cand"), "orig")
 
