@@ -75,7 +75,26 @@ _MEASURES = {
 _RISK = quality.RISK / len(_MEASURES)
 _EACH = " UNION ALL ".join(f"SELECT doc_id, stratum, good, '{m}' AS measure, {sql} AS value, {quality.MEASURES[m] / quality.BINS!r} AS step FROM c WHERE NOT base_failed" for m, sql in _MEASURES.items())
 
+
+
+def _codes_sql(size: int = 16, parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Operator 12 over vectors of ``size * parts`` components: plain Lloyd rounds, all distances in each."""
+    places = range(1, size + 1)
+    far = f"list_sum(list_transform(range(1, {size + 1}), lambda i: (x.v[i] - b.v[i]) * (x.v[i] - b.v[i])))"
+    nearest = lambda r: f"a{r} AS MATERIALIZED (SELECT vec_id, p, any_value(x.v) AS v, min({far}::BIGINT * {entries} + c) AS k FROM x JOIN b{r} b USING (p) GROUP BY vec_id, p)"
+    means = "[" + ", ".join(f"floor(sum(v[{i}])::DOUBLE / count(*))::BIGINT" for i in places) + "]"
+    steps = [f"{nearest(r)}, m{r} AS (SELECT p, k % {entries} AS c, {means} AS v FROM a{r} GROUP BY 1, 2), b{r + 1} AS MATERIALIZED (SELECT p, c, coalesce(m.v, b.v) AS v FROM b{r} b LEFT JOIN m{r} m USING (p, c))" for r in range(rounds)]
+    return f"""WITH e AS (SELECT vec_id, label, embedding FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+x AS MATERIALIZED (SELECT vec_id, p, list_transform(range({size} * p + 1, {size} * p + {size + 1}), lambda i: floor(1024 * embedding[i]::DOUBLE)::BIGINT) AS v FROM e CROSS JOIN (SELECT unnest(range(0, {parts})) AS p)),
+b0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS c, v FROM x WHERE vec_id IN (SELECT vec_id FROM e ORDER BY vec_id LIMIT {entries})),
+{", ".join(steps)}, {nearest(rounds)},
+own AS (SELECT vec_id, string_agg(printf('%02x', k % {entries}), '' ORDER BY p) AS code, sum(k // {entries})::BIGINT AS error FROM a{rounds} GROUP BY vec_id),
+digest AS (SELECT sha256(string_agg(n::VARCHAR, ',' ORDER BY p, c, i)) AS codebooks_sha256 FROM (SELECT p, c, unnest(v) AS n, unnest(range(0, {size})) AS i FROM b{rounds}))
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM own JOIN e USING (vec_id) CROSS JOIN digest"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_codes": _codes_sql(),
     "op5_quality": f"""WITH d AS (SELECT doc_id, coalesce(lang, chr(1)) AS stratum, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, regexp_extract_all(text, '[^{_BLANK}]+') AS ws FROM d),
 win AS (SELECT doc_id, unnest(range(1, len(ws) - 1)) AS i, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i+1] || ' ' || ws[i+2])) AS g FROM w),
