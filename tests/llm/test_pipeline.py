@@ -1,9 +1,11 @@
 """The pipeline's stages on the smallest tables, each against a plain statement of what it does to its own input."""
 
+import random
 import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import Row
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -133,3 +135,23 @@ def test_near_copies_that_share_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(map(tuple, simhash.drop_near_copies(docs).collect()))
     assert got == sorted([(1, " ".join(base)), (2, far), (1, "something else"), (5, "one"), (5, "two")])
+
+
+def test_near_copies_hidden_by_least_documents(spark):
+    """Copies whose segments all have unrelated texts of less id as owners: one-word texts share every segment."""
+    docs = spark.createDataFrame([(1, "apple"), (2, "pear"), (3, "Pear"), (4, "plum"), (5, " pear ")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.drop_near_copies(docs).collect()) == [1, 2, 4]
+
+
+def test_near_copies_of_few_word_pairs_by_brute_force(spark):
+    """Texts of two words have near segments though their shingles differ, so most links are hidden."""
+    rng = random.Random(3)
+    rows = {i: " ".join(rng.choice("ab") for _ in range(rng.randrange(8, 20))) for i in range(60)}
+    rows |= {60 + i: f"{rows[i]} {rows[i][:1]}" for i in range(0, 60, 3)}
+    pairs, group = near_groups({i: Row(text=x) for i, x in rows.items()})
+    segments = dict(zip(rows, simhash.wide_fingerprints([x.encode() for x in rows.values()]).tolist(), strict=True))
+    near = [p for p in pairs if any((x ^ y).bit_count() <= 1 for x, y in zip(segments[p[0]], segments[p[1]], strict=True))]
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.drop_near_copies(docs).collect()}
+    assert kept >= {i for i in rows if group[i] == i}
+    assert near and not [p for p in near if set(p) <= kept]

@@ -126,16 +126,46 @@ def wide_fingerprints(bodies: list[bytes]) -> np.ndarray:
     return out
 
 
-def _copy_links(texts: DataFrame) -> DataFrame:
-    """``a, b``: each text's node with that of the text of least id that has one of its segments or a segment at one bit from it.
-    ``texts`` is ``id, node, segments array<long>``. Owners are pre-aggregated to the least, so a group of n near copies gives
-    links in proportion to n."""
+#: Shingle sets that a task keeps while it compares pairs.
+KNOWN_SETS = 1024
+
+
+def shingle_sets(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Number and identifier of each text's set of COPY_SHINGLE words in a row (of fewer words: the sequence)."""
+    count, told = np.zeros(len(bodies), np.int64), np.zeros(len(bodies), np.uint64)
+    for i, body in enumerate(bodies):
+        flat = np.frombuffer(body.lower(), np.uint8)
+        at, size = words_of(flat)
+        own = np.unique(shingles_of(flat, at, size, max(1, min(COPY_SHINGLE, len(at)))))
+        count[i], told[i] = len(own), xxhash.xxh64_intdigest(own.tobytes(), SEED)
+    return count, told
+
+
+def _hits(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``key, node`` of each segment of ``texts`` (``id, node, segments array<long>``), and ``key, node, owner`` for each such key that
+    a text has or comes to by setting a clear bit; ``owner`` is the node of the text of least id that has it."""
     owned = F.transform("segments", lambda x, i: F.shiftleft(i.cast("long"), 32).bitwiseOR(x))
-    owners = texts.select("id", "node", F.explode(owned).alias("key")).groupBy("key").agg(F.min(F.struct("id", "node")).alias("low")).select("key", "low.node")
     clear = lambda key: F.filter(F.transform(F.sequence(F.lit(0), F.lit(SEGMENT_BITS - 1)), lambda i: key.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))), lambda other: other != key)
-    probes = texts.select(F.col("node").alias("own"), F.explode(owned).alias("of")).select("own", F.explode(F.concat(F.array("of"), clear(F.col("of")))).alias("key"))
-    found = probes.join(owners, "key").filter("own <> node")
-    return found.select(F.greatest("own", "node").alias("a"), F.least("own", "node").alias("b")).distinct()
+    owners = texts.select("id", "node", F.explode(owned).alias("key"))
+    least = owners.groupBy("key").agg(F.min(F.struct("id", "node")).alias("low")).select("key", F.col("low.node").alias("owner"))
+    probes = texts.select("node", F.explode(owned).alias("of")).select("node", F.explode(F.concat(F.array("of"), clear(F.col("of")))).alias("key"))
+    return owners.select("key", "node"), settled(probes.join(least, "key").select("key", "node", "owner"))
+
+
+def _other_links(texts: DataFrame, owners: DataFrame, hits: DataFrame, label: DataFrame, similar: float) -> DataFrame:
+    """``a, b``: all pairs of texts with near segments (``_hits``) that ``label`` (``a, component``) does not connect and whose numbers of
+    shingles ``n`` let them be ``similar``. Of a segment's texts those of its commonest component are paired with the others
+    alone, so a group that is connected costs no pairs."""
+    told = texts.select("node", "n").join(label.select(F.col("a").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    probes = hits.select("key", "node").join(told, "node")  # owners are among them
+    mixed = probes.groupBy("key", "component").agg(F.count("*").alias("rows")).groupBy("key").agg(F.max_by("component", "rows").alias("common"), F.count("*").alias("components"))
+    mixed = mixed.filter("components > 1").select("key", "common")
+    owners = owners.join(mixed, "key").join(told, "node").select("key", F.col("node").alias("owner"), F.col("component").alias("owned"), F.col("n").alias("size"), "common")
+    probes = probes.join(mixed, "key")
+    alike = (F.col("component") != F.col("owned")) & (F.least("n", "size") >= F.lit(similar) * F.greatest("n", "size"))
+    fewer = probes.filter("component <> common").drop("common").join(owners.drop("common"), "key")
+    more = probes.filter("component = common").drop("common").join(owners.filter("owned <> common").drop("common"), "key")
+    return fewer.unionByName(more).filter(alike).select(F.greatest("node", "owner").alias("a"), F.least("node", "owner").alias("b")).distinct()
 
 
 def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
@@ -149,46 +179,64 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            segments = wide_fingerprints(batch.column(1).to_pylist()).astype(np.int64)
+            bodies = batch.column(1).to_pylist()
+            segments = wide_fingerprints(bodies).astype(np.int64)
+            count, told = shingle_sets(bodies)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(segments) + 1) * WIDE, pa.int32()), pa.array(segments.ravel()))
-            return pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], lists], ["id", "th", "th2", "n_bytes", "segments"])
+            return pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], lists, pa.array(count), pa.array(told.view(np.int64))], ["id", "th", "th2", "n_bytes", "segments", "n", "told"])
 
         return step
 
-    own = mapped(docs.select("id", "text", *key), make, "id long, th long, th2 int, n_bytes int, segments array<long>")
+    own = mapped(docs.select("id", "text", *key), make, "id long, th long, th2 int, n_bytes int, segments array<long>, n long, told long")
     # Exact copies are one row, and a node of its own, from here on.
-    texts = own.groupBy("th", "th2", "n_bytes").agg(F.min("id").alias("id"), F.max("id").alias("most"), F.first("segments").alias("segments"))
+    texts = own.groupBy("th", "th2", "n_bytes").agg(F.min("id").alias("id"), F.max("id").alias("most"), F.first("segments").alias("segments"), F.first("n").alias("n"), F.first("told").alias("told"))
     texts = settled(texts.withColumn("node", F.monotonically_increasing_id()))
-    pairs = settled(_copy_links(texts.select("id", "node", "segments")))
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    named = settled(texts.join(nodes, "node", "left_semi").select("id", "th", "node"))
-    bodies = settled(named_only(docs, named).join(named, ["id", "th"]).dropDuplicates(["node"]))
-    both = pairs.join(bodies.select(F.col("node").alias("a"), F.col("text").alias("own")), "a").join(bodies.select(F.col("node").alias("b"), F.col("text").alias("other")), "b")
+    # Texts of one set of shingles are linked to the least of them, which alone is looked up by its segments; sets so small that
+    # no other set is similar are not.
+    first = settled(texts.groupBy("n", "told").agg(F.min(F.struct("id", "node", "segments")).alias("low")).select("n", "told", "low.*"))
+    same = texts.select("n", "told", "node").join(first.select("n", "told", F.col("node").alias("low")), ["n", "told"]).filter("node <> low")
+    wide = first.filter(F.col("n") >= F.lit(similar) * (F.col("n") + 1))
+    same = same.select(F.greatest("node", "low").alias("a"), F.least("node", "low").alias("b"))
+    owners, hits = _hits(wide)
+    # To the least owner first: a group of n near copies gives links in proportion to n.
+    links = hits.filter("node <> owner").select(F.greatest("node", "owner").alias("a"), F.least("node", "owner").alias("b"))
+    pairs = settled(links.unionByName(same).distinct())
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        named = settled(texts.join(nodes, "node", "left_semi").select("id", "th", "node"))
+        bodies = settled(named_only(docs, named).join(named, ["id", "th"]).dropDuplicates(["node"]))
+        both = pairs.join(bodies.select(F.col("node").alias("a"), F.col("text").alias("own")), "a").join(bodies.select(F.col("node").alias("b"), F.col("text").alias("other")), "b")
+        return settled(mapped(both.select("a", "b", "other", "own"), compare, "a long, b long"))
 
     def compare():
         expand, known = zstandard.ZstdDecompressor().decompress, {}
 
         def shingles(body: bytes) -> np.ndarray:
-            flat = np.frombuffer(expand(body).lower(), np.uint8)
-            at, size = words_of(flat)
-            return np.unique(shingles_of(flat, at, size, max(1, min(COPY_SHINGLE, len(at)))))
+            if body not in known:
+                if len(known) >= KNOWN_SETS:
+                    known.clear()
+                flat = np.frombuffer(expand(body).lower(), np.uint8)
+                at, size = words_of(flat)
+                known[body] = np.unique(shingles_of(flat, at, size, max(1, min(COPY_SHINGLE, len(at)))))
+            return known[body]
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             keep = []
             for other, mine in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if other not in known:
-                    known.clear()  # pairs come sorted by b
-                    known[other] = shingles(other)
-                x, y = shingles(mine), known[other]
+                x, y = shingles(mine), shingles(other)
                 n = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(n >= similar * (len(x) + len(y) - n))
             return pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep))
 
         return step
 
-    label = components(mapped(both.select("a", "b", "other", "own"), compare, "a long, b long"))
+    near = verified(pairs)
+    label = settled(components(near))
+    rest = settled(_other_links(wide, owners, hits, label, similar).join(pairs, ["a", "b"], "left_anti"))
+    label = components(near.unionByName(verified(rest)))
     # A text without links is its own group.
-    grouped = settled(texts.drop("segments").join(label.select(F.col("a").alias("node"), "component"), "node", "left").withColumn("group", F.coalesce("component", "node")))
+    grouped = settled(texts.drop("segments", "n", "told").join(label.select(F.col("a").alias("node"), "component"), "node", "left").withColumn("group", F.coalesce("component", "node")))
     kept = grouped.groupBy("group").agg(F.min(F.struct("id", "th", "th2", "node")).alias("kept"))
     told = grouped.join(kept, "group").withColumn("is_kept", F.col("node") == F.col("kept.node"))
     return told.filter(~F.col("is_kept") | (F.col("most") != F.col("id"))).select("th", "th2", "n_bytes", F.col("kept.id").alias("kept_id"), "is_kept")
