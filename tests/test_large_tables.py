@@ -1,9 +1,14 @@
 """Queries over tables with odd rows, and steps that must not be made twice or by row."""
 
+from collections import Counter
+
 import duckdb
-from pyspark.sql import functions as F
+import numpy as np
+import pyarrow as pa
 
+from textloom.functions import counting
 from textloom.jobs import queries
+from textloom.operators import ngrams
 
 
 def against_sql(spark, tmp_path, name, docs):
@@ -27,3 +32,37 @@ def test_cap_that_rows_without_a_place_reach(spark, tmp_path):
     docs = [(0, "a" * 400_000), (None, "b" * 700_000), (None, "c" * 300_000), (None, "B")]
     got, wanted = against_sql(spark, tmp_path, "corpus_cap", docs)
     assert got == wanted and len(got) == 3
+
+
+TEXTS = ["天地玄黄宇宙洪荒", "", None, "a", "在𠀀再", "x" * 50, "在再在再在再", "玄黄", "他"] * 3
+
+
+def test_grams_and_neighbours_of_slices(monkeypatch):
+    """Arrays of text give what a walk over each text gives, in one slice or many, counted in one array or sorted."""
+    column = pa.array(TEXTS)
+    wanted = np.array(sorted(map(ord, "在再他")))
+    for size, cells in ((1 << 22, 1 << 22), (40, 0), (1, 1 << 22)):
+        monkeypatch.setattr(counting, "SLICE_BYTES", size)
+        monkeypatch.setattr(counting, "MOST_CELLS", cells)
+        for n in (1, 2, 3):
+            got = Counter()
+            for grams, counts in counting.counted_grams(column, n):
+                got.update(dict(zip(grams.to_pylist(), counts.tolist(), strict=True)))
+            assert got == Counter(t[i : i + n] for t in TEXTS if t for i in range(len(t)))
+        for some in (wanted, None):
+            got = []
+            for rows, places, found in counting.neighbourhoods(column, some, (-1, 2)):
+                got += zip(rows.tolist(), places.tolist(), *(x.to_pylist() for x in found), strict=True)
+            assert got == [(k, i, c, t[i - 1] if i else "", t[i + 2 : i + 3]) for k, t in enumerate(TEXTS) if t for i, c in enumerate(t) if some is None or c in "在再他"]
+
+
+def test_segments_are_counted_once(spark, tmp_path, monkeypatch):
+    """The tables of all lengths come from one reading of the segments."""
+    calls = []
+    counted = ngrams.count_grams
+    monkeypatch.setattr(ngrams, "count_grams", lambda *a: calls.append(a) or counted(*a))
+    docs = [(i, t) for i, t in enumerate(["abcab, kv. vabc", "ab", "kakv kavk", None, "A. b"])]
+    for name in ("next_char_scores", "candidate_scores", "candidate_scores_triples"):
+        calls.clear()
+        got, wanted = against_sql(spark, tmp_path / name, name, docs)
+        assert len(calls) == 1 and got and got == wanted
