@@ -5,10 +5,12 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pytest
 
+from tests.conftest import DATA
 from textloom.functions import counting
 from textloom.jobs import queries
-from textloom.operators import ngrams
+from textloom.operators import ngrams, parsing
 
 
 def against_sql(spark, tmp_path, name, docs):
@@ -66,3 +68,17 @@ def test_segments_are_counted_once(spark, tmp_path, monkeypatch):
         calls.clear()
         got, wanted = against_sql(spark, tmp_path / name, name, docs)
         assert len(calls) == 1 and got and got == wanted
+
+
+@pytest.mark.parametrize("most", [200_000, 3])
+def test_verdicts_without_a_shuffle_of_tokens(spark, tmp_path, monkeypatch, most):
+    """Tokens in arrays: the verdicts of the SQL, and no row of a token is dealt out; with few words allowed, by the table's way."""
+    monkeypatch.setattr(parsing, "MOST_ROLE_WORDS", most)
+    monkeypatch.setattr(parsing, "MOST_LOOKED_UP", 2_000_000 if most > 3 else 3)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").limit(60).collect()
+    for name in ("phrase_verdicts", "dependency_verdicts"):
+        got, wanted = against_sql(spark, tmp_path / name, name, [*map(tuple, docs), (10**6, None), (10**6 + 1, "")])
+        assert got and got == wanted
+        if most > 3:
+            plan = queries.QUERIES[name](spark, str(tmp_path / name))._jdf.queryExecution().optimizedPlan().toString()
+            assert "Aggregate" not in plan and "Join" not in plan
