@@ -57,7 +57,7 @@ def correct_table(spark: SparkSession, source: str, target: str, stages: list[R.
     texts = tables.read_transcripts(spark, source, fmt)
     if id_col not in texts.columns:
         texts = texts.withColumn(id_col, F.monotonically_increasing_id())
-    tables.write_corrections(tables.settled(correcting.proofread(texts, stages, id_col, text_col)), target)
+    tables.write_corrections(correcting.proofread(texts, stages, id_col, text_col), target)
     found = spark.read.schema(f"doc_id {dict(texts.dtypes)[id_col]}, seq int, start int, end int, original string, replacement string, reason string, confidence double, source string").parquet(f"{target}/suggestions")
     correcting.suggestion_report(found).write.mode("overwrite").parquet(f"{target}/report")
     return spark.read.parquet(f"{target}/report")
