@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 from difflib import SequenceMatcher
+from threading import Thread
 
 import duckdb
 import numpy as np
@@ -157,3 +158,18 @@ def test_later_passes_look_where_something_changed():
     fix(text)
     first = sum(c in fix.noted for c in text)
     assert first <= len(asked) < 2 * first
+
+
+def test_one_of_many_writers_gets_a_number(spark, tmp_path):
+    """Of writers that publish the same number at the same time one succeeds, and what stands there is its own."""
+    for n in range(40):
+        won = []
+
+        def publish(name, n=n, won=won):
+            if tables._published(spark, str(tmp_path), n, name, ""):
+                won.append(name)
+
+        writers = [Thread(target=publish, args=(f"w{k}",)) for k in range(4)]
+        [w.start() for w in writers]
+        [w.join() for w in writers]
+        assert len(won) == 1 and tables._version(spark, str(tmp_path), n) == won
